@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup
+from . import exact_dedup, mixing
 
 
 def _read(spark, sf_dir, table):
@@ -23,5 +23,10 @@ FROM t
 """
 
 
-QUERIES = {"op4_exact_dedup": op4_exact_dedup}
+def op7_mix_sources(spark, sf_dir):
+    mix = mixing.Mix(_read(spark, sf_dir, "documents"), weights=(5, 2, 1), block=64)
+    return mix.taken().select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source")
+
+
+QUERIES = {"op7_mix_sources": op7_mix_sources, "op4_exact_dedup": op4_exact_dedup}
 ORACLE_SQL = {"op4_exact_dedup": OP4_SQL}
