@@ -5,13 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, token_counts
+from . import bpe_codec, exact_dedup, mixing, token_counts
 
 
 def _read(spark, sf_dir, table):
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_bpe_codec(spark, sf_dir):
+    encoded = bpe_codec.encode(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return encoded.drop("token_ids").withColumnRenamed("id", "doc_id")
+
+
 def op4_exact_dedup(spark, sf_dir):
     return exact_dedup.duplicate_groups(_read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -34,5 +39,5 @@ def op9_token_counts(spark, sf_dir):
     return counts.withColumnRenamed("id", "doc_id").withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
-QUERIES = {"op9_token_counts": op9_token_counts, "op7_mix_sources": op7_mix_sources, "op4_exact_dedup": op4_exact_dedup}
+QUERIES = {"op1_bpe_codec": op1_bpe_codec, "op9_token_counts": op9_token_counts, "op7_mix_sources": op7_mix_sources, "op4_exact_dedup": op4_exact_dedup}
 ORACLE_SQL = {"op4_exact_dedup": OP4_SQL}
