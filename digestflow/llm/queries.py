@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe_codec, exact_dedup, mixing, token_counts
+from . import bpe_codec, exact_dedup, language_id, mixing, token_counts
 
 
 def _read(spark, sf_dir, table):
@@ -34,10 +34,14 @@ def op7_mix_sources(spark, sf_dir):
     return mix.taken().select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source")
 
 
+def op8_language_id(spark, sf_dir):
+    return language_id.identify(_read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op9_token_counts(spark, sf_dir):
     counts = token_counts.count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counts.withColumnRenamed("id", "doc_id").withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
-QUERIES = {"op1_bpe_codec": op1_bpe_codec, "op9_token_counts": op9_token_counts, "op7_mix_sources": op7_mix_sources, "op4_exact_dedup": op4_exact_dedup}
+QUERIES = {"op8_language_id": op8_language_id, "op1_bpe_codec": op1_bpe_codec, "op9_token_counts": op9_token_counts, "op7_mix_sources": op7_mix_sources, "op4_exact_dedup": op4_exact_dedup}
 ORACLE_SQL = {"op4_exact_dedup": OP4_SQL}
