@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe_codec, exact_dedup, language_id, mixing, token_counts
+from . import bpe_codec, exact_dedup, fingerprints, language_id, mixing, token_counts
 
 
 def _read(spark, sf_dir, table):
@@ -43,5 +43,9 @@ def op9_token_counts(spark, sf_dir):
     return counts.withColumnRenamed("id", "doc_id").withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
-QUERIES = {"op8_language_id": op8_language_id, "op1_bpe_codec": op1_bpe_codec, "op9_token_counts": op9_token_counts, "op7_mix_sources": op7_mix_sources, "op4_exact_dedup": op4_exact_dedup}
+def op10_fingerprints(spark, sf_dir):
+    return fingerprints.compare_edited(_read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"op10_fingerprints": op10_fingerprints, "op8_language_id": op8_language_id, "op1_bpe_codec": op1_bpe_codec, "op9_token_counts": op9_token_counts, "op7_mix_sources": op7_mix_sources, "op4_exact_dedup": op4_exact_dedup}
 ORACLE_SQL = {"op4_exact_dedup": OP4_SQL}
