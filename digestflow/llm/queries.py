@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe_codec, exact_dedup, fingerprints, language_id, mixing, token_counts
+from . import bpe_codec, exact_dedup, fingerprints, jaccard_join, language_id, mixing, token_counts
 
 
 def _read(spark, sf_dir, table):
@@ -29,6 +29,23 @@ FROM t
 """
 
 
+def op6_jaccard_join(spark, sf_dir):
+    return jaccard_join.join(_read(spark, sf_dir, "documents"), n=5, tau=0.8).withColumnRenamed("id", "doc_id")
+
+
+OP6_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS a, doc_id AS r FROM documents UNION SELECT l.b, r.r FROM r JOIN l ON l.a = r.a WHERE r.r < l.b)
+SELECT d.doc_id, (SELECT min(r) FROM r WHERE r.a = d.doc_id) AS class_id, (SELECT count(*) FROM l WHERE l.a = d.doc_id) AS n_links
+FROM documents d
+"""
+
+
 def op7_mix_sources(spark, sf_dir):
     mix = mixing.Mix(_read(spark, sf_dir, "documents"), weights=(5, 2, 1), block=64)
     return mix.taken().select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source")
@@ -47,5 +64,5 @@ def op10_fingerprints(spark, sf_dir):
     return fingerprints.compare_edited(_read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op10_fingerprints": op10_fingerprints, "op8_language_id": op8_language_id, "op1_bpe_codec": op1_bpe_codec, "op9_token_counts": op9_token_counts, "op7_mix_sources": op7_mix_sources, "op4_exact_dedup": op4_exact_dedup}
-ORACLE_SQL = {"op4_exact_dedup": OP4_SQL}
+QUERIES = {"op6_jaccard_join": op6_jaccard_join, "op10_fingerprints": op10_fingerprints, "op8_language_id": op8_language_id, "op1_bpe_codec": op1_bpe_codec, "op9_token_counts": op9_token_counts, "op7_mix_sources": op7_mix_sources, "op4_exact_dedup": op4_exact_dedup}
+ORACLE_SQL = {"op6_jaccard_join": OP6_SQL, "op4_exact_dedup": OP4_SQL}
