@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe_codec, exact_dedup, fingerprints, jaccard_join, language_id, mixing, token_counts
+from . import bpe_codec, exact_dedup, fingerprints, jaccard_join, language_id, mixing, suffix_dedup, token_counts
 
 
 def _read(spark, sf_dir, table):
@@ -17,6 +17,11 @@ def op1_bpe_codec(spark, sf_dir):
     return encoded.drop("token_ids").withColumnRenamed("id", "doc_id")
 
 
+def op3_suffix_dedup(spark, sf_dir):
+    found = suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents"))
+    return found.drop("spans", "kept").withColumnRenamed("id", "doc_id")
+
+
 def op4_exact_dedup(spark, sf_dir):
     return exact_dedup.duplicate_groups(_read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -64,5 +69,5 @@ def op10_fingerprints(spark, sf_dir):
     return fingerprints.compare_edited(_read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op6_jaccard_join": op6_jaccard_join, "op10_fingerprints": op10_fingerprints, "op8_language_id": op8_language_id, "op1_bpe_codec": op1_bpe_codec, "op9_token_counts": op9_token_counts, "op7_mix_sources": op7_mix_sources, "op4_exact_dedup": op4_exact_dedup}
+QUERIES = {"op3_suffix_dedup": op3_suffix_dedup, "op6_jaccard_join": op6_jaccard_join, "op10_fingerprints": op10_fingerprints, "op8_language_id": op8_language_id, "op1_bpe_codec": op1_bpe_codec, "op9_token_counts": op9_token_counts, "op7_mix_sources": op7_mix_sources, "op4_exact_dedup": op4_exact_dedup}
 ORACLE_SQL = {"op6_jaccard_join": OP6_SQL, "op4_exact_dedup": OP4_SQL}
