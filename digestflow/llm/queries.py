@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe_codec, exact_dedup, fingerprints, jaccard_join, language_id, mixing, suffix_dedup, token_counts
+from . import bpe_codec, exact_dedup, fingerprints, jaccard_join, language_id, mixing, suffix_dedup, token_counts, tool_calls, url_filter
 
 
 def _read(spark, sf_dir, table):
@@ -17,6 +17,46 @@ def op1_bpe_codec(spark, sf_dir):
     return encoded.drop("token_ids").withColumnRenamed("id", "doc_id")
 
 
+URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+
+
+def op2_url_filter(spark, sf_dir):
+    """A page's outcome is the label of the document that its url numbers: bad if toxic or of low quality."""
+    pages = _read(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("id"), "url", F.expr("try_cast(regexp_extract(url, '://[^/?#]*/[a-z]+/([0-9]+)', 1) AS bigint)").alias("doc_id")
+    )
+    bad = F.max(F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).otherwise(0))
+    labels = _read(spark, sf_dir, "labels").groupBy("doc_id").agg(bad.alias("bad"))
+    return url_filter.judge(pages.join(labels, "doc_id", "left"), URL_RULES).withColumnRenamed("id", "page_id")
+
+
+OP2_SQL = r"""
+WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path,
+    try_cast(regexp_extract(url, '://[^/?#]*/[a-z]+/([0-9]+)', 1) AS bigint) AS doc_id FROM pages),
+l AS (SELECT doc_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
+h AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS k, array_to_string(string_split(host, '.')[-2:], '.') AS domain,
+    string_split(host, '.')[-1] AS suffix FROM p LEFT JOIN l USING (doc_id) GROUP BY host),
+d AS (SELECT suffix, domain, sum(n) AS n, sum(k) AS k FROM h GROUP BY ALL),
+s AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY ALL),
+c AS (SELECT (sum(k) + 0.5) / (sum(n) + 1) AS p FROM s),
+sr AS (SELECT 1 / least(0.9, greatest(1e-4, coalesce((sum((k - n * p) * (k - n * p)) - sum(n * p * (1 - p))) / nullif(sum(n * (n - 1) * p * (1 - p)), 0), 1e-4))) - 1 AS m FROM s, c),
+sm AS (SELECT suffix, (m * p + k) / (m + n) AS p FROM s, c, sr),
+dr AS (SELECT 1 / least(0.9, greatest(1e-4, coalesce((sum((k - n * p) * (k - n * p)) - sum(n * p * (1 - p))) / nullif(sum(n * (n - 1) * p * (1 - p)), 0), 1e-4))) - 1 AS m FROM d JOIN sm USING (suffix)),
+dm AS (SELECT suffix, domain, (m * p + k) / (m + n) AS p FROM d JOIN sm USING (suffix), dr),
+hr AS (SELECT 1 / least(0.9, greatest(1e-4, coalesce((sum((k - n * p) * (k - n * p)) - sum(n * p * (1 - p))) / nullif(sum(n * (n - 1) * p * (1 - p)), 0), 1e-4))) - 1 AS m FROM h JOIN dm USING (suffix, domain)),
+hm AS (SELECT host, (m * p + k) / (m + n) AS p, m + n AS t FROM h JOIN dm USING (suffix, domain), hr),
+r AS (SELECT p.*, p.page_id AS id, CASE
+    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule FROM p)
+SELECT page_id, r.host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+    WHEN hm.p - 1.645 * sqrt(hm.p * (1 - hm.p) / (t + 1)) > 0.5 THEN 'block' ELSE 'allow' END AS verdict
+FROM r JOIN hm USING (host)
+"""
+
+
 def op3_suffix_dedup(spark, sf_dir):
     found = suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents"))
     return found.drop("spans", "kept").withColumnRenamed("id", "doc_id")
@@ -34,6 +74,25 @@ FROM t
 """
 
 
+REPLY_SCHEMA = {"reply": {"prompt": "string", "turn": "integer", "system": "string?"}}
+
+
+def op5_chat_formatting(spark, sf_dir):
+    """A user's turn is a call of the tool ``reply``, which waits for the turn before; the assistant's next turn answers it."""
+    turns = _read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("conv"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    user, assistant = F.col("role") == "user", F.col("role") == "assistant"
+    events = turns.select(
+        "conv", "turn",
+        F.when(user, "call").when(assistant, "result").otherwise("message").alias("kind"),
+        F.when(user, F.concat(F.lit("t"), F.col("turn"))).when(assistant, F.concat(F.lit("t"), F.col("turn") - 1)).alias("call_id"),
+        F.when(user, "reply").alias("name"),
+        F.when(user, F.to_json(F.struct(F.col("turn"), F.col("text").alias("prompt")))).alias("arguments"),
+        F.when(user, F.array(F.concat(F.lit("t"), F.col("turn") - 2))).alias("after"),
+        F.when(~user, F.col("text")).alias("content"),
+    )
+    return tool_calls.link(events, REPLY_SCHEMA).withColumnRenamed("conv", "conv_id")
+
+
 def op6_jaccard_join(spark, sf_dir):
     return jaccard_join.join(_read(spark, sf_dir, "documents"), n=5, tau=0.8).withColumnRenamed("id", "doc_id")
 
@@ -69,5 +128,5 @@ def op10_fingerprints(spark, sf_dir):
     return fingerprints.compare_edited(_read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op3_suffix_dedup": op3_suffix_dedup, "op6_jaccard_join": op6_jaccard_join, "op10_fingerprints": op10_fingerprints, "op8_language_id": op8_language_id, "op1_bpe_codec": op1_bpe_codec, "op9_token_counts": op9_token_counts, "op7_mix_sources": op7_mix_sources, "op4_exact_dedup": op4_exact_dedup}
-ORACLE_SQL = {"op6_jaccard_join": OP6_SQL, "op4_exact_dedup": OP4_SQL}
+QUERIES = {"op2_url_filter": op2_url_filter, "op5_chat_formatting": op5_chat_formatting, "op3_suffix_dedup": op3_suffix_dedup, "op6_jaccard_join": op6_jaccard_join, "op10_fingerprints": op10_fingerprints, "op8_language_id": op8_language_id, "op1_bpe_codec": op1_bpe_codec, "op9_token_counts": op9_token_counts, "op7_mix_sources": op7_mix_sources, "op4_exact_dedup": op4_exact_dedup}
+ORACLE_SQL = {"op2_url_filter": OP2_SQL, "op6_jaccard_join": OP6_SQL, "op4_exact_dedup": OP4_SQL}
