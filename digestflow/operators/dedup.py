@@ -106,7 +106,7 @@ def similarity_pairs(df: DataFrame, tau: float = 0.9, mode: str = "exact", block
     dealt = dealt.select(F.xxhash64("key", low, high).alias("task"), side.alias("side"), "id", "vec")
     kind = dict(df.dtypes)["id"]
 
-    def compare(key, table: pa.Table) -> pa.Table:
+    def compare(key, table):
         ids = table["id"].to_numpy() if kind != "string" else np.array(table["id"].to_pylist(), object)
         side = table["side"].to_numpy()
         m = np.stack([np.asarray(v, np.float64) for v in table["vec"].to_pylist()])
@@ -132,7 +132,7 @@ def similarity_pairs(df: DataFrame, tau: float = 0.9, mode: str = "exact", block
 
 
 def greedy_leaders(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """nodes (id, pos) -> id, leader (boolean): a row leads if no leader before it (by pos) is in a pair with it.
+    """nodes (id, pos) -> id, pos, leader (boolean): a row leads if no leader before it (by pos) is in a pair with it.
 
     Rounds of joins: undecided rows without an undecided row before them lead, and what follows them doesn't.  Each
     round is written; ties of pos go by id.
@@ -152,18 +152,20 @@ def greedy_leaders(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
         edges = written(edges.join(open_, "before", "left_semi").join(open_.withColumnRenamed("before", "after"), "after", "left_semi").select("before", "after"), "edges")
     for part in decided:
         alone = alone.unionByName(part)
-    return alone
+    return nodes.select("id", "pos").join(alone, "id")
 
 
 def clusters(leaders: DataFrame, pairs: DataFrame, new_ids: DataFrame, assign: str = "all") -> tuple[DataFrame, DataFrame]:
     """Clusters (id, representative_id, material_ids, similarities) that hold a new id, and the links of their members.
 
-    ``all``: a row is in the cluster of every leader it is similar to; ``best``: only in the most similar one's.
+    ``all``: a row is in the cluster of every leader before it that it is similar to; ``best``: only in the most similar
+    one's.
     """
     lead = leaders.where("leader").select("id")
-    rest = leaders.where("NOT leader").select("id")
+    place = F.struct("pos", "id")
     both = pairs.select("a", "b", "similarity").union(pairs.select("b", "a", "similarity")).toDF("rep", "member", "similarity")
-    members = both.join(lead.withColumnRenamed("id", "rep"), "rep", "left_semi").join(rest.withColumnRenamed("id", "member"), "member", "left_semi")
+    members = both.join(leaders.where("leader").select(F.col("id").alias("rep"), place.alias("rp")), "rep")
+    members = members.join(leaders.where("NOT leader").select(F.col("id").alias("member"), place.alias("mp")), "member").where("rp < mp").drop("rp", "mp")
     if assign == "best":
         best = members.groupBy("member").agg(F.max_by("rep", F.struct("similarity", "rep")).alias("rep"))
         members = members.join(best, ["member", "rep"])
