@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from digestflow.functions import text as T
 from digestflow.functions.html import Page
@@ -37,7 +38,7 @@ def extract_items(items: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     have = F.coalesce("raw_text", F.lit("")) != ""
     given = items.withColumn("_html", F.when(~have, F.col("raw_html")))
-    out = items.schema.add("_page", "string")
+    out = StructType([*items.schema, StructField("_page", StringType())])
     given = given.mapInArrow(read, out)
     ref = lambda a: a["download_ref"]
     documents = F.filter("attachments", lambda a: a["kind"] == "document")

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable, Iterator, Mapping
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 SCORE_KEY = ("cluster_id", "profile_id", "profile_version", "model", "prompt_version")
 #: What an answer to a screening request must hold, with ranges.
@@ -90,7 +90,7 @@ def score(requests: DataFrame, fn: Callable[[list[str]], list[str]]) -> DataFram
         for batch in batches:
             yield batch.assign(response=fn(batch["request"].tolist()))
 
-    return requests.mapInPandas(answered, requests.schema.add("response", "string"))
+    return requests.mapInPandas(answered, StructType([*requests.schema, StructField("response", StringType())]))
 
 
 def parse_json_strict(responses: DataFrame, fields: Mapping[str, str], checks: Mapping[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:

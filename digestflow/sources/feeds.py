@@ -46,7 +46,9 @@ def read_feed(spark: SparkSession, path: str, kind: str) -> DataFrame:
 def feed_errors(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """feed_parse_failed for each file at path without a readable entry."""
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"))
-    entries = read_feed(spark, path, kind).where("corrupt IS NULL").select("file").distinct()
+    # the title is used as well: Spark won't scan for the corrupt-record column alone
+    readable = F.coalesce(F.col("corrupt").isNull() | (F.char_length("title") < 0), F.lit(False))
+    entries = read_feed(spark, path, kind).where(readable).select("file").distinct()
     plain = F.regexp_replace("file", "^file:/+", "/")
     bad = files.withColumn("key", plain).join(entries.select(plain.alias("key")), "key", "left_anti")
     return bad.select(
