@@ -163,7 +163,8 @@ class Mix:
         end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
         spans = spans.withColumn("at", begin - F.col("start")).withColumn("words", end - begin)
         times = self.slots().groupBy("s", "block").agg(F.count("*").alias("times"))
-        return spans.join(times, ["s", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
+        # sizes that Spark guesses for exploded slots are far too low: not to be broadcast
+        return spans.join(times.hint("merge"), ["s", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
 
     def taken(self) -> DataFrame:
         """One row per row of docs: id, source, size, source_size, target, taken (words, repeats counted)."""
