@@ -114,7 +114,7 @@ def dedup_text(title: Column, text: Column, max_chars: int = 4000) -> Column:
 
 
 def merge_metadata(raw: Column, extraction: Column) -> Column:
-    """raw: map<string,string>; extraction: a struct or map, null for none -> JSON with the extraction nested."""
-    return F.when(extraction.isNull(), F.to_json(raw)).otherwise(
-        F.to_json(F.map_concat(raw, F.create_map(F.lit("extraction"), F.to_json(extraction))))
-    )
+    """raw: map<string,string>; extraction: a struct, null for none -> JSON of raw with the extraction nested in it."""
+    own = F.transform_values(raw, lambda k, v: v.cast("variant"))
+    more = F.create_map(F.lit("extraction"), F.to_variant_object(extraction))
+    return F.when(extraction.isNull(), F.to_json(own)).otherwise(F.to_json(F.map_concat(own, more)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -10,6 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, FloatType, LongType
 
 from digestflow.functions.text import cluster_id
 
@@ -67,7 +69,7 @@ def hashed_counts(texts: pd.Series, dims: int = 4096) -> list[np.ndarray]:
 def encode(df: DataFrame, encoder: Callable[[pd.Series], list] = hashed_counts, text_col: str = "dedup_text") -> DataFrame:
     """df with ``vec``: encoder over batches of texts."""
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(ArrayType(FloatType()))
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([np.asarray(v, np.float32) for v in encoder(batch)])
@@ -75,60 +77,119 @@ def encode(df: DataFrame, encoder: Callable[[pd.Series], list] = hashed_counts,
     return df.withColumn("vec", vectors(F.col(text_col)))
 
 
+def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Tables of whole groups of adjacent rows with equal key."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        keys = batch.column(key).to_numpy()
+        if not len(keys):
+            continue
+        last = int(np.argmax(keys == keys[-1]))  # where the group that may go on begins
+        if held and held[-1].column(key)[-1].as_py() != keys[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        if last:
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _compared(keyed: DataFrame, payload: str, block: int, near: Callable[[np.ndarray, np.ndarray], np.ndarray], load: Callable[[list], np.ndarray], kind: str) -> DataFrame:
+    """keyed (key, id, payload) -> a, b, value of pairs within a key: near(left rows, right rows) gives NaN for the others.
+
+    Keys with more than ``block`` rows are cut into blocks, and each pair of blocks goes to a task of its own.
+    """
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    cut = keyed.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    own = cut.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    side = F.when(low == high, 2).otherwise(F.when(F.col("own") == low, 0).otherwise(1))
+    dealt = dealt.select(F.xxhash64("key", low, high).alias("task"), side.alias("side"), "id", payload)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches, "task"):
+            ids, task, side = np.array(table["id"].to_pylist(), object if kind == "string" else None), table["task"].to_numpy(), table["side"].to_numpy()
+            rows, id_type = table[payload].to_pylist(), table.schema.field("id").type
+            starts = np.flatnonzero(np.append(True, task[1:] != task[:-1]))
+            out: list[list] = [[], [], []]
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(task)]):
+                if e - s < 2:
+                    continue
+                m, own, names = load(rows[s:e]), side[s:e], ids[s:e]
+                left, right = np.flatnonzero(own != 1), np.flatnonzero(own != 0)
+                for start in range(0, len(left), 512):
+                    part = left[start : start + 512]
+                    value = near(m[part], m[right])
+                    i, j = np.nonzero(~np.isnan(value))
+                    x, y = names[part[i]], names[right[j]]
+                    ok = (x != y) & ((own[part[i]] == 0) | (x < y))
+                    x, y, found = x[ok], y[ok], value[i[ok], j[ok]]
+                    for column, v in zip(out, (np.where(x < y, x, y), np.where(x < y, y, x), found)):
+                        column.extend(v.tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], id_type), pa.array(out[1], id_type), pa.array(out[2], pa.float64())], ["a", "b", "value"])
+
+    partitions = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(partitions, "task").sortWithinPartitions("task").mapInArrow(compare, f"a {kind}, b {kind}, value double")
+
+
 def similarity_pairs(df: DataFrame, tau: float = 0.9, mode: str = "exact", block: int = 2048, bands: int = 24, bits: int = 12, seed: int = 5) -> DataFrame:
     """df (id, vec) -> a, b (a < b), similarity: pairs with a cosine of tau or more.
 
     ``exact`` compares every two rows, a pair of blocks to a task, so its work is quadratic.  ``bands`` compares rows
-    that agree in one of ``bands`` groups of ``bits`` signs of random projections; groups above ``block`` rows are cut
-    into blocks the same way, so none is dropped.  Zero and null vectors are like nothing.
+    that agree in one of ``bands`` groups of ``bits`` signs of random projections: first their signs (a pair is out if
+    these differ five standard deviations more than tau lets them), then, once a pair, the vectors.  Zero and null
+    vectors are like nothing.
     """
     if not 0 < tau <= 1:
         raise ValueError("tau must be above 0 and at most 1")
-    rows = df.where("vec IS NOT NULL").select("id", "vec")
-    if mode == "exact":
-        keyed = rows.withColumn("key", F.lit(0).cast("long"))
-    else:
-        @F.pandas_udf("array<long>")
-        def signs(vec: pd.Series) -> pd.Series:
-            m = np.stack(vec.to_numpy()).astype(np.float32)
-            planes = np.random.default_rng(seed).standard_normal((m.shape[1], bands * bits), np.float32)
-            on = (m @ planes > 0).reshape(len(m), bands, bits)
-            return pd.Series(list(on @ (1 << np.arange(bits)) + (np.arange(bands) << bits)))
-
-        keyed = rows.withColumn("key", F.explode(signs("vec")))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"))
-    keyed = keyed.join(F.broadcast(sizes) if mode == "exact" else sizes, "key").where("n > 1")
-    cut = keyed.withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    own = cut.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    side = F.when(low == high, 2).otherwise(F.when(F.col("own") == low, 0).otherwise(1))
-    dealt = dealt.select(F.xxhash64("key", low, high).alias("task"), side.alias("side"), "id", "vec")
     kind = dict(df.dtypes)["id"]
+    rows = df.where("vec IS NOT NULL").select("id", "vec")
 
-    def compare(key, table):
-        ids = table["id"].to_numpy() if kind != "string" else np.array(table["id"].to_pylist(), object)
-        side = table["side"].to_numpy()
-        m = np.stack([np.asarray(v, np.float64) for v in table["vec"].to_pylist()])
+    def unit(vectors: list) -> np.ndarray:
+        m = np.array(vectors, np.float64)
         norm = np.linalg.norm(m, axis=1, keepdims=True)
-        m = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        a, b, s = [], [], []
-        for start in range(0, len(left), 512):
-            part = left[start : start + 512]
-            near = m[part] @ m[right].T
-            i, j = np.nonzero(near >= tau)
-            x, y = ids[part[i]], ids[right[j]]
-            ok = (x != y) & ((side[part[i]] == 0) | (x < y))
-            x, y, near = x[ok], y[ok], near[i[ok], j[ok]]
-            swap = x > y
-            a.append(np.where(swap, y, x)), b.append(np.where(swap, x, y)), s.append(np.clip(near, 0, 1))
-        both = [np.concatenate(c) for c in (a, b, s)]
-        t = table.schema.field("id").type
-        return pa.table([pa.array(both[0], t), pa.array(both[1], t), pa.array(both[2], pa.float64())], ["a", "b", "similarity"])
-
-    found = dealt.groupBy("task").applyInArrow(compare, f"a {kind}, b {kind}, similarity double")
-    return found.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+        return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+    def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        near = x @ y.T
+        return np.where(near >= tau, np.clip(near, 0, 1), np.nan)
+
+    if mode == "exact":
+        return _compared(rows.withColumn("key", F.lit(0).cast("long")), "vec", block, cosines, unit, kind).withColumnRenamed("value", "similarity")
+
+    @F.pandas_udf(BinaryType())
+    def signs(vec: pd.Series) -> pd.Series:
+        m = np.stack(vec.to_numpy()).astype(np.float32)
+        planes = np.random.default_rng(seed).standard_normal((m.shape[1], bands * bits), np.float32)
+        return pd.Series([x.tobytes() for x in np.packbits(m @ planes > 0, axis=1)])
+
+    @F.pandas_udf(ArrayType(LongType()))
+    def keys(packed: pd.Series) -> pd.Series:
+        on = np.unpackbits(np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), -1), axis=1)[:, : bands * bits]
+        return pd.Series(list(on.reshape(len(packed), bands, bits) @ (1 << np.arange(bits)) + (np.arange(bands) << bits)))
+
+    apart = math.acos(tau) / math.pi
+    most = bands * bits * (apart + 5 * math.sqrt(apart * (1 - apart) / (bands * bits))) + 1
+
+    def differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        n = np.zeros((len(x), len(y)), np.int32)
+        for k in range(x.shape[1]):
+            n += np.bitwise_count(x[:, k][:, None] ^ y[:, k])
+        return np.where(n <= most, n, np.nan)
+
+    signed = rows.select("id", signs("vec").alias("packed"))
+    keyed = signed.withColumn("key", F.explode(keys("packed")))
+    candidates = _compared(keyed, "packed", block, differ, lambda x: np.frombuffer(b"".join(x), np.uint8).reshape(len(x), -1), kind).select("a", "b").distinct()
+
+    @F.pandas_udf(DoubleType())
+    def cosine(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series((unit(x.tolist()) * unit(y.tolist())).sum(1).clip(0, 1))
+
+    both = candidates.join(rows.toDF("a", "va"), "a").join(rows.toDF("b", "vb"), "b")
+    return both.select("a", "b", cosine("va", "vb").alias("similarity")).where(F.col("similarity") >= tau)
 
 
 def greedy_leaders(nodes: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -45,6 +45,12 @@ def test_texts(spark):
     assert column(spark, ["b"], lambda v: text.cluster_id(F.array(v, F.lit("a")))) == column(spark, ["a"], lambda v: text.cluster_id(F.array(v, F.lit("b"))))
 
 
+def test_metadata(spark):
+    df = spark.createDataFrame([({"a": "1"}, (2, ["x"])), ({}, None)], "m map<string,string>, e struct<n:int,errors:array<string>>")
+    got = [r[0] for r in df.select(text.merge_metadata(F.col("m"), F.col("e"))).collect()]
+    assert got == ['{"a":"1","extraction":{"errors":["x"],"n":2}}', "{}"]
+
+
 def test_dates(spark):
     given = {
         "2026-09-02 01:00": (9, 1, 22, 0), "2026-09-02T01:00:00+03:00": (9, 1, 22, 0), "2026-09-02T01:00:00Z": (9, 2, 1, 0), "Wed, 02 Sep 2026 10:00:00 +0300": (9, 2, 7, 0),
