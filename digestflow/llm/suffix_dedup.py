@@ -4,14 +4,15 @@ A byte goes if a string of LENGTH bytes that covers it also starts somewhere els
 
 1. Each window of LENGTH bytes has one anchor, its least K-gram by hash (the leftmost of equals).  Equal windows have
    equal anchors at equal offsets, so only suffixes of windows with the same anchor need be put in order, and anchors
-   that occur once are done with.  About one byte in eighty is an anchor; only their hashes and places are shuffled.
-   Whole documents that are equal are one document with a count.
-2. For each place of an anchor that occurs again, its context (the bytes of its windows) is fetched.  Equal contexts are
-   collapsed before they meet; a context that occurs twice repeats with all its windows.
-3. Within an anchor, the distinct contexts are sorted twice: rightwards from the anchor, and leftwards before it.
-   Multikey quicksort goes to a shallow depth; what still ties goes through a blind trie, which looks at branching bytes
-   alone and then compares once.  The sorts give the longest common prefixes of neighbours, and with them, for every
-   offset, which windows are equal.
+   that occur once are done with.  About one byte in eighty is an anchor; only its hash, its place and a digest of its
+   context (the bytes of all its windows) are shuffled.
+2. A context that occurs twice repeats with all its windows; this settles the insides of copies, whatever their number,
+   by counts that are summed up before they meet.
+3. Anchors with a context of their own and another one beside it are the edges of copies.  Of each of their distinct
+   contexts one is fetched, and they are sorted twice: rightwards from the anchor, and leftwards before it.  Multikey
+   quicksort goes to a shallow depth; what still ties goes through a blind trie, which looks at branching bytes alone and
+   then compares once.  The sorts give the longest common prefixes of neighbours, and with them, for every offset, which
+   windows are equal.
 4. An anchor with more than GROUP distinct contexts is not gathered at all: its windows are grouped by their digests.
 """
 
@@ -22,14 +23,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import n_partitions, staged
+from ._shared import n_partitions, sliced, staged
 from .jaccard_join import _grouped
 from .rolling import sliding_min, window_hashes
 
-LENGTH, K, GROUP, SHALLOW = 200, 40, 4096, 16
+LENGTH, K, GROUP, SHALLOW, PAIRS = 200, 40, 4096, 8, 48
 PART = 1 << 20
 
 
@@ -127,15 +129,25 @@ def deep_shallow_sort(strings: list[bytes], start: int = 0) -> tuple[np.ndarray,
     return np.array(order), np.array(lcp)
 
 
-def repeated_offsets(lefts: list[bytes], rights: list[bytes], low: np.ndarray, high: np.ndarray, length: int) -> np.ndarray:
+def repeated_offsets(lefts: list[bytes], rights: list[bytes], low: np.ndarray, high: np.ndarray, length: int, k: int = 0) -> np.ndarray:
     """For contexts around one anchor, whether the window that starts ``o`` bytes before it also stands in another.
 
-    lefts: the bytes before the anchor, reversed; rights: from the anchor on; windows: o from low to high.  Returns
-    (context, o) flags.
+    lefts: the bytes before the anchor, reversed; rights: from the anchor (of k bytes) on; windows: o from low to high.
+    Returns (context, o) flags.
     """
     n, most = len(lefts), int(high.max())
     out = np.zeros((n, most + 1), bool)
-    (r_order, r_lcp), (l_order, l_lcp) = deep_shallow_sort(rights), deep_shallow_sort(lefts)
+    same = all(r[:k] == rights[0][:k] for r in rights)
+    (r_order, r_lcp), (l_order, l_lcp) = deep_shallow_sort(rights, k if same else 0), deep_shallow_sort(lefts)
+    if n <= PAIRS:
+        # two contexts match as far as the least common prefix between their places in either order
+        right, left = (_all_prefixes(o, p) for o, p in ((r_order, r_lcp), (l_order, l_lcp)))
+        for i in range(n):
+            for j in range(i):
+                begin, end = max(length - right[i][j], low[i], low[j]), min(left[i][j], high[i], high[j])
+                if begin <= end:
+                    out[i, begin : end + 1] = out[j, begin : end + 1] = True
+        return out
     right, left = np.empty(n, np.int64), np.empty(n, np.int64)
     for o in range(int(low.min()), most + 1):
         right[r_order] = np.cumsum(r_lcp < length - o)
@@ -146,88 +158,96 @@ def repeated_offsets(lefts: list[bytes], rights: list[bytes], low: np.ndarray, h
     return out
 
 
+def _all_prefixes(order: np.ndarray, lcp: np.ndarray) -> list[list[int]]:
+    """Common prefix of every two strings, from their order and the common prefixes of neighbours."""
+    n, place, near = len(order), order.tolist(), lcp.tolist()
+    out = [[0] * n for _ in range(n)]
+    for i in range(n):
+        least = 1 << 30
+        for j in range(i + 1, n):
+            least = min(least, near[j])
+            out[place[i]][place[j]] = out[place[j]][place[i]] = least
+    return out
+
+
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("bytes"))
     return rows.withColumn("rk", F.xxhash64("id", "bytes"))
 
 
 def repeated_runs(rows: DataFrame, length: int, k: int) -> DataFrame:
-    """rows (rk, bytes) -> rk, first, last: runs of window starts whose windows stand elsewhere too.  Equal texts apart."""
+    """rows (id, rk, bytes) -> rk, first, last: runs of window starts whose windows stand elsewhere too."""
     spark = rows.sparkSession
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(5)]
+        for batch in sliced(batches):
+            cols: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(6)]
             for rk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 h, at, first, last = anchors(data, length, k)
-                for column, x in zip(cols, (h, np.full(len(h), rk), at, at - first, at - last)):
+                high, low = at - first, at - last
+                digest = np.fromiter(
+                    (xxhash.xxh3_64_intdigest(data[b : e + length], x << 16 | y) for b, e, x, y in zip(first.tolist(), last.tolist(), high.tolist(), low.tolist())),
+                    np.uint64, len(h),
+                )
+                for column, x in zip(cols, (h, digest.astype(np.int64), np.full(len(h), rk), at, high, low)):
                     column.append(x)
-            h, rk, at, high, low = map(np.concatenate, cols)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h), pa.array(rk), pa.array(at.astype(np.int32)), pa.array(high.astype(np.int16)), pa.array(low.astype(np.int16))],
-                ["h", "rk", "at", "high", "low"],
-            )
+            types = (np.int64, np.int64, np.int64, np.int32, np.int16, np.int16)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(t)) for c, t in zip(cols, types)], ["h", "d", "rk", "at", "high", "low"])
 
-    found = staged(rows.select("rk", "bytes").mapInArrow(find, "h long, rk long, at int, high short, low short"), "anchors")
+    found = rows.where(F.length("bytes") >= length).select("rk", "bytes").mapInArrow(find, "h long, d long, rk long, at int, high short, low short")
     again = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    places = found.join(again, "h").groupBy("rk").agg(F.collect_list(F.struct("h", "at", "high", "low")).alias("places"))
-
+    places = staged(found.join(again, "h"), "anchors")
+    contexts = places.groupBy("h", "d").agg(F.count("*").alias("n"), F.min(F.struct("rk", "at", "high", "low")).alias("rep"))
+    contexts = staged(contexts, "contexts")
+    repeated = places.join(contexts.where("n > 1").select("h", "d"), ["h", "d"])
+    repeated = repeated.select("rk", (F.col("at") - F.col("high")).alias("first"), (F.col("at") - F.col("low")).alias("last"))
+    edges = contexts.groupBy("h").agg(F.count("*").alias("contexts"), F.count_if(F.col("n") == 1).alias("own")).where("contexts > 1 AND own > 0")
+    edges = contexts.select("h", "n", "rep.*").join(edges.select("h", "contexts"), "h")
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
-            for rk, data, places in zip(*(c.to_pylist() for c in batch.columns)):
+        names = ("h", "n", "at", "high", "low")
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.int64(), pa.binary())
+        for batch in sliced(batches):
+            out: list[list] = [[] for _ in types]
+            for rk, data, places in zip(*(batch.column(c).to_pylist() for c in ("rk", "bytes", "places"))):
                 for p in places:
-                    begin = p["at"] - p["high"]
-                    for column, x in zip(out, (p["h"], rk, p["at"], p["high"], p["low"], data[begin : p["at"] - p["low"] + length])):
+                    for column, x in zip(out, (*(p[x] for x in names), rk, data[p["at"] - p["high"] : p["at"] - p["low"] + length])):
                         column.append(x)
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["h", "rk", "at", "high", "low", "context"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], [*names, "rk", "context"])
 
-    contexts = rows.select("rk", "bytes").join(places.hint("shuffle_hash"), "rk").select("rk", "bytes", "places")
-    contexts = contexts.mapInArrow(fetch, "h long, rk long, at int, high short, low short, context binary")
-    contexts = staged(contexts.withColumn("digest", F.unhex(F.sha2("context", 256))), "contexts")
-    key = ["h", "high", "low", "digest"]
-    distinct = contexts.groupBy(*key).agg(F.any_value("context").alias("context"), F.count("*").alias("n"))
-    per_anchor = contexts.groupBy("h").agg(F.approx_count_distinct("digest", 0.02).alias("contexts"))
-    sized = distinct.join(per_anchor, "h")
+    def strings(wanted: DataFrame) -> DataFrame:
+        wanted = wanted.groupBy("rk").agg(F.collect_list(F.struct("h", "n", "at", "high", "low")).alias("places"))
+        # id goes along unused, so that these joins and the final one read one and the same shuffle of the texts
+        texts = rows.join(wanted.hint("shuffle_hash"), "rk").select("id", "rk", "bytes", "places")
+        return texts.mapInArrow(fetch, "h long, n long, at int, high short, low short, rk long, context binary")
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _grouped(batches, "h"):
-            h = table["h"].to_numpy()
-            n, high, low = (table[c].to_numpy().astype(np.int64) for c in ("n", "high", "low"))
-            context, digest = table["context"].to_pylist(), table["digest"].to_pylist()
+            h, n, at, rk = (table[c].to_numpy() for c in ("h", "n", "at", "rk"))
+            high, low = (table[c].to_numpy().astype(np.int64) for c in ("high", "low"))
+            context = table["context"].to_pylist()
             starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-            rows_out: list[list] = [[] for _ in range(6)]
+            out: list[list[int]] = [[], [], []]
             for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(h)]):
-                if e - s > 1:
-                    lefts = [context[i][: high[i]][::-1] for i in range(s, e)]
-                    rights = [context[i][high[i] :] for i in range(s, e)]
-                    flags = repeated_offsets(lefts, rights, low[s:e], high[s:e], length)
+                lefts = [context[i][: high[i]][::-1] for i in range(s, e)]
+                rights = [context[i][high[i] :] for i in range(s, e)]
+                flags = repeated_offsets(lefts, rights, low[s:e], high[s:e], length, k)
                 for i in range(s, e):
-                    if n[i] > 1:
-                        runs = [(high[i], low[i])]
-                    elif e - s > 1:
+                    if n[i] == 1 and flags[i - s].any():
                         on = np.flatnonzero(np.diff(np.concatenate([[0], flags[i - s].astype(np.int8), [0]])))
-                        runs = [(int(b) - 1, int(a)) for a, b in zip(on[::2], on[1::2])]
-                    else:
-                        runs = []
-                    for top, bottom in runs:
-                        for column, x in zip(rows_out, (int(h[i]), int(high[i]), int(low[i]), digest[i], int(top), int(bottom))):
-                            column.append(x)
-            types = (pa.int64(), pa.int16(), pa.int16(), pa.binary(), pa.int16(), pa.int16())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows_out, types)], [*key, "top", "bottom"])
-
-    usual = sized.where(F.col("contexts") <= GROUP).select(*key, "context", "n")
-    usual = usual.repartition(n_partitions(spark), "h").sortWithinPartitions("h")
-    runs = usual.mapInArrow(decide, "h long, high short, low short, digest binary, top short, bottom short")
+                        for a, b in zip(on[::2].tolist(), on[1::2].tolist()):
+                            for column, x in zip(out, (int(rk[i]), int(at[i]) - b + 1, int(at[i]) - a)):
+                                column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int32()))], ["rk", "first", "last"])
+
+    usual = strings(edges.where(F.col("contexts") <= GROUP)).repartition(n_partitions(spark), "h").sortWithinPartitions("h")
+    usual = usual.mapInArrow(decide, "rk long, first int, last int")
     # crowded anchors: one row per window, by digest
-    each = sized.where(F.col("contexts") > GROUP).withColumn("o", F.explode(F.sequence(F.col("low").cast("int"), F.col("high").cast("int"))))
-    each = each.withColumn("window", F.sha2(F.substring("context", F.col("high") - F.col("o") + 1, F.lit(length)), 256))
-    many = each.groupBy("h", "o", "window").agg(F.sum("n").alias("times")).where("times > 1")
-    crowded = each.join(many, ["h", "o", "window"]).select(*key, F.col("o").cast("short").alias("top"), F.col("o").cast("short").alias("bottom"))
-    decided = runs.unionByName(crowded)
-    out = contexts.drop("context").join(decided, key)
-    return out.select("rk", (F.col("at") - F.col("top")).alias("first"), (F.col("at") - F.col("bottom")).alias("last"))
+    each = strings(edges.where(F.col("contexts") > GROUP)).withColumn("o", F.explode(F.sequence(F.col("low").cast("int"), F.col("high").cast("int"))))
+    each = each.withColumn("window", F.unhex(F.sha2(F.substring("context", F.col("high") - F.col("o") + 1, F.lit(length)), 256)))
+    many = each.groupBy("h", "o", "window").agg(F.count("*").alias("times")).where("times > 1").drop("times")
+    start = F.col("at") - F.col("o")
+    crowded = each.where("n = 1").join(many, ["h", "o", "window"]).select("rk", start.alias("first"), start.alias("last"))
+    return repeated.unionByName(usual).unionByName(crowded)
 
 
 def covered(runs: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
@@ -248,21 +268,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows are copies of each other and lose every byte if they have ``length`` bytes or more.
     """
     rows = _documents(docs, id_col, text_col)
-    keys = staged(rows.select("id", "rk", F.length("bytes").alias("n_bytes"), F.unhex(F.sha2("bytes", 256)).alias("sha")), "texts")
-    groups = keys.groupBy("sha").agg(F.min("rk").alias("rep"), F.count("*").alias("copies"))
-    keys = staged(keys.join(groups, "sha").select("id", "rk", "n_bytes", "rep", "copies"), "copies")
-    # texts that have copies stand for all of them; what is shorter than a window can't match
-    first = keys.where(f"rk = rep AND n_bytes >= {length}").groupBy("rk").agg(F.max("copies").alias("copies"))
-    one = rows.where(F.length("bytes") >= length).join(first.hint("shuffle_hash"), "rk").dropDuplicates(["rk"]).select("rk", "bytes")
-    runs = repeated_runs(one, length, k).groupBy("rk").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    copied = keys.where(f"copies > 1 AND n_bytes >= {length}").groupBy("rk").agg(F.lit(True).alias("copied"))
-    verdict = runs.join(copied, "rk", "full")
+    runs = repeated_runs(rows, length, k).groupBy("rk").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             removed, spans, sha, kept = [], [], [], []
-            for data, runs, copied in zip(*(c.to_pylist() for c in batch.columns[1:])):
-                own = [(0, len(data))] if copied else covered([(r["first"], r["last"]) for r in runs or ()], length)
+            for data, runs in zip(batch.column("bytes").to_pylist(), batch.column("runs").to_pylist()):
+                own = covered([(r["first"], r["last"]) for r in runs or ()], length)
                 at, parts = 0, []
                 for a, b in own:
                     parts.append(data[at:a])
@@ -272,12 +284,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 sha.append(hashlib.sha256(kept[-1]).hexdigest())
                 spans.append([{"start": a, "end": b} for a, b in own])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(map(len, batch.column(1).to_pylist()), pa.int64()), pa.array(removed, pa.int64()), pa.array(map(len, spans), pa.int64()),
+                [batch.column("id"), pa.array(map(len, batch.column("bytes").to_pylist()), pa.int64()), pa.array(removed, pa.int64()), pa.array(map(len, spans), pa.int64()),
                  pa.array(sha, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.binary())],
                 ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"],
             )
 
-    whole = rows.join(verdict.hint("shuffle_hash"), "rk", "left").select("id", "bytes", "runs", "copied")
+    whole = rows.join(runs.hint("shuffle_hash"), "rk", "left").select("id", "rk", "bytes", "runs")
     kind = dict(rows.dtypes)["id"]
     return whole.mapInArrow(
         cut, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start int, end int>>, kept binary"
