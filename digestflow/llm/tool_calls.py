@@ -1,10 +1,13 @@
 """Chat formatting: link tool calls with their results, order them, check arguments, write canonical JSON.
 
 Events are rows: a message, a call (with an identifier, a tool's name, arguments as JSON and the identifiers it waits
-for) or a result (with the identifier it answers).  Results are joined to calls by conversation and identifier.  The
-level of a call is 0 if it waits for none that its conversation has, else one more than the highest level it waits for;
-it is found in rounds of joins, as many as the longest chain; calls on a cycle get no level.  A result has its call's
-level.  Rows carry their sort key (level, turn, position), so no conversation is gathered into one task.
+for) or a result (with the identifier it answers).  Results are joined to calls by conversation and identifier.
+
+The order is topological: by place, then step.  A call's place is its turn, unless it waits for a call that comes
+later: then it takes that call's place, one step behind it.  Only calls that are in the wrong order with one they wait
+for are moved, in rounds of joins, as many as the longest chain of such moves (none where calls wait for earlier ones
+alone); calls on or behind a cycle get no place.  A result has its call's place and step.  Rows carry their sort key
+(place, step, turn), so no conversation is gathered into one task.
 
 DataFrame functions only.
 """
@@ -50,33 +53,37 @@ def argument_faults(name: Column, arguments: Column, schemas: Mapping[str, Mappi
     return faults
 
 
-def call_levels(calls: DataFrame) -> DataFrame:
-    """calls (conv, call_id, after: array<string>) -> conv, call_id, level (null on or behind a cycle)."""
-    waits = calls.select("conv", "call_id", F.explode("after").alias("before"))
+#: The place of calls on or behind a cycle, while order is sought.
+NEVER = 1 << 62
+
+
+def call_order(calls: DataFrame) -> DataFrame:
+    """calls (conv, call_id, call_turn, after: array<string>) -> conv, call_id, place, step (null on or behind a cycle)."""
+    ids = ["conv", "call_id"]
+    waits = calls.select(*ids, F.explode("after").alias("before"))
     known = calls.select("conv", F.col("call_id").alias("before"))
     waits = staged(waits.join(known, ["conv", "before"], "left_semi").distinct(), "waits")
-    free = calls.select("conv", "call_id").join(waits, ["conv", "call_id"], "left_anti")
-    done, level, last = free.withColumn("level", F.lit(0)), 0, free.withColumn("level", F.lit(0))
-    while waits.take(1):
-        # a call is ready when all it waits for is done
-        waits = staged(waits.join(last.select("conv", F.col("call_id").alias("before")), ["conv", "before"], "left_anti")
-                       .unionByName(waits.join(last.select("conv", F.col("call_id").alias("before")), ["conv", "before"], "left_semi")
-                                    .withColumn("before", F.lit(None).cast("string"))), "waits")
-        state = waits.groupBy("conv", "call_id").agg(F.count("before").alias("left"))
-        ready = staged(state.where("left = 0").select("conv", "call_id"), "ready")
-        if not ready.take(1):
+    now = calls.select(*ids, F.struct(F.col("call_turn").cast("long").alias("place"), F.lit(0).cast("long").alias("step")).alias("at"))
+    sizes = calls.groupBy("conv").agg(F.count("*").alias("n_calls"))
+    while True:
+        both = waits.join(now.withColumnRenamed("at", "own"), ids).join(now.select("conv", F.col("call_id").alias("before"), F.col("at").alias("other")), ["conv", "before"])
+        wrong = both.where((F.col("own.place") < NEVER) & (F.col("other") >= F.col("own")))
+        moved = wrong.groupBy(*ids).agg(F.max("other").alias("other"))
+        # more steps than calls: a cycle
+        moved = moved.join(sizes, "conv").withColumn("never", (F.col("other.place") == NEVER) | (F.col("other.step") >= F.col("n_calls")))
+        new = F.struct(F.when(F.col("never"), NEVER).otherwise(F.col("other.place")).alias("place"), F.when(F.col("never"), 0).otherwise(F.col("other.step") + 1).alias("step"))
+        moved = staged(moved.select(*ids, new.alias("new")), "moved")
+        if not moved.take(1):
             break
-        level += 1
-        last = ready.withColumn("level", F.lit(level))
-        done = done.unionByName(last)
-        waits = staged(waits.join(ready, ["conv", "call_id"], "left_anti"), "waits")
-    return calls.select("conv", "call_id").join(done, ["conv", "call_id"], "left")
+        now = staged(now.join(moved, ids, "left").select(*ids, F.coalesce("new", "at").alias("at")), "order")
+    ok = F.col("at.place") < NEVER
+    return now.select(*ids, F.when(ok, F.col("at.place")).alias("place"), F.when(ok, F.col("at.step")).alias("step"))
 
 
 def link(events: DataFrame, schemas: Mapping[str, Mapping[str, str]]) -> DataFrame:
     """events (conv, turn, kind, call_id, name, arguments, after, content) -> one row per event, in canonical JSON.
 
-    Adds level (null for messages), status and json.  status: ``message``; ``linked``, ``unanswered`` or ``repeated`` (a
+    Adds place and step (null for messages), status and json.  status: ``message``; ``linked``, ``unanswered`` or ``repeated`` (a
     later call with an identifier that its conversation has used) for calls, ``invalid`` before these if the arguments
     don't fit their tool's schema; ``linked``, ``orphan`` (no such call, or only a later one) or ``repeated`` (not the first
     answer) for results; rows of one turn are alike first.  Nulls: a call or result without identifier is ``unanswered`` or ``orphan``.
@@ -86,8 +93,8 @@ def link(events: DataFrame, schemas: Mapping[str, Mapping[str, str]]) -> DataFra
     calls = staged(calls, "calls")
     results = events.where("kind = 'result' AND call_id IS NOT NULL").join(calls.select(*ids, "call_turn"), ids).where("turn >= call_turn")
     answers = results.groupBy(*ids).agg(F.min("turn").alias("answer_turn"))
-    levels = call_levels(calls.select(*ids, F.coalesce("after", F.array().cast("array<string>")).alias("after")))
-    known = calls.drop("after").join(answers, ids, "left").join(levels, ids, "left")
+    order = call_order(calls.select(*ids, "call_turn", F.coalesce("after", F.array().cast("array<string>")).alias("after")))
+    known = calls.drop("after").join(answers, ids, "left").join(order, ids, "left")
     both = events.join(known, ids, "left")
     faults = argument_faults(F.col("name"), F.col("arguments"), schemas)
     call_status = (
@@ -100,6 +107,6 @@ def link(events: DataFrame, schemas: Mapping[str, Mapping[str, str]]) -> DataFra
     # keys in sorted order; nulls are left out
     parts = F.struct(
         F.when(F.col("arguments").isNotNull(), F.coalesce(F.try_parse_json("arguments"), as_text)).alias("arguments"),
-        "content", "conv", F.when(F.size("faults") > 0, F.col("faults")).alias("faults"), F.col("call_id").alias("id"), "kind", "level", "name", "status", "turn",
+        "content", "conv", F.when(F.size("faults") > 0, F.col("faults")).alias("faults"), F.col("call_id").alias("id"), "kind", "name", "place", "status", "step", "turn",
     )
-    return both.select("conv", "turn", "kind", "call_id", "level", "status", F.to_json(parts).alias("json"))
+    return both.select("conv", "turn", "kind", "call_id", "place", "step", "status", F.to_json(parts).alias("json"))

@@ -1,11 +1,16 @@
 """URL filter, chat formatting, components, and the pipeline."""
 
 import os
+import re
+from collections import Counter
 
 import duckdb
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
-from digestflow.llm import queries, tool_calls, url_filter
+from digestflow.llm import mixing, queries, tool_calls, url_filter
+from digestflow.llm._shared import WORD
 from digestflow.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -41,13 +46,22 @@ def test_tool_calls(frame):
     ]
     got = {(r.conv, r.turn): r for r in tool_calls.link(frame(rows, EVENTS), SCHEMA).collect()}
     assert [got[1, t].status for t in range(8)] == ["linked", "linked", "invalid", "invalid", "linked", "repeated", "orphan", "repeated"]
-    assert [got[1, t].level for t in range(8)] == [0, 0, 1, 2, 2, 2, None, 0]
-    assert got[2, 0].level is None and got[2, 1].status == "invalid" and got[2, 2].status == "message" and got[2, 3].status == "invalid"
-    assert got[1, 0].json == '{"arguments":{"x":1,"y":"s"},"conv":1,"id":"a","kind":"call","level":0,"name":"f","status":"linked","turn":0}'
+    assert [(got[1, t].place, got[1, t].step) for t in range(8)] == [(0, 0), (0, 0), (2, 0), (3, 0), (3, 0), (3, 0), (None, None), (0, 0)]
+    assert got[2, 0].place is None and got[2, 1].status == "invalid" and got[2, 2].status == "message" and got[2, 3].status == "invalid"
+    assert got[1, 0].json == '{"arguments":{"x":1,"y":"s"},"conv":1,"id":"a","kind":"call","name":"f","place":0,"status":"linked","step":0,"turn":0}'
     assert '"faults":["x is missing"]' in got[1, 2].json and '"faults":["extra z","x is no integer"]' in got[1, 3].json
     assert tool_calls.link(frame([], EVENTS), SCHEMA).count() == 0
 
 
+def test_call_order(frame):
+    """Calls that wait for later ones move behind them; cycles and what waits for them get no place."""
+    waits = {("a", 0): ["b"], ("b", 1): ["c"], ("c", 2): [], ("d", 3): ["a"], ("p", 4): ["q"], ("q", 5): ["p"], ("r", 6): ["p", "c"], ("s", 7): ["s"]}
+    rows = [(1, c, t, w) for (c, t), w in waits.items()] + [(2, f"n{i}", i, [f"n{i - 1}"]) for i in range(300)]
+    got = {(r.conv, r.call_id): (r.place, r.step) for r in tool_calls.call_order(frame(rows, "conv long, call_id string, call_turn long, after array<string>")).collect()}
+    assert [got[1, c] for c in "abcd"] == [(2, 2), (2, 1), (2, 0), (3, 0)] and all(got[1, c] == (None, None) for c in "pqrs")
+    assert all(got[2, f"n{i}"] == (i, 0) for i in range(300))
+
+
 def test_components(frame):
     edges = [(i, i + 1) for i in range(50)] + [(100, 200), (200, 150), (7, 7), (300, 301), (301, 300)]
     got = {(r.node, r.root) for r in components(frame(edges, "a long, b long")).collect()}
@@ -70,16 +84,37 @@ def test_query_against_sql(spark, name):
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 def test_pipeline(spark):
-    import re
-
+    """run() against brute force: copies, near copies, shares of the sources, and every row's tokens."""
     import corpus_pipeline
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
-    out = corpus_pipeline.run(spark, SF).collect()
-    kept = {r.doc_id for r in out}
-    norm = {d.doc_id: re.sub(r"[\x20\x09-\x0D]+", " ", d.text or "") for d in docs}
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    told = corpus_pipeline.known_language(spark, docs, SF)
+    assert told.columns == docs.columns
+    rows = {r.doc_id: r for r in told.collect()}
+    assert set(rows) == {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
     first = {}
-    for i in sorted(norm):
-        first.setdefault(norm[i], i)
-    assert kept <= set(first.values()) and len(kept) > len(docs) / 3
-    assert all(r.n_tokens == len(r.token_ids) > 0 and r.lang for r in out)
+    for i in sorted(rows):
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", rows[i].text), i)
+    unique = sorted(first.values())
+    sets = {i: (lambda w: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})(re.findall(WORD, rows[i].text)) for i in unique}
+    least = {i: i for i in unique}
+    links = [(i, j) for i in unique for j in unique if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for _ in unique:
+        for i, j in links:
+            least[i] = least[j] = min(least[i], least[j])
+    left = {i for i in unique if least[i] == i}
+    sizes = Counter()
+    for i in left:
+        sizes[rows[i].source] += len(re.findall(WORD, rows[i].text))
+    sources = sorted(sizes)
+    targets = dict(zip(sources, mixing.share_out([sizes[s] for s in sources], [(5, 2, 1)[k % 3] for k in range(len(sources))])))
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    words, times = Counter(), Counter()
+    for r in corpus_pipeline.run(spark, SF).collect():
+        text = tokenizer.decode(r.token_ids, skip_special_tokens=False)
+        assert r.doc_id in left and tokenizer.encode(text, add_special_tokens=False).ids == r.token_ids and r.n_tokens == len(r.token_ids)
+        own = re.findall(WORD, text)
+        assert text == rows[r.doc_id].text or not Counter(own) - Counter(re.findall(WORD, rows[r.doc_id].text))
+        words[r.source] += len(own)
+        times[r.doc_id] += 1
+    assert max(times.values()) <= 3 and all(abs(words[s] - targets[s]) <= 64 for s in sources)
