@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import byte_bpe
-from ._shared import staged
+from ._shared import sliced, staged
 from .rolling import window_hashes
 
 WINDOW, MASK, SHORTEST, LONGEST = 48, (1 << 10) - 1, 256, 8192
@@ -105,7 +105,7 @@ def shared_chunks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     schema = pa.schema([("rk", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("start", pa.int32()), ("size", pa.int32())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out: list[list[int]] = [[], [], [], [], []]
             for rk, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if byte_bpe.OTHER_SPACE.search(text):
@@ -138,7 +138,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(3).compress
-        for batch in batches:
+        for batch in sliced(batches):
             z = pa.array([pack(t.encode()) for t in batch.column(2).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), z], ["row", "rk", "z"])
 
@@ -149,7 +149,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def encode_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, unpack = byte_bpe.load(path), zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for batch in sliced(batches):
             h1, h2, ids = [], [], []
             for z, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 data = unpack(z)
@@ -168,7 +168,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, unpack = byte_bpe.load(path), zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for batch in sliced(batches):
             n, sha, back, tokens = [], [], [], []
             for z, parts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 data = unpack(z)

@@ -6,7 +6,8 @@ A document is the set of its runs of N words.  Documents with equal sets share a
    token that all sets share; a chosen token is a bucket.  Two sets of similarity tau or more share at least one chosen
    token on average, so they miss each other in a run with probability 1/e at most, and in all of them with e**-RUNS:
    RUNS follows from the target recall.  A bucket of more than LIMIT sets splits: each of its sets chooses again, by a
-   hash of the bucket and the token, down to DEPTH levels.  What is still large then holds sets that are alike.
+   hash of the bucket and the token, down to DEPTH levels; a set draws these choices with its first ones, so that texts
+   are read once.  What is still large then holds sets that are alike.
 2. Small buckets are compared by brute force: pairs of 1-bit minwise sketches, LIMIT sets at most to a side.  Larger
    ones are cut into blocks, and each pair of blocks is compared by a task of its own.  A pair whose sketches agree
    well below tau still counts; a bucket hands on a spanning forest of such pairs, never the pairs.
@@ -29,38 +30,40 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import WORD, n_partitions, staged
+from ._shared import WORD, n_partitions, sliced, staged
 from .components import components
 from .rolling import mixed
 
-LIMIT, DEPTH, SKETCH, CACHE = 1024, 4, 512, 300_000
+LIMIT, DEPTH, SKETCH, CACHE = 1024, 3, 256, 300_000
 #: Pairs count as candidates if their sketches' estimate is this far below tau: over five standard deviations.
-SLACK = 0.15
+SLACK = 0.2
 
 _WORD = re.compile(WORD)
-_SALT = np.random.default_rng(0xC0DE).integers(0, 2**64, SKETCH, dtype=np.uint64)
+_FACTORS, _SHIFTS = (x.astype(np.uint32) for x in np.random.default_rng(0xC0DE).integers(0, 2**32, (2, SKETCH), dtype=np.uint64) | np.uint64(1))
 _MULTIPLIERS = np.random.default_rng(0xC0FFEE).integers(0, 2**64, 64, dtype=np.uint64) | np.uint64(1)
 
 
+class Words(dict):
+    """word -> 64-bit hash, with a bounded memory."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > CACHE:
+            self.clear()
+        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
 class Shingler:
-    """Sets of 64-bit hashes of runs of n words, with a bounded cache of word hashes."""
+    """Sets of 64-bit hashes of runs of n words."""
 
     def __init__(self, n: int):
-        self.n, self.cache = n, {}
+        self.n, self.words = n, Words()
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = _WORD.findall(text or "")
         if not words:
             return np.zeros(0, np.uint64)
-        get, cache = self.cache.get, self.cache
-        if len(cache) > CACHE:
-            cache.clear()
-        hashes = np.empty(len(words), np.uint64)
-        for i, w in enumerate(words):
-            h = get(w)
-            if h is None:
-                h = cache[w] = xxhash.xxh3_64_intdigest(w)
-            hashes[i] = h
+        hashes = np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words))
         n = min(self.n, len(words))
         total = np.zeros(len(words) - n + 1, np.uint64)
         for k in range(n):
@@ -68,25 +71,25 @@ class Shingler:
         return np.unique(mixed(total))
 
 
-def chosen(tokens: np.ndarray, parents: np.ndarray, tau: float) -> np.ndarray:
-    """The buckets below each of parents (64-bit) that a set chooses."""
+def chosen(tokens: np.ndarray, parents: np.ndarray, tau: float) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets below parents (64-bit) that a set chooses, and the place of each one's parent."""
     least = np.uint64(min(2**64 - 1, int(2**64 / (tau * len(tokens))))) if tau * len(tokens) > 1 else np.uint64(2**64 - 1)
-    out = [np.zeros(0, np.uint64)]
-    for parent in parents:
-        h = mixed(tokens ^ parent)
-        out.append(mixed(h[h <= least] + parent))
-    return np.concatenate(out)
+    out, of, step = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], max(1, (1 << 18) // len(tokens))
+    for start in range(0, len(parents), step):
+        part = parents[start : start + step, None]
+        h = mixed(tokens ^ part)
+        i, j = np.nonzero(h <= least)
+        out.append(mixed(h[i, j] + part[i, 0]))
+        of.append(i + start)
+    return np.concatenate(out), np.concatenate(of)
 
 
 def sketch(tokens: np.ndarray) -> bytes:
-    """SKETCH bits: the lowest bit of the least hash under each of SKETCH hash functions."""
-    least = np.full(SKETCH, np.uint64(2**64 - 1))
+    """SKETCH bits: a bit of the least value under each of SKETCH hash functions."""
+    least, short = np.full(SKETCH, 2**32 - 1, np.uint32), (tokens >> np.uint64(32)).astype(np.uint32)
     for start in range(0, len(tokens), 256):
-        part = (tokens[start : start + 256, None] ^ _SALT) * np.uint64(0x9E3779B97F4A7C15)
-        part ^= part >> np.uint64(32)
-        part *= np.uint64(0xD6E8FEB86659FD93)
-        np.minimum(least, part.min(0), out=least)
-    return np.packbits((least >> np.uint64(40) & np.uint64(1)).astype(np.uint8)).tobytes()
+        np.minimum(least, (short[start : start + 256, None] * _FACTORS + _SHIFTS).min(0), out=least)
+    return np.packbits(((least ^ least >> np.uint32(15)) * np.uint32(0x2C1B3C6D) >> np.uint32(31)).astype(np.uint8)).tobytes()
 
 
 def roots(n: int, pairs: np.ndarray) -> np.ndarray:
@@ -126,55 +129,51 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
 
 
 def signatures(rows: DataFrame, n: int, tau: float, runs: int) -> DataFrame:
-    """rows (id, rec, text) -> id, rec, fp (hash of the set; null if empty), sketch, paths."""
+    """rows (id, rec, text) -> id, rec, fp (hash of the set; null if empty), sketch, and for each depth d the chosen
+    buckets p<d> with the places u<d> of their parents among those one level up."""
+    names = [x for d in range(1, DEPTH + 1) for x in (f"p{d}", f"u{d}")]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(n)
         seeds = mixed(np.arange(1, runs + 1, dtype=np.uint64))
-        for batch in batches:
-            fps, sketches, paths = [], [], []
+        for batch in sliced(batches):
+            fps, sketches, paths = [], [], {x: [] for x in names}
             for text in batch.column(2).to_pylist():
                 tokens = shingles(text)
-                if not len(tokens):
-                    fps.append(None), sketches.append(None), paths.append(None)
-                    continue
-                fps.append(xxhash.xxh3_128_digest(tokens.tobytes()))
-                sketches.append(sketch(tokens))
-                paths.append(chosen(tokens, seeds, tau).astype(np.int64))
+                fps.append(xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None)
+                sketches.append(sketch(tokens) if len(tokens) else None)
+                above = seeds
+                for d in range(1, DEPTH + 1):
+                    above, of = chosen(tokens, above, tau) if len(tokens) else (None, None)
+                    paths[f"p{d}"].append(None if above is None else above.astype(np.int64))
+                    paths[f"u{d}"].append(None if of is None else of.astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(fps, pa.binary()), pa.array(sketches, pa.binary()), pa.array(paths, pa.list_(pa.int64()))],
-                ["id", "rec", "fp", "sketch", "paths"],
+                [batch.column(0), batch.column(1), pa.array(fps, pa.binary()), pa.array(sketches, pa.binary())]
+                + [pa.array(paths[x], pa.list_(pa.int64() if x[0] == "p" else pa.int32())) for x in names],
+                ["id", "rec", "fp", "sketch", *names],
             )
 
-    return rows.select("id", "rec", "text").mapInArrow(sign, "id long, rec long, fp binary, sketch binary, paths array<long>")
+    kinds = "".join(f", {x} array<{'long' if x[0] == 'p' else 'int'}>" for x in names)
+    return rows.select("id", "rec", "text").mapInArrow(sign, f"id long, rec long, fp binary, sketch binary{kinds}")
 
 
-def buckets(reps: DataFrame, rows: DataFrame, n: int, tau: float) -> DataFrame:
-    """reps (rec, sketch, paths) -> path, rec, size: the buckets of two or more sets, large ones split to DEPTH."""
-    found = reps.select("rec", F.explode("paths").alias("path"))
-    done = None
+def buckets(reps: DataFrame) -> DataFrame:
+    """reps (rec and the paths of signatures()) -> path, rec, size: the buckets of two or more sets, large ones split."""
+    found, done = reps.select("rec", F.explode("p1").alias("path")), None
     for depth in range(1, DEPTH + 1):
-        counts = found.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
+        # written, so that the join has plain shuffles on both sides and Spark can split a hot bucket's
+        counts = staged(found.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"), "bucket-sizes")
         sized = staged(found.join(counts, "path"), "paths")
         last = depth == DEPTH
         small = sized if last else sized.where(F.col("size") <= LIMIT)
         done = small if done is None else done.unionByName(small)
-        large = sized.where(F.col("size") > LIMIT)
+        large = sized.where(F.col("size") > LIMIT).select("path").distinct()
         if last or not large.take(1):
             return done
-
-        def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            shingles = Shingler(n)
-            for batch in batches:
-                recs, paths = [], []
-                for rec, text, above in zip(*(c.to_pylist() for c in batch.columns)):
-                    below = chosen(shingles(text), np.array(above, np.int64).astype(np.uint64), tau).astype(np.int64)
-                    recs += [rec] * len(below)
-                    paths += below.tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(recs, pa.int64()), pa.array(paths, pa.int64())], ["rec", "path"])
-
-        above = large.groupBy("rec").agg(F.collect_list("path").alias("above"))
-        found = rows.join(above.hint("shuffle_hash"), "rec").select("rec", "text", "above").mapInArrow(split, "rec long, path long")
+        parents = F.col(f"p{depth}")
+        above = F.transform(f"u{depth + 1}", lambda i: F.get(parents, i))  # noqa: B023
+        each = reps.select("rec", F.explode(F.arrays_zip(above.alias("above"), F.col(f"p{depth + 1}").alias("path"))).alias("x")).select("rec", "x.above", "x.path")
+        found = each.join(large.withColumnRenamed("path", "above"), "above", "left_semi").select("rec", "path")
     return done
 
 
@@ -299,8 +298,8 @@ def join(
     of = staged(of.select("id", "rec", F.coalesce("rep", "rec").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies")), "copies")
     weights = of.where("rec = rep").groupBy("rec").agg(F.max("copies").alias("copies"))
     own = signed.where("fp IS NOT NULL").join(weights, "rec", "left_semi").dropDuplicates(["rec"])
-    own = staged(own.select("rec", "sketch", "paths"), "sets")
-    found = buckets(own, rows, n, tau)
+    own = staged(own.drop("id", "fp"), "sets")
+    found = buckets(own)
     groups = components(candidate_edges(found.join(own.select("rec", "sketch"), "rec"), tau))
     sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
     members = groups.withColumnRenamed("node", "rec").join(sizes, "root").join(weights, "rec")

@@ -22,13 +22,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from ._shared import sliced
+
 ORDER = 3
 TRAIN_BYTES = 1_000_000
 MAX_LANGUAGES = 400
 UNDETERMINED = "und"
 #: What stands before a text's first byte.
 PAD = b"\n" * ORDER
-PART = 1 << 20
+PART = 1 << 18
 
 
 def grams(data: np.ndarray) -> np.ndarray:
@@ -131,12 +133,11 @@ class Model:
             nonlocal group, size
             if group:
                 data = np.frombuffer(b"".join(x for _, x in group), np.uint8)
-                cost = self.byte_costs(grams(data)).astype(np.float64)
+                cost = self.byte_costs(grams(data))
                 ends = np.cumsum([len(x) for _, x in group])
-                sums = np.vstack([np.zeros(len(self.languages)), np.cumsum(cost, 0)])
                 for (i, x), end in zip(group, ends.tolist()):
-                    # grams are numbered from the text's first own byte: those of earlier texts' joins lie before
-                    out[i] += sums[end - ORDER] - sums[end - len(x)]
+                    # the last ORDER grams before a text's padding span two texts: they count for neither
+                    out[i] += cost[end - len(x) : end - ORDER].sum(0, dtype=np.float64)
             group, size = [], 0
 
         for i, text in enumerate(texts):
@@ -167,7 +168,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
     drawn = (F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)) < share[F.col("lang")]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             by: dict[str, list[bytes]] = {}
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 by.setdefault(lang, []).append(text.encode())
@@ -192,7 +193,7 @@ def predict(rows: DataFrame, model: Model | None) -> DataFrame:
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(1).to_pylist()
             known = [i for i, t in enumerate(texts) if model and t and has_letter(t)]
             names, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))

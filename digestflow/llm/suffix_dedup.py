@@ -195,7 +195,8 @@ def repeated_runs(rows: DataFrame, length: int, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(t)) for c, t in zip(cols, types)], ["h", "d", "rk", "at", "high", "low"])
 
     found = rows.where(F.length("bytes") >= length).select("rk", "bytes").mapInArrow(find, "h long, d long, rk long, at int, high short, low short")
-    again = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # written, so that the join has plain shuffles on both sides and Spark can split a hot anchor's
+    again = staged(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "again")
     places = staged(found.join(again, "h"), "anchors")
     contexts = places.groupBy("h", "d").agg(F.count("*").alias("n"), F.min(F.struct("rk", "at", "high", "low")).alias("rep"))
     contexts = staged(contexts, "contexts")

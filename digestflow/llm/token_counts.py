@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import byte_bpe
+from ._shared import sliced
 
 TABLE, TASK_TOP, UNIT_CHARS, CACHE, COUNTED = 65_536, 2_048, 24, 400_000, 200_000
 
@@ -64,7 +65,7 @@ def frequent_units(docs: DataFrame, text_col: str) -> DataFrame:
 
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch.column(0).to_pylist():
                 seen.update(UNIT.findall(text or ""))
                 if len(seen) > COUNTED:  # keeps the heavy ones; only the lookup's hit rate depends on it
@@ -109,7 +110,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = whole_counter(path)
         lookup = Lookup(table.value, whole) if split else None
-        for batch in batches:
+        for batch in sliced(batches):
             n = []
             for text in batch.column(1).to_pylist():
                 if not text:

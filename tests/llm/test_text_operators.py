@@ -181,9 +181,9 @@ def near_copies():
     return rows
 
 
-@pytest.mark.parametrize("limit", [1024, 8])
+@pytest.mark.parametrize("limit", [1024, 3])
 def test_jaccard_join(frame, limit, monkeypatch):
-    """A limit of 8 makes buckets split, and blocks meet in pairs."""
+    """A limit of 3 makes buckets split, and blocks meet in pairs."""
     monkeypatch.setattr(jaccard_join, "LIMIT", limit)
     texts = near_copies()
     sets = [(lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())((t or "").split()) for t in texts]
