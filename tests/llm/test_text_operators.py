@@ -185,6 +185,7 @@ def near_copies():
 def test_jaccard_join(frame, limit, monkeypatch):
     """A limit of 3 makes buckets split, and blocks meet in pairs."""
     monkeypatch.setattr(jaccard_join, "LIMIT", limit)
+    monkeypatch.setattr(jaccard_join, "BLOCK", limit)
     texts = near_copies()
     sets = [(lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())((t or "").split()) for t in texts]
     links = [[j for j, b in enumerate(sets) if j != i and a and b and len(a & b) >= 0.8 * len(a | b)] for i, a in enumerate(sets)]
