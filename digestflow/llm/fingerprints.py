@@ -3,7 +3,8 @@
 The letters are words (runs of characters other than ASCII white space, cut after 16 characters).  Of all runs of K
 words, those are chosen whose least inner run of S words, by hash, is the first or the last one.  The choice depends on
 nothing but the run itself, so a passage keeps its anchors wherever it stands, and an edit changes only the runs that
-touch it.  A text of fewer than K words is one run; one without words has the empty fingerprint.
+touch it.  A text of fewer than K words is one run; where none of a text's runs is chosen (which takes fewer than 2K - S - 1
+words), the one with the least hash is.  So only a text without words has the empty fingerprint.
 """
 
 from __future__ import annotations
@@ -29,7 +30,12 @@ def syncmers(text: Column, k: int = K, s: int = S) -> Column:
                 inner = F.least(*[F.get(g, i + j) for j in range(1, k - s)])
                 return F.when(edges <= inner, F.xxhash64(*[F.get(h, i + j) for j in range(k)]))
 
-            return F.array_distinct(F.array_compact(F.transform(F.sequence(F.lit(0), F.size(h) - k), at)))
+            def run(i: Column) -> Column:
+                return F.xxhash64(*[F.get(h, i + j) for j in range(k)])
+
+            places = F.sequence(F.lit(0), F.size(h) - k)
+            found = F.array_distinct(F.array_compact(F.transform(places, at)))
+            return let(found, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.array_min(F.transform(places, run)))))
 
         grams = F.transform(h, lambda x, i: F.xxhash64(*[F.get(h, i + j) for j in range(s)]))
         short = F.when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<long>"))

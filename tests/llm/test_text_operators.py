@@ -318,3 +318,15 @@ def test_syncmers_are_context_free(frame, spark):
     rows = frame([(0, middle), (1, words(rng, 13) + " " + middle + " " + words(rng, 9))], "doc_id long, text string")
     a, b = (r[0] for r in rows.orderBy("doc_id").select(fingerprints.syncmers(F.col("text"))).collect())
     assert a and [x for x in b if x in set(a)] == a
+
+
+def test_short_texts_have_anchors(frame):
+    """Of 8 to 12 words, where often no run is chosen."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(13)
+    texts = [words(rng, n) for n in range(1, 17) for _ in range(12)]
+    got = frame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").select("doc_id", fingerprints.syncmers(F.col("text")).alias("x"))
+    assert all(got.select(F.size("x") > 0).toPandas().iloc[:, 0])
+    pairs = got.join(got.toDF("b", "y"), F.expr("doc_id >= 12 * 7 AND b > doc_id")).agg(F.max(fingerprints.likeness(F.col("x"), F.col("y"))))
+    assert pairs.first()[0] == 0
