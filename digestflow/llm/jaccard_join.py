@@ -2,15 +2,18 @@
 
 A document is the set of its runs of N words.  Documents with equal sets share a representative.
 
-1. Paths.  In each of RUNS runs a set chooses every token x with probability 1 / (tau * size), by a hash of run and
+1. Paths.  In each of the runs a set chooses every token x with probability 1 / (tau * size), by a hash of run and
    token that all sets share; a chosen token is a bucket.  Two sets of similarity tau or more share at least one chosen
-   token on average, so they miss each other in a run with probability 1/e at most, and in all of them with e**-RUNS:
-   RUNS follows from the target recall.  A bucket of more than LIMIT sets splits: each of its sets chooses again, by a
-   hash of the bucket and the token, down to DEPTH levels; a set draws these choices with its first ones, so that texts
-   are read once.  What is still large then holds sets that are alike.
+   token on average, so they miss each other in a run with probability 1/e at most.  A bucket of more than LIMIT sets
+   splits: each of its sets chooses again, by a hash of the bucket and the token, down to DEPTH levels; a set draws these
+   choices with its first ones, so that texts are read once.  A shared token then counts only if the pair meets again
+   below it, with probability s = 1 - 1/e for two levels, so a run misses with e**-s at most: runs_for() takes as many
+   runs as the target recall needs if all buckets of a pair split.  What is still large is compared as it is (2).
 2. Small buckets are compared by brute force: pairs of 1-bit minwise sketches, LIMIT sets at most to a side.  Larger
    ones are cut into blocks, and each pair of blocks is compared by a task of its own.  A pair whose sketches agree
-   well below tau still counts; a bucket hands on a spanning forest of such pairs, never the pairs.
+   well below tau still counts (at 0.8, 256 independent bits overlook one with
+   probability 6.4e-7, besides what the paths miss); a bucket
+   hands on a spanning forest of such pairs, never the pairs.
    (Comparing 4096 sketches takes a fraction of a second: less than splitting sets that are alike.)
 3. The forest's components are candidate groups: every link lies within one.  Their texts are fetched once, and each
    pair within a group is compared exactly, by the tokens that two or more of a block pair share.  Links are counted,
@@ -35,7 +38,7 @@ from ._shared import WORD, n_partitions, sliced, staged
 from .components import components
 from .rolling import mixed
 
-LIMIT, BLOCK, DEPTH, SKETCH, CACHE = 4096, 512, 3, 256, 300_000
+LIMIT, BLOCK, DEPTH, SKETCH, CACHE = 4096, 512, 2, 256, 300_000
 #: Pairs count as candidates if their sketches' estimate is this far below tau: over five standard deviations.
 SLACK = 0.2
 
@@ -72,6 +75,14 @@ class Shingler:
         return np.unique(mixed(total))
 
 
+def runs_for(recall: float) -> int:
+    """Runs after which a pair at tau is missed with probability 1 - recall at most, though all its buckets split."""
+    survival = 1.0
+    for _ in range(DEPTH - 1):
+        survival = 1 - math.exp(-survival)
+    return math.ceil(-math.log(1 - recall) / survival)
+
+
 def chosen(tokens: np.ndarray, parents: np.ndarray, tau: float) -> tuple[np.ndarray, np.ndarray]:
     """The buckets below parents (64-bit) that a set chooses, and the place of each one's parent."""
     least = np.uint64(min(2**64 - 1, int(2**64 / (tau * len(tokens))))) if tau * len(tokens) > 1 else np.uint64(2**64 - 1)
@@ -288,7 +299,7 @@ def join(
     null or repeats, rows are told apart by a hash of id and text; the class of rows that all have null ids has a null
     class_id.  Null, empty and blank texts have no link, and are classes of their own.
     """
-    runs = math.ceil(-math.log(1 - recall))
+    runs = runs_for(recall)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     plain = not rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 OR id IS NULL").take(1)
     rows = rows.withColumn("rec", F.col("id") if plain else F.xxhash64("id", "text"))

@@ -197,6 +197,15 @@ def test_jaccard_join(frame, limit, monkeypatch):
     assert {(r.id, r.class_id, r.n_links) for r in got.collect()} == {(i, least[i], len(links[i])) for i in range(len(texts))}
 
 
+def test_jaccard_recall_where_all_buckets_split(frame, monkeypatch):
+    """Pairs exactly at 0.8, of unequal size (the worst case), reach the recall asked for through split buckets."""
+    monkeypatch.setattr(jaccard_join, "LIMIT", 1)
+    rng = random.Random(14)
+    texts = [t for _ in range(400) for w in [words(rng, 104).split()] for t in (" ".join(w), " ".join(w[:84]))]
+    got = jaccard_join.join(frame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), recall=0.99)
+    assert got.where("n_links = 1").count() / len(texts) >= 0.985
+
+
 def test_jaccard_join_of_awkward_rows(docs, empty):
     got = jaccard_join.join(docs).collect()
     assert Counter(r.id for r in got) == Counter(i for i, *_ in awkward())
