@@ -135,16 +135,24 @@ def _compared(keyed: DataFrame, payload: str, block: int, near: Callable[[np.nda
     return dealt.repartition(partitions, "task").sortWithinPartitions("task").mapInArrow(compare, f"a {kind}, b {kind}, value double")
 
 
-def similarity_pairs(df: DataFrame, tau: float = 0.9, mode: str = "exact", block: int = 2048, bands: int = 24, bits: int = 12, seed: int = 5) -> DataFrame:
+def bands_for(tau: float, bits: int, recall: float) -> int:
+    """Bands of ``bits`` signs after which a pair at tau agrees in none with probability 1 - recall at most; 24 at least."""
+    agree = (1 - math.acos(tau) / math.pi) ** bits
+    return 24 if agree == 1 else max(24, math.ceil(math.log(1 - recall) / math.log1p(-agree)))
+
+
+def similarity_pairs(df: DataFrame, tau: float = 0.9, mode: str = "exact", block: int = 2048, bands: int | None = None, bits: int = 12, seed: int = 5, recall: float = 0.999999) -> DataFrame:
     """df (id, vec) -> a, b (a < b), similarity: pairs with a cosine of tau or more.
 
     ``exact`` compares every two rows, a pair of blocks to a task, so its work is quadratic.  ``bands`` compares rows
     that agree in one of ``bands`` groups of ``bits`` signs of random projections: first their signs (a pair is out if
     these differ five standard deviations more than tau lets them), then, once a pair, the vectors.  Zero and null
-    vectors are like nothing.
+    vectors are like nothing.  Unless given, ``bands`` follows from ``recall``, the least chance that a pair at tau agrees in
+    one of them (bands_for).
     """
     if not 0 < tau <= 1:
         raise ValueError("tau must be above 0 and at most 1")
+    bands = bands or bands_for(tau, bits, recall)
     kind = dict(df.dtypes)["id"]
     rows = df.where("vec IS NOT NULL").select("id", "vec")
 

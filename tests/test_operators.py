@@ -5,10 +5,12 @@ import json
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from digestflow.operators import contracts, dedup, digest, ingest, registry, screening, tables
+from digestflow.plans import feed_queries
 from digestflow.streaming import jobs
 
 NOW = dt.datetime(2026, 9, 2, 12)
@@ -44,6 +46,24 @@ def test_similarity_pairs(spark, mode, block):
         dedup.similarity_pairs(df, 0)
 
 
+def assert_similar_docs(spark, path, texts):
+    """The query as registered finds what comparing all whole texts does."""
+    spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{path}/documents.parquet")
+    m = np.array(dedup.hashed_counts(pd.Series(texts)), float)
+    near = m @ m.T
+    want = {(i, j) for i, j in zip(*(x.tolist() for x in np.nonzero(near >= 0.9))) if i < j}
+    assert want and not (abs(near - 0.9) < 1e-5).any()
+    assert {(r.a, r.b) for r in feed_queries.similar_docs(spark, str(path)).collect()} == want
+
+
+def test_similar_docs_finds_pairs_near_the_threshold(spark, tmp_path):
+    texts = []
+    for g in range(12):
+        base = [f"w{g}x{i}" for i in range(104)]
+        texts += [" ".join(base[: 5 * k] + [f"v{g}x{k}x{i}" for i in range(5)] + base[5 * k + 5 :]) for k in range(10)]
+    assert_similar_docs(spark, tmp_path, texts)
+
+
 def test_leaders_and_clusters(spark):
     rng = random.Random(2)
     edges = {(a, b) for a, b in ((rng.randrange(40), rng.randrange(40)) for _ in range(60)) if a < b}
