@@ -108,9 +108,10 @@ def choose_title(extracted: Column, raw: Column, text: Column) -> Column:
     return F.coalesce(given, F.substring(F.get(F.split(text, r"\R"), F.lit(0)), 1, 240))
 
 
-def dedup_text(title: Column, text: Column, max_chars: int = 4000) -> Column:
-    """What similarity is computed from."""
-    return F.concat(stripped(title), F.lit("\n"), stripped(F.substring(text, 1, max_chars)))
+def dedup_text(title: Column, text: Column, max_chars: int | None = None) -> Column:
+    """What similarity is computed from; max_chars (4000, say) is for encoders that take no more of a text."""
+    text = text if max_chars is None else F.substring(text, 1, max_chars)
+    return F.concat(stripped(title), F.lit("\n"), stripped(text))
 
 
 def merge_metadata(raw: Column, extraction: Column) -> Column:

@@ -267,7 +267,7 @@ def clusters_vec(spark, sf_dir):
 
 @query()
 def similar_docs(spark, sf_dir):
-    """Pairs of unique documents that the default encoder finds alike, by bands of signs."""
+    """Pairs of unique documents whose whole texts the default encoder finds alike, by bands of signs."""
     unique, _ = dedup.exact(materials(spark, sf_dir), materials(spark, sf_dir).limit(0))
     texts = unique.select("id", T.dedup_text(F.lit(""), F.coalesce("text", F.lit(""))).alias("dedup_text"))
     pairs = dedup.similarity_pairs(dedup.encode(texts), 0.9, mode="bands")

@@ -64,6 +64,13 @@ def test_similar_docs_finds_pairs_near_the_threshold(spark, tmp_path):
     assert_similar_docs(spark, tmp_path, texts)
 
 
+def test_similar_docs_takes_whole_texts(spark, tmp_path):
+    """Two texts share their first 5000 characters and little else, two differ there and agree afterwards."""
+    part = lambda name, n: " ".join(f"{name}{i:05d}" for i in range(n))
+    opening, rest = part("o", 800), part("r", 9000)
+    assert_similar_docs(spark, tmp_path, [f"{opening} {part('a', 2000)}", f"{opening} {part('b', 2000)}", f"{part('c', 700)} {rest}", f"{part('d', 700)} {rest}"])
+
+
 def test_leaders_and_clusters(spark):
     rng = random.Random(2)
     edges = {(a, b) for a, b in ((rng.randrange(40), rng.randrange(40)) for _ in range(60)) if a < b}
