@@ -13,6 +13,7 @@ from pyspark.sql.types import ArrayType, StringType
 from digestflow.functions.urls import link_label
 
 from .screening import cluster_materials
+from .tables import written
 
 #: The limits of a post, the hours between runs, and the wording of a post's link list.
 POST_LIMIT, POST_LEAST, RUN_HOURS, SUMMARY_CHARS, SOURCES_LINE = 4096, 128, 6, 1500, "Источники:"
@@ -61,11 +62,18 @@ def _pieces(text: str, limit: int) -> list[str]:
     return [*out, text] if text or not out else out
 
 
+def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """left with right's other columns, where keys are equal or both null."""
+    other = right.withColumnsRenamed({k: f"_r{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_r{k}")) for k in keys]
+    return left.join(other, on).drop(*[f"_r{k}" for k in keys])
+
+
 def split_posts(items: DataFrame, header: str, limit: int = POST_LIMIT) -> DataFrame:
     """items (digest_id, position, text) -> digest_id, position, text of the posts: header, empty line, part of one item.
 
     Items never share a post; posts are numbered through the digest.  Positions come from the number of posts of the
-    items before, so a digest's posts are never gathered.
+    items before, so a digest's posts are never gathered.  Items at one position come in the order of a hash of their texts.
     """
     room = limit - len(header.strip()) - 2
     if not POST_LEAST <= limit <= POST_LIMIT or not header.strip() or room < 2:
@@ -76,10 +84,23 @@ def split_posts(items: DataFrame, header: str, limit: int = POST_LIMIT) -> DataF
     def posts(text: pd.Series) -> pd.Series:
         return text.map(lambda t: [head + p for p in _pieces(t, room)])
 
-    rows = items.select("digest_id", F.col("position").alias("_item"), posts("text").alias("_posts"))
-    before = Window.partitionBy("digest_id").orderBy("_item").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_base", F.coalesce(F.sum(F.size("_posts")).over(before), F.lit(0)))
-    rows = rows.select("digest_id", "_base", F.posexplode("_posts").alias("_i", "text"))
+    # texts never meet: counts alone are put in order, by ranges of items with a running sum over the ranges before
+    earlier = (Window.unboundedPreceding, -1)
+    key = ["digest_id", "_item", "_hash"]
+    rows = items.select("digest_id", F.col("position").alias("_item"), F.xxhash64("text").alias("_hash"), posts("text").alias("_posts"))
+    counts = rows.groupBy(*key).agg(F.sum(F.size("_posts")).alias("_n"))
+    partitions = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # written, since ranges are drawn from a sample
+    counts = written(counts.repartitionByRange(partitions, *key).withColumn("_range", F.spark_partition_id()), "post-counts")
+    sums = counts.groupBy("digest_id", "_range").agg(F.sum("_n").alias("_sum"))
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.partitionBy("digest_id").orderBy("_range").rowsBetween(*earlier)), F.lit(0)))
+    within = F.coalesce(F.sum("_n").over(Window.partitionBy("digest_id", "_range").orderBy("_item", "_hash").rowsBetween(*earlier)), F.lit(0))
+    bases = _joined(counts.withColumn("_within", within), sums.drop("_sum"), ["digest_id", "_range"])
+    bases = bases.select(*key, (F.col("_before") + F.col("_within")).alias("_base"))
+    # rows with equal place and text follow each other
+    again = F.coalesce(F.sum(F.size("_posts")).over(Window.partitionBy(*key).orderBy(F.lit(0)).rowsBetween(*earlier)), F.lit(0))
+    rows = _joined(rows.withColumn("_again", again), bases, key)
+    rows = rows.select("digest_id", (F.col("_base") + F.col("_again")).alias("_base"), F.posexplode("_posts").alias("_i", "text"))
     return rows.select("digest_id", (F.col("_base") + F.col("_i")).cast("int").alias("position"), "text")
 
 

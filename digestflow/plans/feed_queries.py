@@ -351,9 +351,9 @@ def digest_items(spark, sf_dir):
 
 @query()
 def digest_posts(spark, sf_dir):
-    """Documents as digest items, one digest per source: posts of at most 1000 characters."""
+    """Documents, whole, as digest items, one digest per source: posts of at most 1000 characters."""
     d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    items = d.select(F.col("source").alias("digest_id"), F.col("doc_id").alias("position"), digest.html_escaped(F.substring("text", 1, 3000)).alias("text"))
+    items = d.select(F.col("source").alias("digest_id"), F.col("doc_id").alias("position"), digest.html_escaped(F.col("text")).alias("text"))
     return digest.split_posts(items, "Digest", 1000)
 
 

@@ -1,6 +1,7 @@
 """Dedup, clusters, screening, digests, registry, tables and streams on small fixtures."""
 
 import datetime as dt
+import html
 import json
 import random
 
@@ -182,6 +183,21 @@ def test_split_posts(spark):
             digest.split_posts(items, header, limit)
 
 
+def test_digest_posts_are_whole(spark, tmp_path):
+    """The query against brute force: texts of up to 20000 characters, a hot source, null and equal positions."""
+    rng = random.Random(4)
+    docs = [(i, " ".join(rng.choice(["a<b", "it's", "plain", "x" * 50]) for _ in range(rng.choice([0, 1, 40, 700]))), "hot" if i % 3 else f"s{i % 2}") for i in range(60)]
+    docs += [docs[4], (None, "nowhere " * 500, "hot"), (7, "z " * 900, None), (8, None, "hot")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = feed_queries.digest_posts(spark, str(tmp_path)).collect()
+    for source in {d[2] for d in docs}:
+        own = sorted((d for d in docs if d[2] == source and d[1] is not None), key=lambda d: (d[0] is not None, d[0] or 0))
+        posts = [f"Digest\n\n{p}" for d in own for p in digest._pieces(html.escape(d[1]), 992)]
+        found = sorted((r for r in got if r.digest_id == source), key=lambda r: r.position)
+        assert [r.position for r in found] == list(range(len(posts))) and [r.text for r in found] == posts
+        assert "".join("".join(r.text[8:].split()) for r in found) == "".join("".join(html.escape(d[1]).split()) for d in own)
+
+
 def test_receipts(spark):
     posts = spark.createDataFrame([("d", 0, "a", None, None), ("d", 1, "b", 5, NOW), ("e", 0, "c", None, None)], "digest_id string, position int, text string, message_id long, sent_at timestamp")
     later = NOW + dt.timedelta(hours=1)
