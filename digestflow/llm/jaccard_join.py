@@ -2,22 +2,23 @@
 
 A document is the set of its runs of N words.  Documents with equal sets share a representative.
 
-1. Paths.  In each of the runs a set chooses every token x with probability 1 / (tau * size), by a hash of run and
-   token that all sets share; a chosen token is a bucket.  Two sets of similarity tau or more share at least one chosen
-   token on average, so they miss each other in a run with probability 1/e at most.  A bucket of more than LIMIT sets
-   splits: each of its sets chooses again, by a hash of the bucket and the token, down to DEPTH levels; a set draws these
-   choices with its first ones, so that texts are read once.  A shared token then counts only if the pair meets again
-   below it, with probability s = 1 - 1/e for two levels, so a run misses with e**-s at most: runs_for() takes as many
-   runs as the target recall needs if all buckets of a pair split.  What is still large is compared as it is (2).
-2. Small buckets are compared by brute force: pairs of 1-bit minwise sketches, LIMIT sets at most to a side.  Larger
-   ones are cut into blocks, and each pair of blocks is compared by a task of its own.  A pair whose sketches agree
-   well below tau still counts (at 0.8, 256 independent bits overlook one with
-   probability 6.4e-7, besides what the paths miss); a bucket
-   hands on a spanning forest of such pairs, never the pairs.
-   (Comparing 4096 sketches takes a fraction of a second: less than splitting sets that are alike.)
-3. The forest's components are candidate groups: every link lies within one.  Their texts are fetched once, and each
+1. Paths.  In each of the runs a set chooses every token x with probability CHOICES / (tau * size), by a hash of run and
+   token that all sets share; a chosen token is a bucket.  A bucket of more than LIMIT sets splits: each of its sets
+   chooses again, by a hash of the bucket and the token, and so on, down to DEPTH levels.  Two sets of similarity tau or
+   more share CHOICES chosen tokens on average in a bucket, so their common buckets are a branching process: the share s
+   of buckets below which they meet in the end obeys s = 1 - exp(-CHOICES * s) at any depth, and a run misses them with
+   exp(-CHOICES * s) at most.  runs_for() takes as many runs as the target recall needs if every bucket of a pair splits.
+2. A large bucket whose sets are alike on the whole can't be split by choosing; it is compared as it is, as is what is
+   still large at the last level.  Whether a bucket is alike is read off the shares of ones among its sketches' bits.
+   This decides about work alone: a pair that a bucket holds is compared in it or goes on to its children.
+3. Small buckets are compared by brute force: pairs of 1-bit minwise sketches.  Larger ones are cut into blocks of
+   SIDE sets, and each pair of blocks is compared by a task of its own.  A pair whose sketches agree well below tau
+   still counts (at 0.8, 256 independent bits overlook one with probability 6.4e-7, besides what the paths miss); a
+   bucket hands on a spanning forest of such pairs, never the pairs.
+4. The forest's components are candidate groups: every link lies within one.  Their texts are fetched once, and each
    pair within a group is compared exactly, by the tokens that two or more of a block pair share.  Links are counted,
-   and the spanning forest of the links gives the classes.
+   and the spanning forest of the links gives the classes: a group that hangs together by candidate pairs alone falls
+   apart here.
 
 Words part at ASCII white space; a text of fewer than N words is one token, and a text without words is like no other.
 """
@@ -38,7 +39,11 @@ from ._shared import WORD, n_partitions, sliced, staged
 from .components import components
 from .rolling import mixed
 
-LIMIT, BLOCK, DEPTH, SKETCH, CACHE = 4096, 512, 2, 256, 300_000
+LIMIT, SIDE, BLOCK, DEPTH, SKETCH, CACHE = 512, 8192, 512, 8, 256, 100_000
+#: Tokens that two sets at tau choose in common, on average, in a bucket.
+CHOICES = 2.0
+#: Bits of a sketch that tell whether a large bucket's sets are alike.
+BITS = 32
 #: Pairs count as candidates if their sketches' estimate is this far below tau: over five standard deviations.
 SLACK = 0.2
 
@@ -79,21 +84,25 @@ def runs_for(recall: float) -> int:
     """Runs after which a pair at tau is missed with probability 1 - recall at most, though all its buckets split."""
     survival = 1.0
     for _ in range(DEPTH - 1):
-        survival = 1 - math.exp(-survival)
-    return math.ceil(-math.log(1 - recall) / survival)
+        survival = 1 - math.exp(-CHOICES * survival)
+    return math.ceil(-math.log(1 - recall) / (CHOICES * survival))
 
 
-def chosen(tokens: np.ndarray, parents: np.ndarray, tau: float) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets below parents (64-bit) that a set chooses, and the place of each one's parent."""
-    least = np.uint64(min(2**64 - 1, int(2**64 / (tau * len(tokens))))) if tau * len(tokens) > 1 else np.uint64(2**64 - 1)
-    out, of, step = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], max(1, (1 << 18) // len(tokens))
+def chosen(tokens: np.ndarray, parents: np.ndarray, tau: float) -> np.ndarray:
+    """The buckets below parents (64-bit) that a set chooses.
+
+    A parent's hash function is linear over 32 bits: pairwise independent, which is all that the choice of paths asks for.
+    """
+    share = CHOICES / (tau * len(tokens))
+    least = np.uint32(min(2**32 - 1, math.ceil(2**32 * share)))
+    short, keys = tokens.astype(np.uint32), mixed(parents)
+    factors, shifts = (keys >> np.uint64(32)).astype(np.uint32) | np.uint32(1), keys.astype(np.uint32)
+    out, step = [np.zeros(0, np.uint64)], max(1, (1 << 18) // len(tokens))
     for start in range(0, len(parents), step):
-        part = parents[start : start + step, None]
-        h = mixed(tokens ^ part)
+        h = short * factors[start : start + step, None] + shifts[start : start + step, None]
         i, j = np.nonzero(h <= least)
-        out.append(mixed(h[i, j] + part[i, 0]))
-        of.append(i + start)
-    return np.concatenate(out), np.concatenate(of)
+        out.append(mixed(tokens[j] ^ mixed(parents[start + i] + np.uint64(1))))
+    return np.concatenate(out)
 
 
 def sketch(tokens: np.ndarray) -> bytes:
@@ -141,51 +150,71 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
 
 
 def signatures(rows: DataFrame, n: int, tau: float, runs: int) -> DataFrame:
-    """rows (id, rec, text) -> id, rec, fp (hash of the set; null if empty), sketch, and for each depth d the chosen
-    buckets p<d> with the places u<d> of their parents among those one level up."""
-    names = [x for d in range(1, DEPTH + 1) for x in (f"p{d}", f"u{d}")]
+    """rows (id, rec, text) -> id, rec, fp (hash of the set; null if empty), sketch, and the paths of the first level."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(n)
         seeds = mixed(np.arange(1, runs + 1, dtype=np.uint64))
         for batch in sliced(batches):
-            fps, sketches, paths = [], [], {x: [] for x in names}
+            fps, sketches, paths = [], [], []
             for text in batch.column(2).to_pylist():
                 tokens = shingles(text)
                 fps.append(xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None)
                 sketches.append(sketch(tokens) if len(tokens) else None)
-                above = seeds
-                for d in range(1, DEPTH + 1):
-                    above, of = chosen(tokens, above, tau) if len(tokens) else (None, None)
-                    paths[f"p{d}"].append(None if above is None else above.astype(np.int64))
-                    paths[f"u{d}"].append(None if of is None else of.astype(np.int32))
+                paths.append(chosen(tokens, seeds, tau).astype(np.int64) if len(tokens) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(fps, pa.binary()), pa.array(sketches, pa.binary())]
-                + [pa.array(paths[x], pa.list_(pa.int64() if x[0] == "p" else pa.int32())) for x in names],
-                ["id", "rec", "fp", "sketch", *names],
+                [batch.column(0), batch.column(1), pa.array(fps, pa.binary()), pa.array(sketches, pa.binary()), pa.array(paths, pa.list_(pa.int64()))],
+                ["id", "rec", "fp", "sketch", "paths"],
             )
 
-    kinds = "".join(f", {x} array<{'long' if x[0] == 'p' else 'int'}>" for x in names)
-    return rows.select("id", "rec", "text").mapInArrow(sign, f"id long, rec long, fp binary, sketch binary{kinds}")
+    return rows.select("id", "rec", "text").mapInArrow(sign, "id long, rec long, fp binary, sketch binary, paths array<long>")
 
 
-def buckets(reps: DataFrame) -> DataFrame:
-    """reps (rec and the paths of signatures()) -> path, rec, size: the buckets of two or more sets, large ones split."""
-    found, done = reps.select("rec", F.explode("p1").alias("path")), None
+def chosen_again(rows: DataFrame, members: DataFrame, n: int, tau: float) -> DataFrame:
+    """rec and path: the buckets that the sets of members (rec, path) choose below theirs.  Each text moves once."""
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingler(n)
+        for batch in sliced(batches):
+            paths = [
+                chosen(shingles(text), np.array(parents, np.int64).astype(np.uint64), tau).astype(np.int64)
+                for text, parents in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.list_(pa.int64()))], ["rec", "paths"])
+
+    parents = members.groupBy("rec").agg(F.collect_list("path").alias("parents"))
+    # rows may repeat a set's text; one of them chooses
+    texts = rows.select("rec", "text").join(parents.hint("shuffle_hash"), "rec").dropDuplicates(["rec"])
+    return texts.select("rec", "text", "parents").mapInArrow(choose, "rec long, paths array<long>").select("rec", F.explode("paths").alias("path"))
+
+
+def alike(members: DataFrame, sketches: DataFrame, tau: float) -> DataFrame:
+    """path and alike, for the buckets of members (path, rec): whether two of its sets are as similar as candidates, on average."""
+    word = F.conv(F.hex(F.substring("sketch", 1, BITS // 8)), 16, 10).cast("long")
+    bits = members.join(sketches.select("rec", word.alias("word")), "rec")
+    shares = [F.avg(F.getbit("word", F.lit(i))) for i in range(BITS)]
+    agree = sum((p * p + (1 - p) * (1 - p) for p in shares), F.lit(0.0)) / BITS
+    return bits.groupBy("path").agg((agree >= (1 + tau - SLACK) / 2).alias("alike"))
+
+
+def buckets(reps: DataFrame, rows: DataFrame, n: int, tau: float) -> DataFrame:
+    """reps (rec, sketch, paths) -> path, rec, size: the buckets to be compared; rows: (rec, text)."""
+    found, done = reps.select("rec", F.explode("paths").alias("path")), None
     for depth in range(1, DEPTH + 1):
         # written, so that the join has plain shuffles on both sides and Spark can split a hot bucket's
         counts = staged(found.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"), "bucket-sizes")
         sized = staged(found.join(counts, "path"), "paths")
-        last = depth == DEPTH
-        small = sized if last else sized.where(F.col("size") <= LIMIT)
-        done = small if done is None else done.unionByName(small)
-        large = sized.where(F.col("size") > LIMIT).select("path").distinct()
-        if last or not large.take(1):
+        small, large = sized.where(F.col("size") <= LIMIT), sized.where(F.col("size") > LIMIT)
+        split = None
+        if depth < DEPTH and counts.where(F.col("size") > LIMIT).take(1):
+            judged = staged(alike(large, reps, tau), "alike")
+            split = large.join(judged.where("NOT alike"), "path", "left_semi")
+            large = large.join(judged.where("alike"), "path", "left_semi")
+        both = small.unionByName(large)
+        done = both if done is None else done.unionByName(both)
+        if split is None or not split.take(1):
             return done
-        parents = F.col(f"p{depth}")
-        above = F.transform(f"u{depth + 1}", lambda i: F.get(parents, i))  # noqa: B023
-        each = reps.select("rec", F.explode(F.arrays_zip(above.alias("above"), F.col(f"p{depth + 1}").alias("path"))).alias("x")).select("rec", "x.above", "x.path")
-        found = each.join(large.withColumnRenamed("path", "above"), "above", "left_semi").select("rec", "path")
+        found = chosen_again(rows, split, n, tau)
     return done
 
 
@@ -241,7 +270,7 @@ def candidate_edges(members: DataFrame, tau: float) -> DataFrame:
             both = np.concatenate(edges)
             yield pa.RecordBatch.from_arrays([pa.array(both.min(1)), pa.array(both.max(1))], ["a", "b"])
 
-    dealt = blocked(members, "path", "size", LIMIT).select("task", "side", "rec", "sketch")
+    dealt = blocked(members, "path", "size", SIDE).select("task", "side", "rec", "sketch")
     dealt = dealt.repartition(n_partitions(members.sparkSession), "task").sortWithinPartitions("task")
     return dealt.mapInArrow(compare, "a long, b long").distinct()
 
@@ -290,39 +319,54 @@ def link_counts(members: DataFrame, n: int, tau: float) -> DataFrame:
     return dealt.mapInArrow(compare, "rec long, root long, links long")
 
 
-def join(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, tau: float = 0.8, recall: float = 0.999999
-) -> DataFrame:
-    """One row per row of docs: id, class_id (the least id of its class), n_links (other rows at tau or more).
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with _near_rec, a number of its own for each row, and _near_tie, which orders rows of one id.
 
-    A class is a connected component of the links; rows with equal sets are linked.  Ids are numbers.  Where an id is
-    null or repeats, rows are told apart by a hash of id and text; the class of rows that all have null ids has a null
-    class_id.  Null, empty and blank texts have no link, and are classes of their own.
+    The number is the id; where an id is null or repeats, the rows are written with numbers from Spark, so no hash can
+    take two rows for one.
     """
+    ids = docs.select(F.col(id_col).cast("long").alias("id"))
+    if not ids.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 OR id IS NULL").take(1):
+        return docs.withColumns({"_near_rec": F.col(id_col).cast("long"), "_near_tie": F.lit("")})
+    tie = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    return staged(docs.withColumns({"_near_rec": F.monotonically_increasing_id(), "_near_tie": tie}), "numbered")
+
+
+def classes(docs: DataFrame, id_col: str, text_col: str, n: int, tau: float, recall: float) -> DataFrame:
+    """docs of numbered() -> rec, id, tie, root (a number for each class), n_links."""
     runs = runs_for(recall)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    plain = not rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 OR id IS NULL").take(1)
-    rows = rows.withColumn("rec", F.col("id") if plain else F.xxhash64("id", "text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col("_near_rec").alias("rec"))
     signed = staged(signatures(rows, n, tau, runs), "signatures")
     # one set per representative
     reps = signed.where("fp IS NOT NULL").groupBy("fp").agg(F.min("rec").alias("rep"), F.count("*").alias("copies"))
     of = signed.select("id", "rec", "fp").join(reps, "fp", "left")
     of = staged(of.select("id", "rec", F.coalesce("rep", "rec").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies")), "copies")
-    weights = of.where("rec = rep").groupBy("rec").agg(F.max("copies").alias("copies"))
-    own = signed.where("fp IS NOT NULL").join(weights, "rec", "left_semi").dropDuplicates(["rec"])
+    weights = of.where("rec = rep").select("rec", "copies")
+    own = signed.where("fp IS NOT NULL").join(weights, "rec", "left_semi")
     own = staged(own.drop("id", "fp"), "sets")
-    found = buckets(own)
+    found = buckets(own, rows, n, tau)
     groups = components(candidate_edges(found.join(own.select("rec", "sketch"), "rec"), tau))
     sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
     members = groups.withColumnRenamed("node", "rec").join(sizes, "root").join(weights, "rec")
-    texts = rows.select("rec", "text").join(members.hint("shuffle_hash"), "rec").dropDuplicates(["rec"])
+    texts = rows.select("rec", "text").join(members.hint("shuffle_hash"), "rec")
     linked = staged(link_counts(texts, n, tau), "links")
-    classes = components(linked.select(F.col("rec").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rec")
-    links = linked.groupBy("rec").agg(F.sum("links").alias("links")).join(classes, "rec", "left")
+    found = components(linked.select(F.col("rec").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rec")
+    links = linked.groupBy("rec").agg(F.sum("links").alias("links")).join(found, "rec", "left")
     links = links.select(F.col("rec").alias("rep"), F.coalesce("root", "rec").alias("root"), "links")
-    whole = of.join(links, "rep", "left").select(
-        "id", F.coalesce("root", "rep").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), "rec"
-    )
+    n_links = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long")
+    return of.join(links, "rep", "left").select("rec", "id", F.coalesce("root", "rep").alias("root"), n_links.alias("n_links"))
+
+
+def join(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, tau: float = 0.8, recall: float = 0.999999
+) -> DataFrame:
+    """One row per row of docs: id, class_id (the least id of its class), n_links (other rows at tau or more).
+
+    A class is a connected component of the links; rows with equal sets are linked, so rows that repeat both id and text
+    link each other.  Ids are numbers and may repeat or be null; a class whose ids are all null has a null class_id.
+    Null, empty and blank texts have no link, and are classes of their own.
+    """
+    whole = classes(numbered(docs, id_col, text_col), id_col, text_col, n, tau, recall)
     least = whole.where("n_links > 0").groupBy("root").agg(F.min("id").alias("class_id"))
     linked_rows = whole.where("n_links > 0").join(least, "root").select("id", "class_id", "n_links")
     return linked_rows.unionByName(whole.where("n_links = 0").select("id", F.col("id").alias("class_id"), "n_links"))
@@ -331,6 +375,14 @@ def join(
 def drop_near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, tau: float = 0.8, recall: float = 0.999999
 ) -> DataFrame:
-    """The rows of docs that stay, with all their columns: of each class the row with the least id."""
-    gone = join(docs, id_col, text_col, n, tau, recall).where("id != class_id").select(F.col("id").alias("_gone_id"))
-    return docs.join(gone.distinct(), docs[id_col] == F.col("_gone_id"), "left_anti")
+    """The rows of docs that stay, with all their columns: of each class the row with the least id.
+
+    A row goes by its own number, so other rows with its id stay.  Where several rows of a class have its least id, the
+    one with the least SHA-256 of its text stays, and of rows that repeat both, one.  Null ids come after all others.
+    """
+    rows = numbered(docs, id_col, text_col)
+    linked = classes(rows, id_col, text_col, n, tau, recall).where("n_links > 0").join(rows.select(F.col("_near_rec").alias("rec"), "_near_tie"), "rec")
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "_near_tie", "rec")
+    first = linked.groupBy("root").agg(F.min(place).alias("first"))
+    gone = linked.join(first, "root").where(F.col("rec") != F.col("first.rec")).select(F.col("rec").alias("_near_rec"))
+    return rows.join(gone, "_near_rec", "left_anti").select(*docs.columns)
