@@ -42,6 +42,7 @@ class ByteBPE:
         ranks = {bytes(letters[c] for c in token): i for token, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.encoding = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
+        self.special_bytes = re.compile(b"|".join(re.escape(t.encode()) for t in self.special) or b"(?!)")
         tokens: list[bytes] = [b""] * (max([*vocab.values(), *self.special.values()]) + 1)
         for token, i in [*ranks.items(), *((k.encode(), i) for k, i in self.special.items())]:
             tokens[i] = token
