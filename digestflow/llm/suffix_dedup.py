@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import n_partitions, sliced, staged
+from ._shared import join_hot, n_partitions, sliced, staged
 from .jaccard_join import _grouped
 from .rolling import sliding_min, window_hashes
 
@@ -172,7 +172,9 @@ def _all_prefixes(order: np.ndarray, lcp: np.ndarray) -> list[list[int]]:
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("bytes"))
-    return rows.withColumn("rk", F.xxhash64("id", "bytes"))
+    # 128 bits: no two different rows of any table share a key
+    halves = [F.xxhash64("id", "bytes"), F.xxhash64(F.lit("second"), "bytes", "id")]
+    return rows.withColumn("rk", F.concat(*[F.unhex(F.lpad(F.hex(h), 16, "0")) for h in halves]))
 
 
 def repeated_runs(rows: DataFrame, length: int, k: int) -> DataFrame:
@@ -181,32 +183,35 @@ def repeated_runs(rows: DataFrame, length: int, k: int) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            cols: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(6)]
+            cols: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(4)]
+            digests: list[bytes] = []
+            keys: list[bytes] = []
             for rk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 h, at, first, last = anchors(data, length, k)
                 high, low = at - first, at - last
-                digest = np.fromiter(
-                    (xxhash.xxh3_64_intdigest(data[b : e + length], x << 16 | y) for b, e, x, y in zip(first.tolist(), last.tolist(), high.tolist(), low.tolist())),
-                    np.uint64, len(h),
-                )
-                for column, x in zip(cols, (h, digest.astype(np.int64), np.full(len(h), rk), at, high, low)):
+                digests += [xxhash.xxh3_128_digest(data[b : e + length], x << 16 | y) for b, e, x, y in zip(first.tolist(), last.tolist(), high.tolist(), low.tolist())]
+                keys += [rk] * len(h)
+                for column, x in zip(cols, (h, at, high, low)):
                     column.append(x)
-            types = (np.int64, np.int64, np.int64, np.int32, np.int16, np.int16)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(t)) for c, t in zip(cols, types)], ["h", "d", "rk", "at", "high", "low"])
-
-    found = rows.where(F.length("bytes") >= length).select("rk", "bytes").mapInArrow(find, "h long, d long, rk long, at int, high short, low short")
-    # written, so that the join has plain shuffles on both sides and Spark can split a hot anchor's
-    again = staged(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "again")
-    places = staged(found.join(again, "h"), "anchors")
+            h, *places = (pa.array(np.concatenate(c).astype(t)) for c, t in zip(cols, (np.int64, np.int32, np.int16, np.int16)))
+            yield pa.RecordBatch.from_arrays([h, pa.array(digests, pa.binary()), pa.array(keys, pa.binary()), *places], ["h", "d", "rk", "at", "high", "low"])
+
+    found = rows.where(F.length("bytes") >= length).select("rk", "bytes").mapInArrow(find, "h long, d binary, rk binary, at int, high short, low short")
+    found = staged(found, "anchors-all")
+    again = staged(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "again")
+    n_found = found.count()
+    places = staged(join_hot(found, again, ["h"], "n", n_found).drop("n"), "anchors")
     contexts = places.groupBy("h", "d").agg(F.count("*").alias("n"), F.min(F.struct("rk", "at", "high", "low")).alias("rep"))
     contexts = staged(contexts, "contexts")
-    repeated = places.join(contexts.where("n > 1").select("h", "d"), ["h", "d"])
+    repeated = join_hot(places, contexts.where("n > 1").select("h", "d", "n"), ["h", "d"], "n", n_found)
     repeated = repeated.select("rk", (F.col("at") - F.col("high")).alias("first"), (F.col("at") - F.col("low")).alias("last"))
     edges = contexts.groupBy("h").agg(F.count("*").alias("contexts"), F.count_if(F.col("n") == 1).alias("own")).where("contexts > 1 AND own > 0")
-    edges = contexts.select("h", "n", "rep.*").join(edges.select("h", "contexts"), "h")
+    edges = staged(edges, "edges")
+    edges = join_hot(contexts.select("h", "n", "rep.*"), edges.select("h", "contexts"), ["h"], "contexts", n_found)
+
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("h", "n", "at", "high", "low")
-        types = (pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.int64(), pa.binary())
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.binary(), pa.binary())
         for batch in sliced(batches):
             out: list[list] = [[] for _ in types]
             for rk, data, places in zip(*(batch.column(c).to_pylist() for c in ("rk", "bytes", "places"))):
@@ -219,11 +224,12 @@ def repeated_runs(rows: DataFrame, length: int, k: int) -> DataFrame:
         wanted = wanted.groupBy("rk").agg(F.collect_list(F.struct("h", "n", "at", "high", "low")).alias("places"))
         # id goes along unused, so that these joins and the final one read one and the same shuffle of the texts
         texts = rows.join(wanted.hint("shuffle_hash"), "rk").select("id", "rk", "bytes", "places")
-        return texts.mapInArrow(fetch, "h long, n long, at int, high short, low short, rk long, context binary")
+        return texts.mapInArrow(fetch, "h long, n long, at int, high short, low short, rk binary, context binary")
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _grouped(batches, "h"):
-            h, n, at, rk = (table[c].to_numpy() for c in ("h", "n", "at", "rk"))
+            h, n, at = (table[c].to_numpy() for c in ("h", "n", "at"))
+            rk = table["rk"].to_pylist()
             high, low = (table[c].to_numpy().astype(np.int64) for c in ("high", "low"))
             context = table["context"].to_pylist()
             starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
@@ -236,12 +242,12 @@ def repeated_runs(rows: DataFrame, length: int, k: int) -> DataFrame:
                     if n[i] == 1 and flags[i - s].any():
                         on = np.flatnonzero(np.diff(np.concatenate([[0], flags[i - s].astype(np.int8), [0]])))
                         for a, b in zip(on[::2].tolist(), on[1::2].tolist()):
-                            for column, x in zip(out, (int(rk[i]), int(at[i]) - b + 1, int(at[i]) - a)):
+                            for column, x in zip(out, (rk[i], int(at[i]) - b + 1, int(at[i]) - a)):
                                 column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int32()))], ["rk", "first", "last"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.binary(), pa.int32(), pa.int32()))], ["rk", "first", "last"])
 
     usual = strings(edges.where(F.col("contexts") <= GROUP)).repartition(n_partitions(spark), "h").sortWithinPartitions("h")
-    usual = usual.mapInArrow(decide, "rk long, first int, last int")
+    usual = usual.mapInArrow(decide, "rk binary, first int, last int")
     # crowded anchors: one row per window, by digest
     each = strings(edges.where(F.col("contexts") > GROUP)).withColumn("o", F.explode(F.sequence(F.col("low").cast("int"), F.col("high").cast("int"))))
     each = each.withColumn("window", F.unhex(F.sha2(F.substring("context", F.col("high") - F.col("o") + 1, F.lit(length)), 256)))
