@@ -27,7 +27,8 @@ def op2_url_filter(spark, sf_dir):
     )
     bad = F.max(F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).otherwise(0))
     labels = _read(spark, sf_dir, "labels").groupBy("doc_id").agg(bad.alias("bad"))
-    return url_filter.judge(pages.join(labels, "doc_id", "left"), URL_RULES).withColumnRenamed("id", "page_id")
+    judged = url_filter.judge(pages.join(labels, "doc_id", "left"), URL_RULES).withColumnRenamed("id", "page_id")
+    return judged.withColumns({"mean": F.round("mean", 6), "low": F.round("low", 6)})
 
 
 OP2_SQL = r"""
@@ -40,20 +41,21 @@ h AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS k, array_to_string(
 d AS (SELECT suffix, domain, sum(n) AS n, sum(k) AS k FROM h GROUP BY ALL),
 s AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY ALL),
 c AS (SELECT (sum(k) + 0.5) / (sum(n) + 1) AS p FROM s),
-sr AS (SELECT 1 / least(0.9, greatest(1e-4, coalesce((sum((k - n * p) * (k - n * p)) - sum(n * p * (1 - p))) / nullif(sum(n * (n - 1) * p * (1 - p)), 0), 1e-4))) - 1 AS m FROM s, c),
+sr AS (SELECT 1 / least(0.9, greatest(0.01, coalesce((sum((k - n * p) * (k - n * p)) - sum(n * p * (1 - p))) / nullif(sum(n * (n - 1) * p * (1 - p)), 0), 0.01))) - 1 AS m FROM s, c),
 sm AS (SELECT suffix, (m * p + k) / (m + n) AS p FROM s, c, sr),
-dr AS (SELECT 1 / least(0.9, greatest(1e-4, coalesce((sum((k - n * p) * (k - n * p)) - sum(n * p * (1 - p))) / nullif(sum(n * (n - 1) * p * (1 - p)), 0), 1e-4))) - 1 AS m FROM d JOIN sm USING (suffix)),
+dr AS (SELECT 1 / least(0.9, greatest(0.01, coalesce((sum((k - n * p) * (k - n * p)) - sum(n * p * (1 - p))) / nullif(sum(n * (n - 1) * p * (1 - p)), 0), 0.01))) - 1 AS m FROM d JOIN sm USING (suffix)),
 dm AS (SELECT suffix, domain, (m * p + k) / (m + n) AS p FROM d JOIN sm USING (suffix), dr),
-hr AS (SELECT 1 / least(0.9, greatest(1e-4, coalesce((sum((k - n * p) * (k - n * p)) - sum(n * p * (1 - p))) / nullif(sum(n * (n - 1) * p * (1 - p)), 0), 1e-4))) - 1 AS m FROM h JOIN dm USING (suffix, domain)),
-hm AS (SELECT host, (m * p + k) / (m + n) AS p, m + n AS t FROM h JOIN dm USING (suffix, domain), hr),
+hr AS (SELECT 1 / least(0.9, greatest(0.01, coalesce((sum((k - n * p) * (k - n * p)) - sum(n * p * (1 - p))) / nullif(sum(n * (n - 1) * p * (1 - p)), 0), 0.01))) - 1 AS m FROM h JOIN dm USING (suffix, domain)),
+hm AS (SELECT host, n, k, (m * p + k) / (m + n) AS p, m + n AS t FROM h JOIN dm USING (suffix, domain), hr),
+hl AS (SELECT hm.*, greatest(0, p - 1.645 * sqrt(p * (1 - p) / (t + 1))) AS low FROM hm),
 r AS (SELECT p.*, p.page_id AS id, CASE
     WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
     WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
     WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
     WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule FROM p)
 SELECT page_id, r.host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-    WHEN hm.p - 1.645 * sqrt(hm.p * (1 - hm.p) / (t + 1)) > 0.5 THEN 'block' ELSE 'allow' END AS verdict
-FROM r JOIN hm USING (host)
+    WHEN low > (SELECT p FROM c) THEN 'block' ELSE 'allow' END AS verdict, n, CAST(k AS BIGINT) AS k, round(hl.p, 6) AS mean, round(low, 6) AS low
+FROM r JOIN hl USING (host)
 """
 
 
