@@ -80,21 +80,71 @@ REPLY_SCHEMA = {"reply": {"prompt": "string", "turn": "integer", "system": "stri
 
 
 def op5_chat_formatting(spark, sf_dir):
-    """A user's turn is a call of the tool ``reply``, which waits for the turn before; the assistant's next turn answers it."""
+    """The given turns as calls and results of a tool ``reply``: a user's turn calls it, the assistant's next turn answers.
+
+    So that calls come out of order, repeat and fail, as they do in logs: the fourth of each four calls takes the first
+    one's identifier; by the length of its text, a call waits for the next one, for the one before or for none, lacks its
+    prompt, gives its turn as text, or has arguments that are no JSON.
+    """
     turns = _read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("conv"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    user, assistant = F.col("role") == "user", F.col("role") == "assistant"
+    user, assistant, text = F.col("role") == "user", F.col("role") == "assistant", F.coalesce("text", F.lit(""))
+
+    def identifier(turn):
+        return f"concat('c', ({turn}) div 8 * 4 + (({turn}) div 2 % 4) % 3)"
+
+    n = F.char_length(text)
+    arguments = (
+        F.when(n % 11 == 0, F.concat(F.lit("prompt="), text))
+        .when(n % 5 == 0, F.to_json(F.struct("turn")))
+        .when(n % 5 == 1, F.to_json(F.struct(F.col("turn").cast("string").alias("turn"), text.alias("prompt"))))
+        .otherwise(F.to_json(F.struct("turn", text.alias("prompt"))))
+    )
+    after = F.when(n % 3 == 0, F.array(F.expr(identifier("turn + 2")))).when((n % 3 == 1) & (F.col("turn") > 1), F.array(F.expr(identifier("turn - 2"))))
     events = turns.select(
         "conv", "turn",
         F.when(user, "call").when(assistant, "result").otherwise("message").alias("kind"),
-        F.when(user, F.concat(F.lit("t"), F.col("turn"))).when(assistant, F.concat(F.lit("t"), F.col("turn") - 1)).alias("call_id"),
+        F.when(user, F.expr(identifier("turn"))).when(assistant, F.expr(identifier("greatest(turn - 1, 0)"))).alias("call_id"),
         F.when(user, "reply").alias("name"),
-        F.when(user, F.to_json(F.struct(F.col("turn"), F.col("text").alias("prompt")))).alias("arguments"),
-        F.when(user, F.array(F.concat(F.lit("t"), F.col("turn") - 2))).alias("after"),
+        F.when(user, arguments).alias("arguments"),
+        F.when(user, after).alias("after"),
         F.when(~user, F.col("text")).alias("content"),
     )
     return tool_calls.link(events, REPLY_SCHEMA).withColumnRenamed("conv", "conv_id")
 
 
+OP5_SQL = r"""
+WITH RECURSIVE t AS (SELECT conv_id, turn::BIGINT AS turn, role, text, coalesce(text, '') AS s, length(coalesce(text, '')) AS n FROM conversations),
+e AS (SELECT *, CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
+    CASE role WHEN 'user' THEN concat('c', turn // 8 * 4 + (turn // 2 % 4) % 3)
+              WHEN 'assistant' THEN concat('c', greatest(turn - 1, 0) // 8 * 4 + (greatest(turn - 1, 0) // 2 % 4) % 3) END AS id,
+    CASE WHEN n % 3 = 0 THEN concat('c', (turn + 2) // 8 * 4 + ((turn + 2) // 2 % 4) % 3)
+         WHEN n % 3 = 1 AND turn > 1 THEN concat('c', (turn - 2) // 8 * 4 + ((turn - 2) // 2 % 4) % 3) END AS before FROM t),
+c AS (SELECT conv_id, id, min(turn) AS call_turn, arg_min(struct_pack(b := before), turn).b AS before FROM e WHERE kind = 'call' GROUP BY ALL),
+a AS (SELECT conv_id, id, min(turn) AS answer_turn FROM e JOIN c USING (conv_id, id) WHERE kind = 'result' AND turn >= call_turn GROUP BY ALL),
+w AS (SELECT c.conv_id, c.id, d.id AS before FROM c JOIN c d ON d.conv_id = c.conv_id AND d.id = c.before),
+r AS (SELECT conv_id, id, id AS far, 0 AS steps FROM c
+      UNION SELECT r.conv_id, r.id, w.before, steps + 1 FROM r JOIN w ON w.conv_id = r.conv_id AND w.id = r.far WHERE steps < 9),
+o AS (SELECT r.conv_id, r.id, bool_or(steps = 9) AS never, max(d.call_turn) AS place, max(struct_pack(p := d.call_turn, s := steps)).s AS step
+      FROM r JOIN c d ON d.conv_id = r.conv_id AND d.id = r.far GROUP BY ALL),
+k AS (SELECT c.conv_id, c.id, call_turn, answer_turn, CASE WHEN NOT never THEN place END AS place, CASE WHEN NOT never THEN step END AS step
+      FROM c JOIN o USING (conv_id, id) LEFT JOIN a USING (conv_id, id)),
+f AS (SELECT e.*, place, step, call_turn, answer_turn, CASE WHEN kind <> 'call' THEN NULL WHEN n % 11 = 0 THEN 'arguments are no object'
+      WHEN n % 5 = 0 THEN 'prompt is missing' WHEN n % 5 = 1 THEN 'turn is no integer' END AS fault FROM e LEFT JOIN k USING (conv_id, id)),
+s AS (SELECT *, CASE kind WHEN 'call' THEN CASE WHEN turn > call_turn THEN 'repeated' WHEN fault IS NOT NULL THEN 'invalid'
+          WHEN answer_turn IS NULL THEN 'unanswered' ELSE 'linked' END
+      WHEN 'result' THEN CASE WHEN call_turn IS NULL OR turn < call_turn THEN 'orphan' WHEN turn > answer_turn THEN 'repeated' ELSE 'linked' END
+      ELSE 'message' END AS status FROM f)
+SELECT conv_id, turn, kind, id AS call_id, place, step::BIGINT AS step, status, '{' || concat_ws(',',
+    CASE WHEN kind = 'call' THEN '"arguments":' || CASE WHEN n % 11 = 0 THEN '{"text":' || to_json('prompt=' || s)::VARCHAR || '}'
+        WHEN n % 5 = 0 THEN '{"turn":' || turn || '}' WHEN n % 5 = 1 THEN '{"prompt":' || to_json(s)::VARCHAR || ',"turn":"' || turn || '"}'
+        ELSE '{"prompt":' || to_json(s)::VARCHAR || ',"turn":' || turn || '}' END END,
+    CASE WHEN kind <> 'call' THEN '"content":' || to_json(text)::VARCHAR END, '"conv":' || conv_id, '"faults":["' || fault || '"]', '"id":"' || id || '"',
+    '"kind":"' || kind || '"', CASE WHEN kind = 'call' THEN '"name":"reply"' END, '"place":' || place, '"status":"' || status || '"', '"step":' || step,
+    '"turn":' || turn) || '}' AS json
+FROM s
+"""
+
+
 def op6_jaccard_join(spark, sf_dir):
     return jaccard_join.join(_read(spark, sf_dir, "documents"), n=5, tau=0.8).withColumnRenamed("id", "doc_id")
 
@@ -131,4 +181,4 @@ def op10_fingerprints(spark, sf_dir):
 
 
 QUERIES = {"op2_url_filter": op2_url_filter, "op5_chat_formatting": op5_chat_formatting, "op3_suffix_dedup": op3_suffix_dedup, "op6_jaccard_join": op6_jaccard_join, "op10_fingerprints": op10_fingerprints, "op8_language_id": op8_language_id, "op1_bpe_codec": op1_bpe_codec, "op9_token_counts": op9_token_counts, "op7_mix_sources": op7_mix_sources, "op4_exact_dedup": op4_exact_dedup}
-ORACLE_SQL = {"op2_url_filter": OP2_SQL, "op6_jaccard_join": OP6_SQL, "op4_exact_dedup": OP4_SQL}
+ORACLE_SQL = {"op2_url_filter": OP2_SQL, "op5_chat_formatting": OP5_SQL, "op6_jaccard_join": OP6_SQL, "op4_exact_dedup": OP4_SQL}

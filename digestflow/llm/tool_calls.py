@@ -19,7 +19,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import staged
+from ._shared import join_hot, staged
 
 #: JSON types of a schema, as schema_of_variant names them.
 TYPES = {"string": "^STRING$", "integer": "^BIGINT$", "number": "^(BIGINT|DECIMAL.*|DOUBLE|FLOAT)$", "boolean": "^BOOLEAN$", "object": "^OBJECT.*$", "array": "^ARRAY.*$"}
@@ -86,16 +86,28 @@ def link(events: DataFrame, schemas: Mapping[str, Mapping[str, str]]) -> DataFra
     Adds place and step (null for messages), status and json.  status: ``message``; ``linked``, ``unanswered`` or ``repeated`` (a
     later call with an identifier that its conversation has used) for calls, ``invalid`` before these if the arguments
     don't fit their tool's schema; ``linked``, ``orphan`` (no such call, or only a later one) or ``repeated`` (not the first
-    answer) for results; rows of one turn are alike first.  Nulls: a call or result without identifier is ``unanswered`` or ``orphan``.
+    answer) for results; rows of one turn are alike first.  Nulls: a call or result without conversation, turn or identifier
+    is ``unanswered`` or ``orphan`` and has no place.  Any other kind is a message.
     """
     ids = ["conv", "call_id"]
-    calls = events.where("kind = 'call' AND call_id IS NOT NULL").groupBy(*ids).agg(F.min("turn").alias("call_turn"), F.min_by("after", "turn").alias("after"))
+    linkable = F.col("kind").isin("call", "result") & F.col("conv").isNotNull() & F.col("turn").isNotNull() & F.col("call_id").isNotNull()
+    linked, alone = events.where(F.coalesce(linkable, F.lit(False))), events.where(~F.coalesce(linkable, F.lit(False)))
+    is_call = F.col("kind") == "call"
+    # one row per identifier: its first call, and how many events bear it
+    calls = linked.groupBy(*ids).agg(
+        F.min(F.when(is_call, F.col("turn"))).alias("call_turn"), F.min_by(F.when(is_call, F.col("after")), F.when(is_call, F.col("turn"))).alias("after"),
+        F.count("*").alias("held"),
+    )
     calls = staged(calls, "calls")
-    results = events.where("kind = 'result' AND call_id IS NOT NULL").join(calls.select(*ids, "call_turn"), ids).where("turn >= call_turn")
+    first = calls.where("call_turn IS NOT NULL")
+    total = calls.agg(F.sum("held")).first()[0] or 0
+    results = join_hot(linked.where("kind = 'result'"), first.select(*ids, "call_turn", "held"), ids, "held", total).where("turn >= call_turn")
     answers = results.groupBy(*ids).agg(F.min("turn").alias("answer_turn"))
-    order = call_order(calls.select(*ids, "call_turn", F.coalesce("after", F.array().cast("array<string>")).alias("after")))
-    known = calls.drop("after").join(answers, ids, "left").join(order, ids, "left")
-    both = events.join(known, ids, "left")
+    order = call_order(first.select(*ids, "call_turn", F.coalesce("after", F.array().cast("array<string>")).alias("after")))
+    known = staged(first.drop("after").join(answers, ids, "left").join(order, ids, "left"), "known-calls")
+    both = join_hot(linked, known, ids, "held", total, "left").drop("held")
+    empty = {c: F.lit(None).cast(known.schema[c].dataType) for c in ("call_turn", "answer_turn", "place", "step")}
+    both = both.unionByName(alone.withColumns(empty))
     faults = argument_faults(F.col("name"), F.col("arguments"), schemas)
     call_status = (
         F.when(F.col("turn") > F.col("call_turn"), "repeated").when(F.size("faults") > 0, "invalid").when(F.col("answer_turn").isNull(), "unanswered").otherwise("linked")
