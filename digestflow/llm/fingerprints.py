@@ -1,10 +1,15 @@
 """Document fingerprints of closed syncmers, in DataFrame functions alone.
 
-The letters are words (runs of characters other than ASCII white space, cut after 16 characters).  Of all runs of K
-words, those are chosen whose least inner run of S words, by hash, is the first or the last one.  The choice depends on
-nothing but the run itself, so a passage keeps its anchors wherever it stands, and an edit changes only the runs that
-touch it.  A text of fewer than K words is one run; where none of a text's runs is chosen (which takes fewer than 2K - S - 1
-words), the one with the least hash is.  So only a text without words has the empty fingerprint.
+The letters are words (runs of characters other than ASCII white space); in scripts that don't space their words, each
+character is a letter.  Of all runs of K letters, those are chosen whose least inner run of S letters, by hash, is the
+first or the last one.  The choice depends on nothing but the run itself, so a passage keeps its anchors wherever it
+stands, and an edit changes only the runs that touch it.  A text of fewer than K letters is one run; where none of a text's
+runs is chosen (which takes fewer than 2K - S - 1 letters), the one with the least hash is.  So only a text without letters
+has the empty fingerprint.
+
+A fingerprint has each anchor once, with the place of its first letter.  Two fingerprints are compared by place: their
+common anchors, in the order of one text, lie on diagonals (the difference of their places), and count where a neighbour
+lies on the same one, so a passage counts wherever it was moved to, and scattered anchors that agree by chance don't.
 """
 
 from __future__ import annotations
@@ -15,45 +20,80 @@ from pyspark.sql import functions as F
 from ._shared import let, n_partitions
 
 K, S = 8, 2
-LETTER = r"[^\x20\x09-\x0D]{1,16}"
+#: Fixed ranges: South-East Asian scripts, kana, Chinese characters and their extensions.
+UNSPACED = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
+LETTER = rf"[^\x20\x09-\x0D{UNSPACED}]+|[{UNSPACED}]"
 #: Of the ranges of ids that put documents in order: first-level ranges, and rows in a second-level one.
 RANGES, RANGE_ROWS = 4096, 500
 
 
+def _first_places(found: Column) -> Column:
+    """Each anchor of found (anchor, place) once, with its least place; in the order of the anchors."""
+    return let(F.array_sort(found), lambda x: F.filter(x, lambda e, i: (i == 0) | (F.get(x, i - 1)["anchor"] != e["anchor"])))
+
+
 def syncmers(text: Column, k: int = K, s: int = S) -> Column:
-    """The distinct hashes of a text's closed syncmers, in the order of their first places: array<long>."""
+    """A text's closed syncmers: array<struct<anchor long, place int>>, each anchor once, in the order of the anchors."""
 
     def chosen(h: Column) -> Column:
+        def anchor(i: Column) -> Column:
+            return F.struct(F.xxhash64(*[F.get(h, i + j) for j in range(k)]).alias("anchor"), i.alias("place"))
+
         def of(g: Column) -> Column:
-            def at(i: Column) -> Column:
+            def is_chosen(i: Column) -> Column:
                 edges = F.least(F.get(g, i), F.get(g, i + (k - s)))
-                inner = F.least(*[F.get(g, i + j) for j in range(1, k - s)])
-                return F.when(edges <= inner, F.xxhash64(*[F.get(h, i + j) for j in range(k)]))
-
-            def run(i: Column) -> Column:
-                return F.xxhash64(*[F.get(h, i + j) for j in range(k)])
+                return edges <= F.least(*[F.get(g, i + j) for j in range(1, k - s)])
 
             places = F.sequence(F.lit(0), F.size(h) - k)
-            found = F.array_distinct(F.array_compact(F.transform(places, at)))
-            return let(found, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.array_min(F.transform(places, run)))))
+            at = F.filter(places, is_chosen)
+            least = F.array(F.array_min(F.transform(places, anchor)))
+            return let(at, lambda x: F.when(F.size(x) > 0, F.transform(x, anchor)).otherwise(least))
 
         grams = F.transform(h, lambda x, i: F.xxhash64(*[F.get(h, i + j) for j in range(s)]))
-        short = F.when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<long>"))
+        whole = F.array(F.struct(F.xxhash64(h).alias("anchor"), F.lit(0).alias("place")))
+        short = F.when(F.size(h) > 0, whole).otherwise(F.slice(whole, 1, 0))
         return F.when(F.size(h) < k, short).otherwise(let(grams, of))
 
     letters = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(LETTER), F.lit(0))
-    return let(F.transform(letters, lambda w: F.xxhash64(w)), chosen)
+    return _first_places(let(F.transform(letters, lambda w: F.xxhash64(w)), chosen))
 
 
 def as_text(fingerprint: Column) -> Column:
-    """16 hexadecimal digits for each anchor."""
-    return F.array_join(F.transform(fingerprint, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
+    """16 hexadecimal digits for each anchor and 8 for its place, in the order of the places."""
+    by_place = F.array_sort(F.transform(fingerprint, lambda x: F.struct(x["place"].alias("place"), x["anchor"].alias("anchor"))))
+    digits = F.transform(by_place, lambda x: F.lower(F.concat(F.lpad(F.hex(x["anchor"]), 16, "0"), F.lpad(F.hex(x["place"]), 8, "0"))))
+    return F.array_join(digits, "")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two fingerprints; two empty ones are alike."""
-    common = F.size(F.array_intersect(a, b))
-    return F.when(F.size(a) + F.size(b) == 0, 1.0).otherwise(let(common, lambda n: n / (F.size(a) + F.size(b) - n)))
+    """How much of two fingerprints agrees by place: m / (|a| + |b| - m) for m aligned common anchors; two empty ones are alike.
+
+    A common anchor is aligned if the one before or behind it, in the order of a's text, lies on the same diagonal, or if
+    it is the only common one.  Sorting, so work grows with n log n.
+    """
+
+    def side(x: Column, which: int) -> Column:
+        return F.transform(x, lambda e: F.struct(e["anchor"].alias("anchor"), F.lit(which).alias("side"), e["place"].alias("place")))
+
+    def meeting(both: Column) -> Column:
+        # an anchor stands at most once in each, so those of both are neighbours, a's first
+        def pair(e: Column, i: Column) -> Column:
+            other = F.get(both, i + 1)
+            there = (e["side"] == 0) & (other["anchor"] == e["anchor"])
+            return F.when(there, F.struct(e["place"].alias("at"), (other["place"] - e["place"]).alias("diagonal")))
+
+        return F.array_sort(F.array_compact(F.transform(both, pair)))
+
+    def aligned(met: Column) -> Column:
+        def alike(e: Column, i: Column) -> Column:
+            before, behind = F.get(met, i - 1)["diagonal"], F.get(met, i + 1)["diagonal"]
+            return F.coalesce(before == e["diagonal"], F.lit(False)) | F.coalesce(behind == e["diagonal"], F.lit(False))
+
+        return F.when(F.size(met) < 2, F.size(met)).otherwise(F.size(F.filter(met, alike)))
+
+    both = F.array_sort(F.concat(side(a, 0), side(b, 1)))
+    m = let(let(both, meeting), aligned)
+    return F.when(F.size(a) + F.size(b) == 0, 1.0).otherwise(let(m, lambda n: n / (F.size(a) + F.size(b) - n)))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
