@@ -24,8 +24,10 @@ from ._shared import WORD, n_partitions, staged
 
 MAX_SOURCES = 100_000
 PLAN_CELLS = 4_000_000
-BUCKETS = 1024
-EXPLODED = 65_536
+#: Blocks of an output shard, as far as PLAN_CELLS allows, and slots that a row of the plan gives at once.
+SHARD_BLOCKS, EXPLODED = 4096, 65_536
+#: Documents of a hash bucket of the largest source, unless a source would have more than MOST_BUCKETS of them.
+BUCKET_ROWS, MOST_BUCKETS = 256, 65_536
 MAX_REPEATS = 3
 
 
@@ -101,15 +103,17 @@ class Mix:
         self.docs, self.columns, self.block, self.seed = docs, (id_col, text_col, source_col), block, seed
         spark = docs.sparkSession
         self.sized = staged(_sized(docs, id_col, text_col, source_col), "mix-sizes")
-        found = self.sized.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
+        counts = [F.sum("size").alias("size"), F.count("*").alias("rows")]
+        found = self.sized.groupBy("source").agg(*counts).limit(MAX_SOURCES + 1).collect()
         if len(found) > MAX_SOURCES:
             raise ValueError(f"more than {MAX_SOURCES} sources")
         found = sorted(found, key=lambda r: (r.source is None, r.source or ""))
+        self.buckets = max(1, min(MOST_BUCKETS, max((r["rows"] for r in found), default=1) // BUCKET_ROWS))
         sizes = [r["size"] for r in found]
         targets = share_out(sizes, [weights[i % len(weights)] for i in range(len(sizes))])
         blocks = [-(-n // block) for n in sizes]
         quotas = [round(t / n * b) if n else 0 for t, n, b in zip(targets, sizes, blocks)]
-        shards = max(1, min(4096, PLAN_CELLS // max(1, len(sizes)), sum(quotas) // EXPLODED + 1))
+        shards = max(1, min(4096, PLAN_CELLS // max(1, len(sizes)), sum(quotas) // SHARD_BLOCKS + 1))
         counts = draw_shards(np.array(quotas, np.int64), shards, seed)
         first = np.cumsum(counts, 0) - counts
         plan = [
@@ -146,7 +150,7 @@ class Mix:
         rows = self.sized.join(F.broadcast(self.sources), self.sized["source"].eqNullSafe(self.sources["source"])).select(
             "id", self.sized["source"], "size", "s", "source_size", "target", F.xxhash64("id", F.lit(self.seed)).alias("h")
         )
-        rows = rows.withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
+        rows = rows.withColumn("bucket", F.pmod("h", F.lit(self.buckets)))
         sums = rows.groupBy("s", "bucket").agg(F.sum("size").alias("words"))
         before = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         sums = sums.select("s", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
