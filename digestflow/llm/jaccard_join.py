@@ -8,9 +8,9 @@ A document is the set of its runs of N words.  Documents with equal sets share a
    more share CHOICES chosen tokens on average in a bucket, so their common buckets are a branching process: the share s
    of buckets below which they meet in the end obeys s = 1 - exp(-CHOICES * s) at any depth, and a run misses them with
    exp(-CHOICES * s) at most.  runs_for() takes as many runs as the target recall needs if every bucket of a pair splits.
-2. A large bucket whose sets are alike on the whole can't be split by choosing; it is compared as it is, as is what is
-   still large at the last level.  Whether a bucket is alike is read off the shares of ones among its sketches' bits.
-   This decides about work alone: a pair that a bucket holds is compared in it or goes on to its children.
+2. A large bucket whose sets are alike on the whole does not shrink when they choose again; it is compared as it is, as
+   is what is still large at the last level.  The average similarity is read off the shares of ones among the sketches'
+   bits.  This decides about work alone: a pair that a bucket holds is compared in it or goes on to its children.
 3. Small buckets are compared by brute force: pairs of 1-bit minwise sketches.  Larger ones are cut into blocks of
    SIDE sets, and each pair of blocks is compared by a task of its own.  A pair whose sketches agree well below tau
    still counts (at 0.8, 256 independent bits overlook one with probability 6.4e-7, besides what the paths miss); a
@@ -40,8 +40,11 @@ from .components import components
 from .rolling import mixed
 
 LIMIT, SIDE, BLOCK, DEPTH, SKETCH, CACHE = 512, 8192, 512, 8, 256, 100_000
-#: Tokens that two sets at tau choose in common, on average, in a bucket.
-CHOICES = 2.0
+#: Tokens that two sets at tau choose in common, on average, in a bucket.  Pairs less similar than tau / CHOICES meet in
+#: ever fewer buckets below one, so a bucket whose average similarity is below WORTH, well under that, shrinks by splitting.
+CHOICES, WORTH = 1.5, 0.3
+#: Of chosen buckets to be split, so many at most are broadcast to the texts (some 20 MB); beyond that, texts are shuffled.
+BROADCAST = 500_000
 #: Bits of a sketch that tell whether a large bucket's sets are alike.
 BITS = 32
 #: Pairs count as candidates if their sketches' estimate is this far below tau: over five standard deviations.
@@ -171,7 +174,7 @@ def signatures(rows: DataFrame, n: int, tau: float, runs: int) -> DataFrame:
 
 
 def chosen_again(rows: DataFrame, members: DataFrame, n: int, tau: float) -> DataFrame:
-    """rec and path: the buckets that the sets of members (rec, path) choose below theirs.  Each text moves once."""
+    """rec and path: the buckets that the sets of members (rec, path) choose below theirs."""
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(n)
@@ -183,18 +186,18 @@ def chosen_again(rows: DataFrame, members: DataFrame, n: int, tau: float) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.list_(pa.int64()))], ["rec", "paths"])
 
     parents = members.groupBy("rec").agg(F.collect_list("path").alias("parents"))
-    # rows may repeat a set's text; one of them chooses
-    texts = rows.select("rec", "text").join(parents.hint("shuffle_hash"), "rec").dropDuplicates(["rec"])
+    few = members.count() <= BROADCAST
+    texts = rows.select("rec", "text").join(F.broadcast(parents) if few else parents.hint("shuffle_hash"), "rec")
     return texts.select("rec", "text", "parents").mapInArrow(choose, "rec long, paths array<long>").select("rec", F.explode("paths").alias("path"))
 
 
 def alike(members: DataFrame, sketches: DataFrame, tau: float) -> DataFrame:
-    """path and alike, for the buckets of members (path, rec): whether two of its sets are as similar as candidates, on average."""
+    """path and alike, for the buckets of members (path, rec): whether splitting is not worth while."""
     word = F.conv(F.hex(F.substring("sketch", 1, BITS // 8)), 16, 10).cast("long")
     bits = members.join(sketches.select("rec", word.alias("word")), "rec")
     shares = [F.avg(F.getbit("word", F.lit(i))) for i in range(BITS)]
     agree = sum((p * p + (1 - p) * (1 - p) for p in shares), F.lit(0.0)) / BITS
-    return bits.groupBy("path").agg((agree >= (1 + tau - SLACK) / 2).alias("alike"))
+    return bits.groupBy("path").agg((2 * agree - 1 >= WORTH * tau / 0.8).alias("alike"))
 
 
 def buckets(reps: DataFrame, rows: DataFrame, n: int, tau: float) -> DataFrame:
@@ -208,7 +211,7 @@ def buckets(reps: DataFrame, rows: DataFrame, n: int, tau: float) -> DataFrame:
         split = None
         if depth < DEPTH and counts.where(F.col("size") > LIMIT).take(1):
             judged = staged(alike(large, reps, tau), "alike")
-            split = large.join(judged.where("NOT alike"), "path", "left_semi")
+            split = staged(large.join(judged.where("NOT alike"), "path", "left_semi"), "split")
             large = large.join(judged.where("alike"), "path", "left_semi")
         both = small.unionByName(large)
         done = both if done is None else done.unionByName(both)
