@@ -17,6 +17,8 @@ from digestflow.functions.text import cluster_id
 
 from .tables import written
 
+#: Groups of rows that are compared pair by pair in one go.
+SMALL = 64
 LINKS = ("material_id", "duplicate_of_id", "kind", "similarity")
 
 
@@ -25,6 +27,16 @@ def drop_known(new: DataFrame, stored: DataFrame) -> DataFrame:
     return new.join(stored.select("id"), "id", "left_anti")
 
 
+def all_links(*tables: DataFrame) -> DataFrame:
+    """Exact and semantic links in one table; of links between the same two materials, the more similar, exact before semantic."""
+    every = tables[0].select(*LINKS)
+    for other in tables[1:]:
+        every = every.unionByName(other.select(*LINKS))
+    place = F.struct("similarity", (F.col("kind") == "exact_content").alias("exact"))
+    best = every.groupBy("material_id", "duplicate_of_id").agg(F.max_by(F.struct("kind", "similarity"), place).alias("l"))
+    return best.select("material_id", "duplicate_of_id", "l.kind", "l.similarity")
+
+
 def repeated_ids(batch: DataFrame) -> DataFrame:
     """Ids that a batch has more than once (an error of its producer)."""
     return batch.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
@@ -53,14 +65,20 @@ def combine(lookback: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     return every.dropDuplicates(["id"]), marked.where("n > 1").select("id")
 
 
+class _Places(dict):
+    """word -> CRC-32, of a batch."""
+
+    def __missing__(self, word: str) -> int:
+        found = self[word] = zlib.crc32(word.encode())
+        return found
+
+
 def hashed_counts(texts: pd.Series, dims: int = 4096) -> list[np.ndarray]:
     """The default encoder: square roots of hashed word counts, of unit length."""
-    out = []
+    out, places = [], _Places()
     for text in texts:
-        v = np.zeros(dims, np.float32)
-        for word in (text or "").lower().split():
-            v[zlib.crc32(word.encode()) % dims] += 1
-        v = np.sqrt(v)
+        at = np.fromiter(map(places.__getitem__, (text or "").lower().split()), np.int64)
+        v = np.sqrt(np.bincount(at % dims, minlength=dims)).astype(np.float32)
         n = np.linalg.norm(v)
         out.append(v / n if n else v)
     return out
@@ -96,9 +114,11 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _compared(keyed: DataFrame, payload: str, block: int, near: Callable[[np.ndarray, np.ndarray], np.ndarray], load: Callable[[list], np.ndarray], kind: str) -> DataFrame:
+def _compared(keyed: DataFrame, payload: str, block: int, near: Callable[[np.ndarray, np.ndarray], np.ndarray], load: Callable[[pa.Array], np.ndarray], kind: str, rowwise: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """keyed (key, id, payload) -> a, b, value of pairs within a key: near(left rows, right rows) gives NaN for the others.
 
+    rowwise, if given, does the same for one row each: groups of SMALL rows or fewer are then compared all at once.
+
     Keys with more than ``block`` rows are cut into blocks, and each pair of blocks goes to a task of its own.
     """
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -112,13 +132,32 @@ def _compared(keyed: DataFrame, payload: str, block: int, near: Callable[[np.nda
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, "task"):
             ids, task, side = np.array(table["id"].to_pylist(), object if kind == "string" else None), table["task"].to_numpy(), table["side"].to_numpy()
-            rows, id_type = table[payload].to_pylist(), table.schema.field("id").type
+            rows, id_type = table[payload].combine_chunks(), table.schema.field("id").type
             starts = np.flatnonzero(np.append(True, task[1:] != task[:-1]))
             out: list[list] = [[], [], []]
-            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(task)]):
-                if e - s < 2:
+
+            def keep(x: np.ndarray, y: np.ndarray, found: np.ndarray) -> None:
+                for column, v in zip(out, (np.where(x < y, x, y), np.where(x < y, y, x), found)):
+                    column.extend(v.tolist())
+
+            ends = np.append(starts[1:], len(task))
+            few = np.repeat(ends - starts <= (SMALL if rowwise else 1), ends - starts)
+            if rowwise and few.any():
+                some, m = np.flatnonzero(few), load(rows)
+                for step in range(1, SMALL):
+                    i = some[some + step < len(task)]
+                    some = i = i[task[i] == task[np.minimum(i + step, len(task) - 1)]]
+                    if not len(i):
+                        break
+                    i = i[(side[i] == 2) | (side[i] != side[i + step])]
+                    value = rowwise(m[i], m[i + step])
+                    i, value = i[~np.isnan(value)], value[~np.isnan(value)]
+                    ok = ids[i] != ids[i + step]
+                    keep(ids[i][ok], ids[i + step][ok], value[ok])
+            for s, e in zip(starts.tolist(), ends.tolist()):
+                if e - s < 2 or few[s]:
                     continue
-                m, own, names = load(rows[s:e]), side[s:e], ids[s:e]
+                m, own, names = load(rows.slice(s, e - s)), side[s:e], ids[s:e]
                 left, right = np.flatnonzero(own != 1), np.flatnonzero(own != 0)
                 for start in range(0, len(left), 512):
                     part = left[start : start + 512]
@@ -126,9 +165,7 @@ def _compared(keyed: DataFrame, payload: str, block: int, near: Callable[[np.nda
                     i, j = np.nonzero(~np.isnan(value))
                     x, y = names[part[i]], names[right[j]]
                     ok = (x != y) & ((own[part[i]] == 0) | (x < y))
-                    x, y, found = x[ok], y[ok], value[i[ok], j[ok]]
-                    for column, v in zip(out, (np.where(x < y, x, y), np.where(x < y, y, x), found)):
-                        column.extend(v.tolist())
+                    keep(x[ok], y[ok], value[i[ok], j[ok]])
             yield pa.RecordBatch.from_arrays([pa.array(out[0], id_type), pa.array(out[1], id_type), pa.array(out[2], pa.float64())], ["a", "b", "value"])
 
     partitions = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -156,8 +193,11 @@ def similarity_pairs(df: DataFrame, tau: float = 0.9, mode: str = "exact", block
     kind = dict(df.dtypes)["id"]
     rows = df.where("vec IS NOT NULL").select("id", "vec")
 
-    def unit(vectors: list) -> np.ndarray:
-        m = np.array(vectors, np.float64)
+    def matrix(vectors: pa.Array) -> np.ndarray:
+        return unit(vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1))
+
+    def unit(vectors) -> np.ndarray:
+        m = np.asarray(vectors, np.float64)
         norm = np.linalg.norm(m, axis=1, keepdims=True)
         return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
@@ -166,13 +206,15 @@ def similarity_pairs(df: DataFrame, tau: float = 0.9, mode: str = "exact", block
         return np.where(near >= tau, np.clip(near, 0, 1), np.nan)
 
     if mode == "exact":
-        return _compared(rows.withColumn("key", F.lit(0).cast("long")), "vec", block, cosines, unit, kind).withColumnRenamed("value", "similarity")
+        return _compared(rows.withColumn("key", F.lit(0).cast("long")), "vec", block, cosines, matrix, kind).withColumnRenamed("value", "similarity")
 
     @F.pandas_udf(BinaryType())
     def signs(vec: pd.Series) -> pd.Series:
         m = np.stack(vec.to_numpy()).astype(np.float32)
         planes = np.random.default_rng(seed).standard_normal((m.shape[1], bands * bits), np.float32)
-        return pd.Series([x.tobytes() for x in np.packbits(m @ planes > 0, axis=1)])
+        packed = np.packbits(m @ planes > 0, axis=1)
+        # whole 64-bit words
+        return pd.Series([x.tobytes() for x in np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8)))])
 
     @F.pandas_udf(ArrayType(LongType()))
     def keys(packed: pd.Series) -> pd.Series:
@@ -183,14 +225,21 @@ def similarity_pairs(df: DataFrame, tau: float = 0.9, mode: str = "exact", block
     most = bands * bits * (apart + 5 * math.sqrt(apart * (1 - apart) / (bands * bits))) + 1
 
     def differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        n = np.zeros((len(x), len(y)), np.int32)
+        n = np.zeros((len(x), len(y)), np.uint16)
         for k in range(x.shape[1]):
             n += np.bitwise_count(x[:, k][:, None] ^ y[:, k])
         return np.where(n <= most, n, np.nan)
 
+    def differ_each(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        n = np.bitwise_count(x ^ y).sum(1)
+        return np.where(n <= most, n, np.nan)
+
+    def words(packed: pa.Array) -> np.ndarray:
+        return np.frombuffer(b"".join(packed.to_pylist()), np.uint64).reshape(len(packed), -1)
+
     signed = rows.select("id", signs("vec").alias("packed"))
     keyed = signed.withColumn("key", F.explode(keys("packed")))
-    candidates = _compared(keyed, "packed", block, differ, lambda x: np.frombuffer(b"".join(x), np.uint8).reshape(len(x), -1), kind).select("a", "b").distinct()
+    candidates = _compared(keyed, "packed", block, differ, words, kind, differ_each).select("a", "b").distinct()
 
     @F.pandas_udf(DoubleType())
     def cosine(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -256,9 +305,10 @@ def clusters(leaders: DataFrame, pairs: DataFrame, new_ids: DataFrame, assign: s
 
 def attach_exact(found: DataFrame, links: DataFrame) -> DataFrame:
     """Clusters with the exact duplicates of their members, after the members, in the order of members and of the batch."""
-    members = found.select(F.col("id").alias("old"), "representative_id", "material_ids", F.posexplode("material_ids").alias("pos", "duplicate_of_id"))
+    members = found.select(F.col("id").alias("old"), F.posexplode("material_ids").alias("pos", "duplicate_of_id"))
     more = members.join(links.select("duplicate_of_id", "material_id", "batch_pos"), "duplicate_of_id")
-    more = more.where(~F.array_contains("material_ids", F.col("material_id").cast("string")))
+    own = members.select("old", F.col("duplicate_of_id").alias("material_id"))
+    more = more.withColumn("material_id", F.col("material_id").cast("string")).join(own, ["old", "material_id"], "left_anti")
     first = more.groupBy("old", "material_id").agg(F.min(F.struct("pos", "batch_pos")).alias("o"))
     added = first.groupBy("old").agg(F.array_sort(F.collect_list(F.struct("o", F.col("material_id").cast("string").alias("id")))).alias("m"))
     both = found.join(added.select(F.col("old").alias("id"), F.transform("m", lambda x: x["id"]).alias("added")), "id", "left")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+from bisect import bisect_left, bisect_right
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +20,7 @@ from .tables import written
 #: The limits of a post, the hours between runs, and the wording of a post's link list.
 POST_LIMIT, POST_LEAST, RUN_HOURS, SUMMARY_CHARS, SOURCES_LINE = 4096, 128, 6, 1500, "Источники:"
 DISPLAY_TZ = "Europe/Moscow"
+BREAK, WORD = re.compile("[\n ]"), re.compile(r"\S+")
 
 
 def digest_items(summaries: DataFrame, clusters: DataFrame, materials: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -51,15 +54,24 @@ def format_item(summary: Column, links: Column, dates: Column, tz: str = DISPLAY
 
 
 def _pieces(text: str, limit: int) -> list[str]:
-    """Parts of at most ``limit`` characters, cut at the last line end or space unless that is in the first half."""
-    out = []
-    while len(text) > limit:
-        head = text[: limit + 1]
-        at = max(head.rfind("\n"), head.rfind(" "))
-        at = limit if at < limit // 2 else at
-        out.append(text[:at].rstrip())
-        text = text[at:].lstrip()
-    return [*out, text] if text or not out else out
+    """Parts of at most ``limit`` characters, cut at the last line end or space unless that is in the first half.
+
+    Places to break are found once, so the work grows with the text alone.
+    """
+    breaks, words = [m.start() for m in BREAK.finditer(text)], [m.span() for m in WORD.finditer(text)]
+    begins, ends = [a for a, _ in words], [b for _, b in words]
+    spans, start = [], 0
+    while len(text) - start > limit:
+        k = bisect_right(breaks, start + limit) - 1
+        stop = breaks[k] if k >= 0 and breaks[k] - start >= limit // 2 else start + limit
+        # the part ends with the last word that begins before ``stop``; the next one begins at the first word from there
+        last = bisect_left(begins, stop) - 1
+        spans.append((start, max(start, min(stop, ends[last]) if last >= 0 else start)))
+        after = bisect_right(ends, stop)
+        start = max(stop, begins[after]) if after < len(words) else len(text)
+    if start < len(text) or not spans:
+        spans.append((start, len(text)))
+    return [text[a:b] for a, b in spans]
 
 
 def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -128,6 +140,21 @@ def compose(items: DataFrame, header: str, created_at: Column, limit: int = POST
     return digests, own.select("digest_id", "position", "cluster_id", "summary", "source_links"), split_posts(text, header, limit)
 
 
+def prepare(items: DataFrame, stored: tuple[DataFrame, DataFrame, DataFrame], header: str, created_at: Column, limit: int = POST_LIMIT) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """compose() against what is stored (digests, items, posts): the rows to append to each, and ids that collide.
+
+    A digest that is stored for the same profile, version and channel gives no rows, so a repeated run changes nothing; one
+    that is stored for another is a collision and gives none either.  Digest items and posts without their digest's row, as
+    after a run that broke off before it, are completed: rows are compared by digest and position.
+    """
+    digests, parts, posts = compose(items, header, created_at, limit)
+    bad = collisions(digests, stored[0])
+    digests = digests.join(stored[0].select("id"), "id", "left_anti")
+    key, skip = ["digest_id", "position"], bad.withColumnRenamed("id", "digest_id")
+    rest = [new.join(skip, "digest_id", "left_anti").join(old.select(*key), key, "left_anti") for new, old in ((parts, stored[1]), (posts, stored[2]))]
+    return digests, *rest, bad
+
+
 def collisions(digests: DataFrame, stored: DataFrame) -> DataFrame:
     """Ids of digests that are stored for another profile, version or channel."""
     old = stored.select("id", *[F.col(c).alias(f"_{c}") for c in ("profile_id", "profile_version", "channel_id")])

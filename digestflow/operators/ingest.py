@@ -57,7 +57,10 @@ def extract_items(items: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def normalize_materials(items: DataFrame, fetched_at: Column) -> tuple[DataFrame, DataFrame]:
-    """Extracted items -> materials, errors (material_invalid: no text, URL, id or date)."""
+    """Extracted items -> materials, errors (material_invalid: no text, URL, id or date).
+
+    An item's metadata (a JSON object, where items have it) goes along, with the attachment errors of its extraction.
+    """
     rows = items.withColumns({"text": T.display_text(F.col("extracted_text")), "url": canonicalize_url(F.col("original_url"))})
     bad = (
         F.when(F.col("text").isNull(), "blank text").when(F.col("url").isNull(), "no absolute http(s) URL")
@@ -69,11 +72,18 @@ def normalize_materials(items: DataFrame, fetched_at: Column) -> tuple[DataFrame
         T.material_id(F.col("source_id"), F.col("external_id")).alias("id"), "source_id", "external_id", F.col("url").alias("original_url"), "published_at",
         fetched_at.alias("fetched_at"), T.choose_title(extracted, F.lit(None).cast("string"), F.col("text")).alias("title"), "text",
         F.lit(None).cast("string").alias("language"), T.content_hash(F.col("text")).alias("content_hash"), "batch_pos",
+        *([_metadata(items).alias("metadata")] if "metadata" in items.columns else []),
     )
     errors = rows.where("why IS NOT NULL").select("source_id", F.lit("material_invalid").alias("code"), F.col("why").alias("message"), "external_id", F.lit(False).alias("retryable"))
     return materials, errors
 
 
+def _metadata(items: DataFrame) -> Column:
+    given = F.coalesce(F.from_json("metadata", "map<string,string>"), F.create_map().cast("map<string,string>"))
+    faults = F.col("attachment_errors") if "attachment_errors" in items.columns else F.array().cast("array<string>")
+    return T.merge_metadata(given, F.when(F.size(faults) > 0, F.struct(faults.alias("attachment_errors"))))
+
+
 def fresh(materials: DataFrame, now: Column, freshness_days: int, min_published_at: Column | None = None) -> DataFrame:
     """Materials not older than the cut-off (inclusive); min_published_at replaces it (backfill)."""
     bound = now - F.make_interval(days=F.lit(freshness_days)) if min_published_at is None else min_published_at

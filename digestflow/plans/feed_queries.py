@@ -191,7 +191,7 @@ def latest_per_group(spark, sf_dir):
 
 @query(r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '[?&]utm_source=[^&]*', ''), '/$', '') AS url FROM pages""")
 def canonical_urls(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", U.canonicalize_url("url").alias("url"))
+    return table(spark, sf_dir, "pages").select("page_id", U.canonicalize_url(F.col("url")).alias("url"))
 
 
 @query(r"""SELECT page_id, regexp_replace(regexp_extract(url, '^https?://([^/?#]*)', 1), '^www\.', '') AS label,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from digestflow.functions.dates import parse_datetime
 from digestflow.functions.text import blank_to_null, fallback_external_id
+from digestflow.functions.urls import absolute_url
 
 ATTACHMENTS = "array<struct<kind:string,name:string,size:bigint,download_ref:string,mime_type:string>>"
 
@@ -87,10 +88,13 @@ def numeric_message_id(url: Column, entry_id: Column) -> Column:
 def feed_to_raw_items(entries: DataFrame, channel: bool = False) -> tuple[DataFrame, DataFrame]:
     """entries (source_id, batch_pos and read_feed's columns) -> raw items, errors (entry_invalid).
 
-    An entry needs an absolute link and a date.  Its id is its own, else a hash of link and title; for channels the
-    number of the message.
+    An entry needs a link and a date; the link is taken against the feed's URL (entries' column base_url, if they have it)
+    and must come out absolute.  Its id is its own, else a hash of link and title; for channels the number of the message.
+    What an entry says besides goes along as metadata.
     """
     link = blank_to_null(F.col("link"))
+    if "base_url" in entries.columns:
+        link = F.coalesce(absolute_url(F.col("base_url"), link), link)
     own = F.coalesce(blank_to_null(F.col("id")), fallback_external_id(link, F.col("title")))
     rows = entries.withColumns(
         {
@@ -110,6 +114,7 @@ def feed_to_raw_items(entries: DataFrame, channel: bool = False) -> tuple[DataFr
         "source_id", "external_id", F.col("link").alias("original_url"), "published_at", blank_to_null(F.col("title")).alias("title"),
         F.lit(None).cast("string").alias("raw_text"), entry_body(F.col("content"), F.col("summary"), F.col("description")).alias("raw_html"),
         entry_attachments(F.col("enclosures")).alias("attachments"), "batch_pos",
+        F.to_json(F.struct(F.col("id").alias("entry_id"), "published", "updated")).alias("metadata"),
     )
     errors = rows.where("why IS NOT NULL").select("source_id", F.lit("entry_invalid").alias("code"), F.col("why").alias("message"), "external_id", F.lit(False).alias("retryable"))
     return items, errors

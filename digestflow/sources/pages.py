@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from digestflow.functions.dates import parse_datetime
 from digestflow.functions.html import Page
 from digestflow.functions.text import blank_to_null, fallback_external_id, first_line
-from digestflow.functions.urls import absolute_url
+from digestflow.functions.urls import absolute_url, canonicalize_url
 
 #: Units of file sizes, Latin and Cyrillic.
 SIZE_UNITS = {"B": 1, "Б": 1, "KB": 1024, "КБ": 1024, "MB": 1024**2, "МБ": 1024**2, "GB": 1024**3, "ГБ": 1024**3}
@@ -25,7 +25,7 @@ def _mapped(pages: DataFrame, keys: Sequence[str], facts, schema: pa.DataType, d
             found = [facts(Page(html or "")) for html in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(found, schema)], [*keys, "found"])
 
-    rows = pages.select(*keys, "html")
+    rows = pages.select(*dict.fromkeys((*keys, "html")))
     kinds = dict(rows.dtypes)
     return rows.mapInArrow(read, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"found {ddl}"]))
 
@@ -54,7 +54,7 @@ def discover_links(pages: DataFrame, include: str | None = None, exclude: str |
     kind = pa.list_(pa.struct([("href", pa.string()), ("title", pa.string()), ("pos", pa.int32())]))
     links = _mapped(pages, (page_key, "url"), _link_facts, kind, "array<struct<href:string,title:string,pos:int>>")
     links = links.select(page_key, F.col("url").alias("base"), F.explode("found").alias("x"))
-    links = links.select(page_key, absolute_url("base", "x.href").alias("url"), F.col("x.title").alias("title"), F.col("x.pos").alias("pos"))
+    links = links.select(page_key, absolute_url(F.col("base"), F.col("x.href")).alias("url"), F.col("x.title").alias("title"), F.col("x.pos").alias("pos"))
     links = links.where(F.col("url").rlike("^https?://"))
     links = links.where(F.col("url").rlike(include)) if include else links
     links = links.where(~F.col("url").rlike(exclude)) if exclude else links
@@ -74,8 +74,10 @@ def pages_to_raw_items(links: DataFrame, pages: DataFrame, formats: Sequence[str
     A page without a date gives the error article_date_missing, a link without a landed page article_missing (to be
     tried again).
     """
-    facts = clean_pages(pages, ("url",)).join(pages.select("url", "html"), "url")
-    both = links.withColumnRenamed("title", "listed").join(facts, "url", "left")
+    # one page per canonical URL, the least by its text
+    landed = pages.withColumn("_key", canonicalize_url(F.col("url"))).groupBy("_key").agg(F.min("html").alias("html"))
+    facts = clean_pages(landed, ("_key", "html"))
+    both = links.withColumnRenamed("title", "listed").withColumn("_key", canonicalize_url(F.col("url"))).join(facts, "_key", "left").drop("_key")
     both = both.withColumn("published_at", published_at(F.col("dates"), formats, naive_tz)).withColumn("external_id", fallback_external_id(F.col("url"), F.lit(None).cast("string")))
     items = both.where("published_at IS NOT NULL").select(
         "source_id", "external_id", F.col("url").alias("original_url"), "published_at", F.coalesce("title", "listed").alias("title"),

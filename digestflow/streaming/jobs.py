@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from digestflow.functions.text import content_hash, material_id
-from digestflow.operators import dedup, ingest
+from digestflow.operators import dedup, ingest, run
 from digestflow.operators.tables import Table, first_wins
 
 
@@ -23,12 +23,19 @@ class FeedTables:
     """Where a feed keeps its materials, links and cursors."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.materials, self.links, self.cursors = (Table(spark, f"{path}/{n}") for n in ("materials", "links", "cursors"))
+        self.materials, self.links, self.cursors, self.errors = (Table(spark, f"{path}/{n}") for n in ("materials", "links", "cursors", "errors"))
 
 
-def process_batch(items: DataFrame, tables: FeedTables, batch_id: str, min_published_at=None, use_cursors: bool = True, errors: DataFrame | None = None) -> None:
+def process_batch(
+    items: DataFrame, tables: FeedTables, batch_id: str, min_published_at=None, use_cursors: bool = True, errors: DataFrame | None = None, lookback_days: int | None = None,
+    vectors: Callable[[DataFrame], DataFrame] = run.encoded, tau: float = 0.9,
+) -> None:
     """One finite run over items: cursors, cut-off, known ids, exact duplicates against all history; cursors last.
 
+    With lookback_days, unique items are also compared with what is stored of so many days before the batch's latest, and
+    semantic links are kept beside the exact ones.  errors (source_id, code, retryable, ...) go to a table of their own, and a
+    source with a retryable one keeps its cursor.
+
     Every table is keyed by batch_id, so a run that broke off is repeated without harm: what it wrote stays as it was,
     and the cursors only move once the materials and links are in.
     """
@@ -39,7 +46,15 @@ def process_batch(items: DataFrame, tables: FeedTables, batch_id: str, min_publi
     found = materials_of(new)
     stored = tables.materials.read(found.schema)
     fresh = first_wins(dedup.drop_known(found, stored), None, ["id"], ["batch_pos"])
-    _, links = dedup.exact(fresh, stored)
+    unique, links = dedup.exact(fresh, stored)
+    links = links.select(*dedup.LINKS)
+    if lookback_days is not None:
+        now = fresh.agg(F.max("published_at")).first()[0]
+        if now is not None:
+            _, semantic = run.grouped(unique, ingest.fresh(stored, F.lit(now), lookback_days), vectors, tau)
+            links = dedup.all_links(links, semantic)
+    if errors is not None:
+        tables.errors.append(errors, batch_id)
     tables.links.append(links, batch_id)
     tables.materials.append(fresh, batch_id)
     moved = ingest.next_cursors(items, cursors, errors)
@@ -71,8 +86,9 @@ def cursor_stream(items: DataFrame, name: str, checkpoint: str):
         old = state.get if state.exists else None
         best = old
         for batch in batches:
-            for row in zip(batch["published_at"], batch["external_id"]):
-                best = row if best is None or row > tuple(best) else best
+            top = batch.sort_values(["published_at", "external_id"]).iloc[-1]
+            row = (top["published_at"], top["external_id"])
+            best = row if best is None or row > tuple(best) else best
         if best is not None and best != old:
             state.update(tuple(best))
             yield pd.DataFrame({"source_id": [key[0]], "published_at": [best[0]], "external_id": [best[1]]})

@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from digestflow.plans import feed_queries
+from digestflow.plans import feed_queries, run_queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -26,11 +26,12 @@ def rows(df: pd.DataFrame) -> list:
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-@pytest.mark.parametrize("name", sorted(feed_queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(feed_queries.QUERIES | run_queries.QUERIES))
 def test_query(spark, duck, name):
-    got = feed_queries.QUERIES[name](spark, SF).toPandas()
-    if name in feed_queries.ORACLE_SQL:
-        want = duck.execute(feed_queries.ORACLE_SQL[name]).fetchdf()
+    got = (feed_queries.QUERIES | run_queries.QUERIES)[name](spark, SF).toPandas()
+    sql = (feed_queries.ORACLE_SQL | run_queries.ORACLE_SQL).get(name)
+    if sql:
+        want = duck.execute(sql).fetchdf()
         assert sorted(got.columns) == sorted(want.columns)
         assert rows(got) == rows(want)
     else:
