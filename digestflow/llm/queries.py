@@ -109,7 +109,9 @@ def op5_chat_formatting(spark, sf_dir):
         F.when(user, after).alias("after"),
         F.when(~user, F.col("text")).alias("content"),
     )
-    return tool_calls.link(events, REPLY_SCHEMA).withColumnRenamed("conv", "conv_id")
+    linked = tool_calls.link(events, REPLY_SCHEMA).withColumnRenamed("conv", "conv_id")
+    # no place: -1, which both sides of a comparison show alike
+    return linked.withColumns({c: F.coalesce(c, F.lit(-1).cast("long")) for c in ("place", "step")})
 
 
 OP5_SQL = r"""
@@ -134,7 +136,7 @@ s AS (SELECT *, CASE kind WHEN 'call' THEN CASE WHEN turn > call_turn THEN 'repe
           WHEN answer_turn IS NULL THEN 'unanswered' ELSE 'linked' END
       WHEN 'result' THEN CASE WHEN call_turn IS NULL OR turn < call_turn THEN 'orphan' WHEN turn > answer_turn THEN 'repeated' ELSE 'linked' END
       ELSE 'message' END AS status FROM f)
-SELECT conv_id, turn, kind, id AS call_id, place, step::BIGINT AS step, status, '{' || concat_ws(',',
+SELECT conv_id, turn, kind, id AS call_id, coalesce(place, -1) AS place, coalesce(step, -1)::BIGINT AS step, status, '{' || concat_ws(',',
     CASE WHEN kind = 'call' THEN '"arguments":' || CASE WHEN n % 11 = 0 THEN '{"text":' || to_json('prompt=' || s)::VARCHAR || '}'
         WHEN n % 5 = 0 THEN '{"turn":' || turn || '}' WHEN n % 5 = 1 THEN '{"prompt":' || to_json(s)::VARCHAR || ',"turn":"' || turn || '"}'
         ELSE '{"prompt":' || to_json(s)::VARCHAR || ',"turn":' || turn || '}' END END,

@@ -33,6 +33,27 @@ def test_reputation_shrinks(frame):
     assert url_filter.judge(frame([], "id long, url string, bad int"), ()).count() == 0
 
 
+def test_domains(frame):
+    from pyspark.sql import functions as F
+
+    given = {
+        "www.shop.co.uk": ("shop.co.uk", "co.uk"), "u:p@a.b.example.com:8080": ("example.com", "com"), "10.0.0.1:80": ("10.0.0.1", "(numeric)"), "[::1]:80": ("[::1]", "(numeric)"),
+        "co.uk": ("co.uk", "uk"), "localhost": ("localhost", "localhost"), "": ("", ""), "x.example.org.": ("example.org", "org"), "a.com.example": ("com.example", "example"),
+    }
+    got = frame([(h,) for h in given], "h string").select("h", url_filter.domain_of(F.col("h")).alias("d"), url_filter.suffix_of(F.col("h")).alias("s")).collect()
+    assert {r.h: (r.d, r.s) for r in got} == given
+
+
+def test_judge_of_awkward_rows(frame):
+    """Null and repeated ids, rules of equal length, and evidence beside every verdict."""
+    rows = [(None, None, None), (1, "http://b.test/cc/", 1), (1, "http://b.test/cc/", 0), (2, "http://a.b.test/c/", None)]
+    got = url_filter.judge(frame(rows, "id long, url string, bad int"), (("block", "b.test/c"), ("allow", "a.b.test"), ("allow", "test/cc/d")))
+    assert sorted((r.id or 0, r.rule or "", r.verdict, r.n) for r in got.collect()) == [(0, "", "allow", 0), (1, "b.test/c", "block", 2), (1, "b.test/c", "block", 2), (2, "a.b.test", "allow", 0)]
+    rules = [("block", f"h{i}.test/") for i in range(3000)]
+    many = url_filter.judge(frame([(i, f"http://www.h{i}.test/x", None) for i in range(0, 4000, 500)], "id long, url string, bad int"), rules)
+    assert {r.id for r in many.collect() if r.verdict == "block"} == {0, 500, 1000, 1500, 2000, 2500}
+
+
 EVENTS = "conv long, turn long, kind string, call_id string, name string, arguments string, after array<string>, content string"
 SCHEMA = {"f": {"x": "integer", "y": "string", "o": "string?"}}
 
@@ -51,6 +72,8 @@ def test_tool_calls(frame):
     assert got[1, 0].json == '{"arguments":{"x":1,"y":"s"},"conv":1,"id":"a","kind":"call","name":"f","place":0,"status":"linked","step":0,"turn":0}'
     assert '"faults":["x is missing"]' in got[1, 2].json and '"faults":["extra z","x is no integer"]' in got[1, 3].json
     assert tool_calls.link(frame([], EVENTS), SCHEMA).count() == 0
+    nulls = [(None, 0, "call", "a", "f", None, None, None), (None, 1, "result", "a", None, None, None, "x"), (3, None, "call", "a", "f", '{"x":1,"y":"s"}', None, None), (3, 1, None, "a", None, None, None, "x")]
+    assert sorted(r.status for r in tool_calls.link(frame(nulls, EVENTS), SCHEMA).collect()) == ["invalid", "message", "orphan", "unanswered"]
 
 
 def test_call_order(frame):
@@ -73,7 +96,7 @@ def test_components(frame):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     got, want = queries.QUERIES[name](spark, SF).toPandas(), con.execute(queries.ORACLE_SQL[name]).fetchdf()
     columns = sorted(want.columns)
@@ -118,3 +141,24 @@ def test_pipeline(spark):
         words[r.source] += len(own)
         times[r.doc_id] += 1
     assert max(times.values()) <= 3 and all(abs(words[s] - targets[s]) <= 64 for s in sources)
+
+
+def test_pipeline_of_awkward_rows(spark, frame, tmp_path):
+    """Nulls, blank texts, repeated rows and ids, clashing extra columns, and an empty table."""
+    import corpus_pipeline
+
+    text = "plain words of a text that is long enough to have several runs of five words in it"
+    rows = [(1, text, "en", "s", 9, "k"), (1, text, "en", "s", 9, "k"), (2, text + " more", "en", "s", 9, "k"), (2, "another text altogether with the same id as one before", None, None, None, None),
+            (None, None, None, None, None, None), (3, "", "en", "s", 0, "k"), (4, " \n", "en", "s", 0, "k"), (5, "123", "en", "s", 0, "k"), (None, "words without any id at all", "en", "t", 0, "k")]
+    ddl = "doc_id long, text string, lang string, source string, n_chars long, rec string"
+    for name, given in (("some", rows), ("none", [])):
+        frame(given, ddl).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        if given:
+            # the near copy (2) and the repeated row go; the other row with id 2 stays
+            assert {r.doc_id for r in got} <= {1, 2, None} and all(r.n_tokens == len(r.token_ids) for r in got)
+            docs = corpus_pipeline.known_language(spark, spark.read.parquet(f"{tmp_path}/{name}/documents.parquet"), "")
+            left = corpus_pipeline.without_near_copies(spark, corpus_pipeline.without_copies(spark, docs, ""), "")
+            assert sorted((r.doc_id or 0, r.text[:5]) for r in left.collect()) == [(0, "words"), (1, "plain"), (2, "anoth")]
+        else:
+            assert got == []

@@ -3,6 +3,7 @@ repeated rows and columns whose names clash."""
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -75,6 +76,38 @@ def test_bpe_joins():
         assert bpe_codec.encode_with(bpe, data, known).tolist() == bpe.encode(text).tolist()
 
 
+def test_bpe_joins_take_linear_work():
+    """Every byte is encoded a few times at most, with white space, without it, and without any sure place."""
+    bpe, rng = byte_bpe.load(PATH), random.Random(16)
+    for alphabet in ("hello world, this. ", "中文标点，测试文本。", "abcdefghij", "ไทยกขคงา"):
+        text = "".join(rng.choice(alphabet) for _ in range(60_000))
+        data, start, known, spent = text.encode(), 0, {}, []
+        for end in bpe_codec.chunk_cuts(data):
+            if end - start >= bpe_codec.SHORTEST:
+                known[start, end] = bpe.encode(data[start:end].decode())
+            start = end
+        assert bpe_codec.encode_with(bpe, data, known, spent).tolist() == bpe.encode(text).tolist()
+        assert len(known) > 5 and sum(spent) <= 3 * len(data)
+
+
+def test_bpe_of_very_long_texts(frame, reference):
+    rng = random.Random(17)
+    texts = ["".join(rng.choice("中文标点，测试文本。") for _ in range(400_000)), words(rng, 250_000)]
+    texts.append(texts[0][1000:] + texts[1][:5000])
+    got = {r.id: r.token_ids for r in bpe_codec.encode(frame(list(enumerate(texts)), "doc_id long, text string"), PATH).collect()}
+    assert all(len(t.encode()) > 1_000_000 and got[i] == reference.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts))
+
+
+def test_slices_are_bounded_by_bytes():
+    import pyarrow as pa
+
+    from digestflow.llm._shared import sliced
+
+    texts = ["x" * n for n in (10, 500, 5000, 3, 3, 3, 900, 900)]
+    parts = [b.column(0).to_pylist() for b in sliced([pa.RecordBatch.from_pydict({"t": texts})], rows=3, size=1000)]
+    assert [t for p in parts for t in p] == texts and all(len(p) == 1 or len(p) <= 3 and sum(map(len, p)) <= 1000 for p in parts)
+
+
 def test_chunks_are_shared():
     rng = random.Random(4)
     passage = words(rng, 2000).encode()
@@ -130,6 +163,18 @@ def test_exact_dedup(docs, empty, key_bits):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {w[0] for w in want if w[3]}
 
 
+def test_exact_dedup_answers_from_its_index(frame):
+    """Buckets split until they fit, a hot text is dealt to pages, and what a bucket's file lacks is missing from the answer."""
+    rows = [(i, f"text {i % 120}") for i in range(240)] + [(1000 + i, "hot") for i in range(100)]
+    entries, links = exact_dedup.build_index(frame(rows, "doc_id long, text string"), capacity=16)
+    held = Counter(r.bucket for r in entries.collect())
+    hot = next(r.bucket for r in entries.collect() if r.id == 1000)
+    assert len(held) > 12 and all(n <= 16 for b, n in held.items() if b != hot) and held[hot] >= 100
+    assert {(r.keep_id, r.group_size) for r in exact_dedup.looked_up(entries, links).collect()} == {(i, 2) for i in range(120)} | {(1000, 100)}
+    damaged = links.where(links.bucket != hot)
+    assert exact_dedup.looked_up(entries, damaged).count() == len(rows) - held[hot]
+
+
 def brute_repeats(texts, length):
     data = [(t or "").encode() for t in texts]
     seen = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
@@ -153,6 +198,23 @@ def test_suffix_dedup(docs, empty, group, monkeypatch):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_anchors_of_long_texts(frame, monkeypatch):
+    rng = random.Random(18)
+    data = bytes(rng.choice(b"abc ") for _ in range(9000))
+    whole = suffix_dedup.anchors(data, 200, 40)
+    with monkeypatch.context() as m:
+        m.setattr(suffix_dedup, "PART", 1000)
+        parts = suffix_dedup.anchors(data, 200, 40)
+    # a part may cut an anchor's run of windows in two; the windows and their anchors are the same
+    spread = lambda a: sorted((w, at) for _, at, first, last in zip(*map(np.ndarray.tolist, a)) for w in range(first, last + 1))
+    assert spread(whole) == spread(parts)
+    passage = "".join(rng.choice("defgh ") for _ in range(700))
+    long = "".join(rng.choice("abc ") for _ in range(suffix_dedup.PART + 5000))
+    texts = [long[:-300] + passage + long[-300:], "x" * 10 + passage + "y" * 10]
+    got = {r.id: (r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(frame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: (700, 1), 1: (700, 1)}
+
+
 def test_deep_shallow_sort():
     rng = random.Random(5)
     for _ in range(60):
@@ -184,8 +246,8 @@ def near_copies():
 @pytest.mark.parametrize("limit", [1024, 3])
 def test_jaccard_join(frame, limit, monkeypatch):
     """A limit of 3 makes buckets split, and blocks meet in pairs."""
-    monkeypatch.setattr(jaccard_join, "LIMIT", limit)
-    monkeypatch.setattr(jaccard_join, "BLOCK", limit)
+    for name in ("LIMIT", "SIDE", "BLOCK"):
+        monkeypatch.setattr(jaccard_join, name, limit)
     texts = near_copies()
     sets = [(lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())((t or "").split()) for t in texts]
     links = [[j for j, b in enumerate(sets) if j != i and a and b and len(a & b) >= 0.8 * len(a | b)] for i, a in enumerate(sets)]
@@ -197,15 +259,29 @@ def test_jaccard_join(frame, limit, monkeypatch):
     assert {(r.id, r.class_id, r.n_links) for r in got.collect()} == {(i, least[i], len(links[i])) for i in range(len(texts))}
 
 
-def test_jaccard_recall_where_all_buckets_split(frame, monkeypatch):
-    """Pairs exactly at 0.8, of unequal size (the worst case), reach the recall asked for through split buckets."""
+@pytest.mark.parametrize("broadcast", [0, 10**6])
+def test_jaccard_recall_where_all_buckets_split(frame, monkeypatch, broadcast):
+    """Pairs exactly at 0.8, of unequal size (the worst case), reach the recall asked for though every bucket splits to the last level."""
     monkeypatch.setattr(jaccard_join, "LIMIT", 1)
+    monkeypatch.setattr(jaccard_join, "WORTH", 9)
+    monkeypatch.setattr(jaccard_join, "BROADCAST", broadcast)
     rng = random.Random(14)
-    texts = [t for _ in range(400) for w in [words(rng, 104).split()] for t in (" ".join(w), " ".join(w[:84]))]
+    texts = [t for _ in range(300) for w in [words(rng, 104).split()] for t in (" ".join(w), " ".join(w[:84]))]
     got = jaccard_join.join(frame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), recall=0.99)
     assert got.where("n_links = 1").count() / len(texts) >= 0.985
 
 
+def test_near_duplicates_go_by_row(frame):
+    """Another row with a near copy's id stays, one of fully equal rows stays, and null ids come last."""
+    rng = random.Random(15)
+    base, other = words(rng, 100), words(rng, 100)
+    rows = [(5, base, "a"), (7, base + " tail", "b"), (7, other, "c"), (9, "short one", "d"), (9, "short one", "e"), (None, base + " end", "f"), (None, None, "g"), (None, None, "h")]
+    kept = jaccard_join.drop_near_duplicates(frame(rows, "doc_id long, text string, rec string"))
+    assert kept.columns == ["doc_id", "text", "rec"]
+    assert sorted(r.rec for r in kept.collect() if r.rec not in "de") == ["a", "c", "g", "h"]
+    assert sum(r.rec in "de" for r in kept.collect()) == 1
+
+
 def test_jaccard_join_of_awkward_rows(docs, empty):
     got = jaccard_join.join(docs).collect()
     assert Counter(r.id for r in got) == Counter(i for i, *_ in awkward())
@@ -240,6 +316,30 @@ def test_mixing(docs, empty, frame):
     assert mixing.Mix(empty.withColumnRenamed("key", "source")).taken().count() == 0
 
 
+def test_mixing_takes_blocks_by_permuted_index(frame):
+    """taken against a second reckoning: the stream's order, its blocks, quotas, shards and permutations."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(19)
+    rows = [(i, words(rng, rng.randint(0, 90)), "ab"[i % 3 // 2]) for i in range(300)]
+    table = frame(rows, "doc_id long, text string, source string")
+    mix = mixing.Mix(table, weights=(5, 2), block=16, seed=3)
+    hashes = {r.doc_id: r.h for r in table.select("doc_id", F.xxhash64("doc_id", F.lit(3)).alias("h")).collect()}
+    sizes = {i: len(t.split()) for i, t, _ in rows}
+    sources = {s: [i for i, _, t in rows if t == s] for s in "ab"}
+    totals = [sum(sizes[i] for i in sources[s]) for s in "ab"]
+    targets, blocks = mixing.share_out(totals, [5, 2]), [-(-n // 16) for n in totals]
+    quotas = [round(t / n * b) for t, n, b in zip(targets, totals, blocks)]
+    want = Counter()
+    for k, s in enumerate("ab"):
+        times = Counter(int(mixing.permuted(np.array([r % blocks[k]]), blocks[k], (3 * 1_000_003 + k) * 64 + r // blocks[k])[0]) for r in range(quotas[k]))
+        at = 0
+        for i in sorted(sources[s], key=lambda i: (hashes[i] % mix.buckets, hashes[i], i)):
+            want[i] += sum(times[w // 16] for w in range(at, at + sizes[i]))
+            at += sizes[i]
+    assert {r.id: r.taken for r in mix.taken().collect()} == {i: want[i] for i in sizes}
+
+
 def test_share_out():
     assert mixing.share_out([100, 100], [1, 1]) == [100, 100]
     assert mixing.share_out([10, 1000, 0], [5, 2, 1]) == pytest.approx([30, 980, 0])
@@ -297,7 +397,7 @@ def test_code_lengths_against_brute_force():
                     total -= np.log2(d / (t + d))
         return total
 
-    asked = [b"abcabc", b"xyz", b"", bytes(rng.choice(b"abcdx") for _ in range(500))]
+    asked = [b"abcabc", b"xyz", b"", bytes(rng.choice(b"abcdx") for _ in range(500)), bytes(rng.choice(b"abcd") for _ in range(language_id.PART + 1000))]
     want = [[bits(tables[lang], t) for lang in model.languages] for t in asked]
     assert np.allclose(model.code_lengths(asked), want, rtol=1e-4)
 
@@ -319,14 +419,60 @@ def test_fingerprints(frame, empty):
     assert len(fingerprints.compare_edited(frame([(1, "a b", 0, 0), (1, "a b", 0, 0), (None, "c", 0, 0)], "doc_id long, text string, range int, part int")).collect()) == 3
 
 
+def spark_hash(*values, seed=42):
+    import xxhash
+
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else int(v).to_bytes(8, "little", signed=True), seed)
+        seed -= (seed >= 2**63) << 64
+    return seed
+
+
+def brute_syncmers(text, k=8, s=2):
+    letters = re.findall(r"[^\x20\x09-\x0D\u3040-\u30FF\u3400-\u9FFF]+|[\u3040-\u30FF\u3400-\u9FFF]", text or "")
+    h = [spark_hash(w) for w in letters]
+    if len(h) < k:
+        return {spark_hash(*h): 0} if h else {}
+    runs = [spark_hash(*h[i : i + k]) for i in range(len(h) - k + 1)]
+    inner = [spark_hash(*h[i : i + s]) for i in range(len(h) - s + 1)]
+    chosen = [i for i in range(len(runs)) if min(inner[i], inner[i + k - s]) <= min(inner[i + 1 : i + k - s])]
+    out = {}
+    for i in chosen or [min(range(len(runs)), key=lambda i: (runs[i], i))]:
+        out.setdefault(runs[i], i)
+    return out
+
+
+def brute_likeness(a, b):
+    if not a and not b:
+        return 1.0
+    met = [(p, b[x] - p) for x, p in sorted(a.items(), key=lambda e: e[1]) if x in b]
+    m = sum(any(0 <= j < len(met) and met[j][1] == met[i][1] for j in (i - 1, i + 1)) for i in range(len(met))) if len(met) > 1 else len(met)
+    return m / (len(a) + len(b) - m)
+
+
+def test_fingerprints_against_brute_force(frame):
+    rng = random.Random(20)
+    base = words(rng, 120).split()
+    texts = [" ".join(base), " ".join(base[60:] + base[:60]), " ".join(base[:50] + ["new"] + base[50:]), "中文没有空格的一段文字" * 4, "a b c", "", words(rng, 9), "the same line\n" * 30, words(rng, 10_000)]
+    got = fingerprints.compare_edited(frame(list(enumerate(texts)), "doc_id long, text string")).orderBy("id").collect()
+    for i, r in enumerate(got):
+        after = texts[(i + 1) % len(texts)]
+        half = len(texts[i]) // 2
+        own, other, changed = map(brute_syncmers, (texts[i], after, texts[i][: len(texts[i]) - half] + after[:half]))
+        assert r.fingerprint == "".join(f"{x % 2**64:016x}{p:08x}" for p, x in sorted((p, x) for x, p in own.items()))
+        assert r.near_edited == pytest.approx(brute_likeness(own, changed)) and r.near_next == pytest.approx(brute_likeness(own, other))
+    # moved passages count, wherever they went
+    assert got[0].near_next > 0.7 and got[1].near_next > 0.5
+
+
 def test_syncmers_are_context_free(frame, spark):
     from pyspark.sql import functions as F
 
     rng = random.Random(12)
-    middle = words(rng, 100)
-    rows = frame([(0, middle), (1, words(rng, 13) + " " + middle + " " + words(rng, 9))], "doc_id long, text string")
-    a, b = (r[0] for r in rows.orderBy("doc_id").select(fingerprints.syncmers(F.col("text"))).collect())
-    assert a and [x for x in b if x in set(a)] == a
+    for middle, noise in ((words(rng, 100), words(rng, 13)), ("没有空格的文字里插入一个字也不会移动其余的锚点因为选择只看自身", "别的字")):
+        rows = frame([(0, middle), (1, noise + " " + middle + " " + noise)], "doc_id long, text string")
+        a, b = ({x.anchor: x.place for x in r[0]} for r in rows.orderBy("doc_id").select(fingerprints.syncmers(F.col("text"))).collect())
+        assert a and len({b[x] - p for x, p in a.items()}) == 1
 
 
 def test_short_texts_have_anchors(frame):
