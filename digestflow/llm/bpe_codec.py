@@ -283,8 +283,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     # row goes along unused, so that both joins read one and the same shuffle of packed
     encoded = packed.join(wanted.hint("shuffle_hash"), KEY).select("z", "parts", "row").mapInArrow(encode_shared, "h1 long, h2 long, n long, ids binary")
     # identical rows of docs share a key and encode the same chunk: one of them is enough
-    encoded = staged(encoded.groupBy("h1", "h2").agg(F.any_value("n").alias("n"), F.any_value("ids").alias("ids")), "bpe-encoded")
-    # a chunk has at most LONGEST bytes, so fewer than HOT chunks of ids are a few MB
+    encoded = encoded.groupBy("h1", "h2").agg(F.any_value("n").alias("n"), F.any_value("ids").alias("ids"))
+    # a chunk has at most LONGEST bytes, so fewer than HOT chunks of ids are a few MB; both ways of the join read one shuffle
     reused = join_hot(chunks, encoded, ["h1", "h2"], "n", n_chunks).groupBy(*KEY).agg(F.collect_list(F.struct("start", "size", "ids")).alias("parts"))
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -172,6 +172,9 @@ def _all_prefixes(order: np.ndarray, lcp: np.ndarray) -> list[list[int]]:
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("bytes"))
+    # whole numbers that are unique are keys themselves, in few bytes
+    if dict(rows.dtypes)["id"] in ("tinyint", "smallint", "int", "bigint") and not rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 OR id IS NULL").take(1):
+        return rows.withColumn("rk", F.col("id").cast("long"))
     # 128 bits: no two different rows of any table share a key
     halves = [F.xxhash64("id", "bytes"), F.xxhash64(F.lit("second"), "bytes", "id")]
     return rows.withColumn("rk", F.concat(*[F.unhex(F.lpad(F.hex(h), 16, "0")) for h in halves]))
@@ -179,13 +182,14 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def repeated_runs(rows: DataFrame, length: int, k: int) -> DataFrame:
     """rows (id, rk, bytes) -> rk, first, last: runs of window starts whose windows stand elsewhere too."""
-    spark = rows.sparkSession
+    spark, kind = rows.sparkSession, dict(rows.dtypes)["rk"]
+    key_type = pa.int64() if kind == "bigint" else pa.binary()
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             cols: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(4)]
             digests: list[bytes] = []
-            keys: list[bytes] = []
+            keys: list = []
             for rk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 h, at, first, last = anchors(data, length, k)
                 high, low = at - first, at - last
@@ -194,16 +198,17 @@ def repeated_runs(rows: DataFrame, length: int, k: int) -> DataFrame:
                 for column, x in zip(cols, (h, at, high, low)):
                     column.append(x)
             h, *places = (pa.array(np.concatenate(c).astype(t)) for c, t in zip(cols, (np.int64, np.int32, np.int16, np.int16)))
-            yield pa.RecordBatch.from_arrays([h, pa.array(digests, pa.binary()), pa.array(keys, pa.binary()), *places], ["h", "d", "rk", "at", "high", "low"])
+            halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([h, pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(keys, key_type), *places], ["h", "d1", "d2", "rk", "at", "high", "low"])
 
-    found = rows.where(F.length("bytes") >= length).select("rk", "bytes").mapInArrow(find, "h long, d binary, rk binary, at int, high short, low short")
+    found = rows.where(F.length("bytes") >= length).select("rk", "bytes").mapInArrow(find, f"h long, d1 long, d2 long, rk {kind}, at int, high short, low short")
     found = staged(found, "anchors-all")
     again = staged(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "again")
     n_found = found.count()
     places = staged(join_hot(found, again, ["h"], "n", n_found).drop("n"), "anchors")
-    contexts = places.groupBy("h", "d").agg(F.count("*").alias("n"), F.min(F.struct("rk", "at", "high", "low")).alias("rep"))
+    contexts = places.groupBy("h", "d1", "d2").agg(F.count("*").alias("n"), F.min(F.struct("rk", "at", "high", "low")).alias("rep"))
     contexts = staged(contexts, "contexts")
-    repeated = join_hot(places, contexts.where("n > 1").select("h", "d", "n"), ["h", "d"], "n", n_found)
+    repeated = join_hot(places, contexts.where("n > 1").select("h", "d1", "d2", "n"), ["h", "d1", "d2"], "n", n_found)
     repeated = repeated.select("rk", (F.col("at") - F.col("high")).alias("first"), (F.col("at") - F.col("low")).alias("last"))
     edges = contexts.groupBy("h").agg(F.count("*").alias("contexts"), F.count_if(F.col("n") == 1).alias("own")).where("contexts > 1 AND own > 0")
     edges = staged(edges, "edges")
@@ -211,7 +216,7 @@ def repeated_runs(rows: DataFrame, length: int, k: int) -> DataFrame:
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("h", "n", "at", "high", "low")
-        types = (pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.binary(), pa.binary())
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int16(), key_type, pa.binary())
         for batch in sliced(batches):
             out: list[list] = [[] for _ in types]
             for rk, data, places in zip(*(batch.column(c).to_pylist() for c in ("rk", "bytes", "places"))):
@@ -224,7 +229,7 @@ def repeated_runs(rows: DataFrame, length: int, k: int) -> DataFrame:
         wanted = wanted.groupBy("rk").agg(F.collect_list(F.struct("h", "n", "at", "high", "low")).alias("places"))
         # id goes along unused, so that these joins and the final one read one and the same shuffle of the texts
         texts = rows.join(wanted.hint("shuffle_hash"), "rk").select("id", "rk", "bytes", "places")
-        return texts.mapInArrow(fetch, "h long, n long, at int, high short, low short, rk binary, context binary")
+        return texts.mapInArrow(fetch, f"h long, n long, at int, high short, low short, rk {kind}, context binary")
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _grouped(batches, "h"):
@@ -244,10 +249,10 @@ def repeated_runs(rows: DataFrame, length: int, k: int) -> DataFrame:
                         for a, b in zip(on[::2].tolist(), on[1::2].tolist()):
                             for column, x in zip(out, (rk[i], int(at[i]) - b + 1, int(at[i]) - a)):
                                 column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.binary(), pa.int32(), pa.int32()))], ["rk", "first", "last"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (key_type, pa.int32(), pa.int32()))], ["rk", "first", "last"])
 
     usual = strings(edges.where(F.col("contexts") <= GROUP)).repartition(n_partitions(spark), "h").sortWithinPartitions("h")
-    usual = usual.mapInArrow(decide, "rk binary, first int, last int")
+    usual = usual.mapInArrow(decide, f"rk {kind}, first int, last int")
     # crowded anchors: one row per window, by digest
     each = strings(edges.where(F.col("contexts") > GROUP)).withColumn("o", F.explode(F.sequence(F.col("low").cast("int"), F.col("high").cast("int"))))
     each = each.withColumn("window", F.unhex(F.sha2(F.substring("context", F.col("high") - F.col("o") + 1, F.lit(length)), 256)))
@@ -271,7 +276,7 @@ def covered(runs: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = K) -> DataFrame:
     """One row per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256, spans (start, end), kept (binary).
 
-    Texts are UTF-8 bytes; a null text is empty.  Rows are told apart by a hash of id and text; where both repeat, the
+    Texts are UTF-8 bytes; a null text is empty.  Rows are told apart by their ids, or, where these repeat or are null, by 128 bits of hash of id and text; where both repeat, the
     rows are copies of each other and lose every byte if they have ``length`` bytes or more.
     """
     rows = _documents(docs, id_col, text_col)
