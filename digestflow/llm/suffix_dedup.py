@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import join_hot, n_partitions, sliced, staged
+from ._shared import HOT, join_hot, n_partitions, sliced, staged
 from .jaccard_join import _grouped
 from .rolling import sliding_min, window_hashes
 
@@ -202,10 +202,13 @@ def repeated_runs(rows: DataFrame, length: int, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([h, pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(keys, key_type), *places], ["h", "d1", "d2", "rk", "at", "high", "low"])
 
     found = rows.where(F.length("bytes") >= length).select("rk", "bytes").mapInArrow(find, f"h long, d1 long, d2 long, rk {kind}, at int, high short, low short")
-    found = staged(found, "anchors-all")
     again = staged(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "again")
-    n_found = found.count()
-    places = staged(join_hot(found, again, ["h"], "n", n_found).drop("n"), "anchors")
+    n_found = again.agg(F.sum("n")).first()[0] or 0
+    # hot anchors, fewer than HOT, are known without a join: their rows get keys that part them
+    hot = F.broadcast(again.where(F.col("n") > n_found / HOT).select("h", F.lit(True).alias("hot")))
+    marked = found.join(hot, "h", "left").withColumn("k", F.when(F.col("hot"), F.xxhash64("rk", "at")).otherwise(F.col("h")))
+    marked = marked.join(again.select(F.col("h").alias("k"), F.lit(True).alias("more")), "k", "left").where("hot OR more")
+    places = staged(marked.drop("k", "hot", "more"), "anchors")
     contexts = places.groupBy("h", "d1", "d2").agg(F.count("*").alias("n"), F.min(F.struct("rk", "at", "high", "low")).alias("rep"))
     contexts = staged(contexts, "contexts")
     repeated = join_hot(places, contexts.where("n > 1").select("h", "d1", "d2", "n"), ["h", "d1", "d2"], "n", n_found)
