@@ -1,4 +1,4 @@
-"""Written tables: intermediate ones in the shared folder, and versioned ones that a swap of one small file makes current."""
+"""Written tables: intermediate ones in the shared folder, and stored ones partitioned by batch."""
 
 from __future__ import annotations
 
@@ -6,8 +6,10 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,67 +31,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 class Table:
-    """A Parquet table of part directories, and a manifest that names the current ones; one writer at a time.
+    """A Parquet table partitioned by batch: a batch that is written again replaces its own partition and nothing else.
 
-    A part is written first and joins the table by a new manifest, so a reader sees all of an append or nothing, and a
-    version can be read again later.  Appends under a batch id that the manifest has are no-ops (replays).
+    Rows may not have a column ``_batch``.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _fs(self, path: str):
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def versions(self) -> list[int]:
-        p, fs = self._fs(f"{self.path}/manifests")
-        return sorted(int(s.getPath().getName()) for s in fs.listStatus(p) if s.getPath().getName().isdigit()) if fs.exists(p) else []
-
-    def manifest(self, version: int | None = None) -> DataFrame | None:
-        """part, batch_id of a version (the current one for None)."""
-        have = self.versions()
-        if not have:
-            return None
-        return self.spark.read.schema("part string, batch_id string").json(f"{self.path}/manifests/{have[-1] if version is None else version}")
-
-    def read(self, schema=None, version: int | None = None) -> DataFrame | None:
-        """The table's rows; where it is empty, an empty frame of schema, or None without one."""
-        manifest = self.manifest(version)
-        parts = [r.part for r in manifest.collect()] if manifest is not None else []
-        if not parts:
-            return None if schema is None else self.spark.createDataFrame([], schema)
-        return self.spark.read.parquet(*[f"{self.path}/{p}" for p in parts])
-
-    def _commit(self, parts: list[tuple[str, str | None]]) -> None:
-        have = self.versions()
-        version = have[-1] + 1 if have else 0
-        staging = f"{self.path}/staging-{uuid.uuid4().hex}"
-        self.spark.createDataFrame(parts, "part string, batch_id string").coalesce(1).write.json(staging)
-        (src, fs), (dst, _) = self._fs(staging), self._fs(f"{self.path}/manifests/{version}")
-        fs.mkdirs(dst.getParent())
-        if not fs.rename(src, dst):
-            raise RuntimeError(f"version {version} of {self.path} was written by another writer")
-
-    def _parts(self) -> list[tuple[str, str | None]]:
-        manifest = self.manifest()
-        return [] if manifest is None else [(r.part, r.batch_id) for r in manifest.collect()]
-
-    def append(self, df: DataFrame, batch_id: str | None = None) -> bool:
-        """Whether the rows were added: not if batch_id was before."""
-        parts = self._parts()
-        if batch_id is not None and any(b == batch_id for _, b in parts):
-            return False
-        part = f"parts/{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{part}")
-        self._commit([*parts, (part, batch_id)])
-        return True
-
-    def overwrite(self, df: DataFrame, batch_id: str | None = None) -> None:
-        part = f"parts/{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{part}")
-        self._commit([(part, batch_id)])
+    def read(self, schema: StructType | str | None = None, besides: str | None = None) -> DataFrame | None:
+        """The table's rows, with a schema without those of the batch ``besides``.
+
+        Where nothing was written yet, no rows, or None without a schema.
+        """
+        rows = None if schema is None else self.spark.createDataFrame([], schema)
+        reader = self.spark.read if rows is None else self.spark.read.schema(StructType([*rows.schema, StructField("_batch", StringType())]))
+        try:
+            stored = reader.parquet(self.path)
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            return rows
+        return (stored if besides is None else stored.where(F.col("_batch") != besides)).drop("_batch")
+
+    def append(self, df: DataFrame, batch_id: str) -> None:
+        """df as the rows of batch_id, in place of what an earlier attempt at this batch has written."""
+        rows = df.withColumn("_batch", F.lit(batch_id))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_batch").parquet(self.path)
 
 
 def first_wins(df: DataFrame, stored: DataFrame | None, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -102,9 +70,9 @@ def first_wins(df: DataFrame, stored: DataFrame | None, keys: Sequence[str], ord
     return kept if stored is None else kept.join(stored.select(*keys), list(keys), "left_anti").select(*df.columns)
 
 
-def append_first_wins(df: DataFrame, table: Table, keys: Sequence[str], order: Sequence[str], batch_id: str | None = None) -> bool:
-    """Append to table what conflicts with nothing; rows that do are skipped."""
-    return table.append(first_wins(df, table.read(), keys, order), batch_id)
+def append_first_wins(df: DataFrame, table: Table, keys: Sequence[str], order: Sequence[str], batch_id: str) -> None:
+    """Append to table what conflicts with nothing of other batches; rows that do are skipped."""
+    table.append(first_wins(df, table.read(df.schema, besides=batch_id), keys, order), batch_id)
 
 
 def run_report(**counted: DataFrame) -> DataFrame:

@@ -494,7 +494,7 @@ def stream_replay(spark, sf_dir):
     items_of_events(spark, sf_dir).write.parquet(f"{base}/landing")
     state = jobs.FeedTables(spark, f"{base}/tables")
     schema = "source_id string, external_id string, published_at timestamp, text string, batch_pos bigint"
-    jobs.run_available(spark, f"{base}/landing", schema, state, f"{base}/checkpoint")
-    stored, cursors = state.materials.read(), state.cursors.read()
+    jobs.run_available(spark, f"{base}/landing", schema, state, f"{base}/checkpoint", use_cursors=False)  # files in no order of time
+    stored, cursors = state.materials.read(), state.latest_cursors()
     counted = stored.groupBy("source_id").agg(F.count("*").alias("n"))
     return counted.join(cursors.select("source_id", F.unix_micros("cursor.published_at").alias("us")), "source_id")

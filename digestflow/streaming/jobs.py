@@ -19,12 +19,19 @@ def materials_of(items: DataFrame) -> DataFrame:
     return items.withColumn("id", material_id(F.col("source_id"), F.col("external_id"))).withColumn("content_hash", content_hash(F.col("text")))
 
 
+CURSORS = "source_id string, cursor struct<published_at:timestamp,external_id:string,message_id:bigint>"
+
+
 class FeedTables:
-    """Where a feed keeps its materials, links and cursors."""
+    """Where a feed keeps its materials, links and errors, and how each batch moved the cursors."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.materials, self.links, self.cursors, self.errors = (Table(spark, f"{path}/{n}") for n in ("materials", "links", "cursors", "errors"))
 
+    def latest_cursors(self, besides: str | None = None) -> DataFrame:
+        """source_id, cursor: where each source stands, without the moves of the batch ``besides``."""
+        return self.cursors.read(CURSORS, besides).groupBy("source_id").agg(F.max("cursor").alias("cursor"))
+
 
 def process_batch(
     items: DataFrame, tables: FeedTables, batch_id: str, min_published_at=None, use_cursors: bool = True, errors: DataFrame | None = None, lookback_days: int | None = None,
@@ -36,15 +43,14 @@ def process_batch(
     semantic links are kept beside the exact ones.  errors (source_id, code, retryable, ...) go to a table of their own, and a
     source with a retryable one keeps its cursor.
 
-    Every table is keyed by batch_id, so a run that broke off is repeated without harm: what it wrote stays as it was,
-    and the cursors only move once the materials and links are in.
+    Every table is partitioned by batch_id, and a batch sees what other batches wrote, not itself.  So a run that broke off
+    is repeated without harm: it finds the same rows again and replaces its own.
     """
-    cursor_type = "source_id string, cursor struct<published_at:timestamp,external_id:string,message_id:bigint>"
-    cursors = tables.cursors.read(cursor_type)
+    cursors = tables.latest_cursors(besides=batch_id)
     new = ingest.after_cursor(items, cursors) if use_cursors else items
     new = new if min_published_at is None else new.where(F.col("published_at") >= min_published_at)
     found = materials_of(new)
-    stored = tables.materials.read(found.schema)
+    stored = tables.materials.read(found.schema, besides=batch_id)
     fresh = first_wins(dedup.drop_known(found, stored), None, ["id"], ["batch_pos"])
     unique, links = dedup.exact(fresh, stored)
     links = links.select(*dedup.LINKS)
@@ -57,18 +63,18 @@ def process_batch(
         tables.errors.append(errors, batch_id)
     tables.links.append(links, batch_id)
     tables.materials.append(fresh, batch_id)
-    moved = ingest.next_cursors(items, cursors, errors)
-    known = cursors.select("source_id").unionByName(moved.select("source_id")).distinct()
-    table = known.join(cursors, "source_id", "left")
-    updated, _ = ingest.commit_cursors(table, moved)
-    tables.cursors.overwrite(updated, batch_id)
+    tables.cursors.append(ingest.next_cursors(items, cursors, errors), batch_id)
 
 
-def run_available(spark: SparkSession, landing: str, schema: str, tables: FeedTables, checkpoint: str, min_published_at=None, files_per_batch: int = 100) -> None:
-    """Process what has landed and stop; the next call goes on from there."""
+def run_available(spark: SparkSession, landing: str, schema: str, tables: FeedTables, checkpoint: str, min_published_at=None, files_per_batch: int = 100, use_cursors: bool = True) -> None:
+    """Process what has landed and stop; the next call goes on from there.
+
+    An item before the cursor that an earlier batch moved is skipped; without use_cursors, for files that land out of the
+    order of time, known ids alone are.
+    """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(landing)
     query = (
-        stream.writeStream.foreachBatch(lambda df, n: process_batch(df, tables, f"stream-{n}", min_published_at))
+        stream.writeStream.foreachBatch(lambda df, n: process_batch(df, tables, f"stream-{n}", min_published_at, use_cursors))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
