@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,21 +15,6 @@ SCREENING_FIELDS = {"relevance_score": "double", "noise_score": "double", "uncer
 LEAST_BUDGET, TITLE_CHARS = 1000, 300
 
 
-def _packed(members: Iterable[Mapping[str, str]], budget: int) -> str | None:
-    """A JSON array of the members within budget characters; None if ids and titles alone don't fit."""
-    texts = [m["text"] or "" for m in members]
-    heads = [{"material_id": m["id"], "title": (m["title"] or "")[:TITLE_CHARS]} for m in members]
-    write = lambda cut: json.dumps([h | {"text": t[:c]} for h, t, c in zip(heads, texts, cut)], ensure_ascii=False, separators=(",", ":"))
-    n = len(texts)
-    room = budget - len(write([0] * n))
-    if room < n:
-        return None
-    cut = [min(len(t), room // n) for t in texts]
-    while (over := len(out := write(cut)) - budget) > 0:  # escapes take more room than characters
-        cut = [max(0, c - max(1, over // n + 1)) for c in cut]
-    return out
-
-
 def cluster_materials(clusters: DataFrame, materials: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
     """cluster_id, members (ordered array of structs: id and columns), and the ids of members that are missing."""
     each = clusters.select(F.col("id").alias("cluster_id"), F.posexplode("material_ids").alias("pos", "id"))
@@ -40,26 +24,46 @@ def cluster_materials(clusters: DataFrame, materials: DataFrame, *columns: str)
     return members.where(F.col("n") == F.size("members")).drop("n"), missing
 
 
+def _json(text: Column) -> Column:
+    """A text as JSON writes it within quotes."""
+    whole = F.to_json(F.struct(F.coalesce(text, F.lit("")).alias("t")))
+    return F.substring(whole, F.lit(len('{"t":"') + 1), F.char_length(whole) - len('{"t":""}'))
+
+
+def _cut(escaped: Column, n: Column) -> Column:
+    """At most n characters of a text in JSON, without a broken escape at the end."""
+    return F.regexp_replace(F.substring(escaped, F.lit(1), n), r"(?<!\\)((?:\\\\)*)\\(?:u[0-9A-Fa-f]{0,3})?\z", "$1")
+
+
 def pack_prompts(clusters: DataFrame, materials: DataFrame, budget: int) -> tuple[DataFrame, DataFrame]:
     """cluster_id, documents (JSON within budget characters), and errors (member_missing, metadata_over_budget).
 
-    Each member gets an equal share of what ids and titles leave of the budget.
+    Each member gets an equal share of what ids and titles leave of the budget, counted in characters of JSON; there must be
+    one at least for each.  Ids and titles of a cluster with too many members alone are over budget, so its texts are never
+    gathered; of others a member's text is cut before.
     """
     if budget < LEAST_BUDGET:
         raise ValueError(f"budget must be at least {LEAST_BUDGET}")
-
-    @F.pandas_udf(StringType())
-    def packed(members: pd.Series) -> pd.Series:
-        return members.map(lambda m: _packed(list(m), budget))
-
-    # no member can use more text than the budget
-    cut = materials.withColumn("text", F.substring("text", 1, budget)).withColumn("title", F.substring("title", 1, TITLE_CHARS))
-    members, missing = cluster_materials(clusters, cut, "title", "text")
-    rows = members.select("cluster_id", packed("members").alias("documents"))
-    errors = missing.select("cluster_id", F.lit("member_missing").alias("code")).distinct().unionByName(
-        rows.where("documents IS NULL").select("cluster_id", F.lit("metadata_over_budget").alias("code"))
-    )
-    return rows.where("documents IS NOT NULL"), errors
+    head = F.concat(F.lit('{"material_id":"'), _json(F.col("id")), F.lit('","title":"'), _json(F.substring("title", 1, TITLE_CHARS)), F.lit('","text":"'))
+    tail = '"}'
+    least = len('{"material_id":"","title":"","text":""},') + 1
+    each = clusters.select(F.col("id").alias("cluster_id"), F.size("material_ids").alias("n"), F.posexplode("material_ids").alias("pos", "id"))
+    one = materials.withColumn("id", F.col("id").cast("string")).select("id", head.alias("head"), _json(F.substring("text", 1, budget)).alias("text"))
+    missing = each.join(one.select("id"), "id", "left_anti").select("cluster_id").distinct()
+    large = clusters.where(F.size("material_ids") > budget // least).select(F.col("id").alias("cluster_id")).join(missing, "cluster_id", "left_anti")
+    both = each.where(F.col("n") <= budget // least).join(one, "id")
+    both = both.withColumn("text", _cut(F.col("text"), F.floor(budget / F.col("n")).cast("int")))
+    members = both.groupBy("cluster_id", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "head", "text"))).alias("m"))
+    members = members.where(F.size("m") >= F.col("n")).withColumn("n", F.size("m"))
+    # brackets, commas, and all of each member but its text
+    heads = F.aggregate("m", F.col("n") + 1, lambda s, x: s + F.char_length(x["head"]) + len(tail))
+    rows = members.withColumn("room", budget - heads)
+    share = F.floor(F.col("room") / F.col("n")).cast("int")
+    written = F.transform("m", lambda x: F.concat(x["head"], _cut(x["text"], share), F.lit(tail)))
+    documents = F.concat(F.lit("["), F.array_join(written, ","), F.lit("]"))
+    over = rows.where("room < n").select("cluster_id").unionByName(large)
+    errors = missing.select("cluster_id", F.lit("member_missing").alias("code")).unionByName(over.select("cluster_id", F.lit("metadata_over_budget").alias("code")))
+    return rows.where("room >= n").select("cluster_id", documents.alias("documents")), errors
 
 
 def needs_scoring(clusters: DataFrame, scored: DataFrame, profile_id: str, version: int, model: str, prompt_version: str) -> DataFrame:

@@ -291,11 +291,17 @@ def attached_clusters(spark, sf_dir):
     return c.select("representative_id", F.size("material_ids").cast("long").alias("n_members"), "id")
 
 
-@query(f"SELECT count(*) AS n_requests, true AS within_budget, 0::BIGINT AS n_errors FROM (SELECT 1 FROM documents GROUP BY {CANON})")
+@query(rf"""WITH d AS (SELECT {CANON} AS c, length(doc_id::VARCHAR) + length(to_json(left(coalesce(text, ''), 60))::VARCHAR) + 37 AS head,
+    to_json(left(coalesce(text, ''), 16000))::VARCHAR AS j, substr(j, 2, length(j) - 2) AS e FROM documents),
+g AS (SELECT c, count(*) AS n, sum(head) + count(*) + 1 AS used FROM d GROUP BY c),
+m AS (SELECT c, length(regexp_replace(left(e, ((16000 - used) // n)::BIGINT), '(^|[^\\])((?:\\\\)*)\\(?:u[0-9A-Fa-f]{{0,3}})?$', '\1\2')) AS k FROM d JOIN g USING (c) WHERE used + n <= 16000)
+SELECT (SELECT count(*) FROM g WHERE used + n <= 16000) AS n_requests, (SELECT sum(k) FROM m)::BIGINT + (SELECT sum(used) FROM g WHERE used + n <= 16000)::BIGINT AS n_chars,
+    (SELECT count(*) FROM g WHERE used + n > 16000) AS n_errors""")
 def screening_requests(spark, sf_dir):
+    """How many clusters are asked about, in how many characters, and how many have too many members for a request."""
     c, m = document_clusters(spark, sf_dir)
     rows, errors = screening.pack_prompts(c, m, 16_000)
-    sums = rows.agg(F.count("*").alias("n_requests"), F.bool_and(F.char_length("documents") <= 16_000).alias("within_budget"))
+    sums = rows.agg(F.count("*").alias("n_requests"), F.sum(F.char_length("documents")).alias("n_chars"))
     return sums.join(F.broadcast(errors.agg(F.count("*").alias("n_errors"))), F.lit(True))
 
 

@@ -123,6 +123,29 @@ def test_pack_prompts(spark):
     assert [r.code for r in screening.pack_prompts(many, own, 1000)[1].collect()] == ["metadata_over_budget"]
 
 
+def test_pack_prompts_equals_brute_force(spark):
+    rng = random.Random(1)
+    some = lambda n: "".join(rng.choice('ab"\\\n\x01é😀 ') for _ in range(rng.randint(0, n))) if rng.random() > 0.1 else None
+    rows = {f'c{c}"{i}': (some(40), some(1500)) for c in range(60) for i in range(c % 12 + 1)}
+    groups = {f"c{c}": [f'c{c}"{i}' for i in range(c % 12 + 1)] for c in range(60)}
+    clusters = spark.createDataFrame(list(groups.items()), "id string, material_ids array<string>")
+    got, errors = screening.pack_prompts(clusters, spark.createDataFrame([(i, *r) for i, r in rows.items()], "id string, title string, text string"), 1000)
+    got, failed = {r.cluster_id: r.documents for r in got.collect()}, {r.cluster_id for r in errors.collect()}
+
+    def packed(ids, texts):
+        return json.dumps([{"material_id": i, "title": rows[i][0] or "", "text": t} for i, t in zip(ids, texts)], ensure_ascii=False, separators=(",", ":"))
+
+    for c, ids in groups.items():
+        share = (1000 - len(packed(ids, [""] * len(ids)))) // len(ids)
+        heads = []
+        for text in (rows[i][1] or "" for i in ids):
+            n = len(text)
+            while len(json.dumps(text[:n], ensure_ascii=False)) - 2 > max(share, 0):
+                n -= 1
+            heads.append(text[:n])
+        assert c in failed if share < 1 else json.loads(got[c]) == json.loads(packed(ids, heads)) and len(got[c]) <= 1000
+
+
 def test_scoring_round_trip(spark):
     clusters, materials = one_cluster(spark, ["a b", "c"])
     requests, _ = screening.screening_requests(clusters, materials, "about x")
