@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe_codec, exact_dedup, fingerprints, jaccard_join, language_id, mixing, suffix_dedup, token_counts, tool_calls, url_filter
+from . import (
+    bpe_codec, exact_dedup, fingerprints, jaccard_join, language_id, mixing, periodic_runs, suffix_dedup, token_counts, token_files, tool_calls, turn_repair,
+    url_filter,
+)
+from ._shared import WORD, shared_dir
 
 
 def _read(spark, sf_dir, table):
@@ -182,5 +188,46 @@ def op10_fingerprints(spark, sf_dir):
     return fingerprints.compare_edited(_read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op2_url_filter": op2_url_filter, "op5_chat_formatting": op5_chat_formatting, "op3_suffix_dedup": op3_suffix_dedup, "op6_jaccard_join": op6_jaccard_join, "op10_fingerprints": op10_fingerprints, "op8_language_id": op8_language_id, "op1_bpe_codec": op1_bpe_codec, "op9_token_counts": op9_token_counts, "op7_mix_sources": op7_mix_sources, "op4_exact_dedup": op4_exact_dedup}
+def planted(docs):
+    """docs with words repeated in every text whose h ends in 0: from word a on, those of a period p."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, F.expr(f"regexp_extract_all(text, r'{WORD}', 0)")).alias("w"))
+    placed = words.withColumn("n", F.size("w")).withColumn("g", F.expr("h div 10")).withColumn("a", F.when(F.col("n") > 0, F.expr("g % n")))
+    period = placed.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    repeated = F.expr("array_join(transform(w, (x, i) -> if(i < a, x, get(w, cast(a + (i - a) % p AS int)))), ' ')")
+    return period.select("doc_id", F.when(F.col("n") > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark, sf_dir):
+    found = periodic_runs.find_runs(planted(_read(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), -r["start"], -r["period"], r.alias("run"))))["run"]
+    lines = F.concat(F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.withColumn("r", longest).select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), "r.start", "r.length", "r.period", F.expr("1000 * r.length div r.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def damaged(rows):
+    """conv, turn, role, text with rows dropped, emptied, cut off, repeated and given to the user by a hash of place."""
+    plain = {c: F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv", "turn", "role", "text")}
+    code = F.crc32(F.concat(plain["conv"], F.lit(":"), plain["turn"]).cast("binary")) % 20
+    text = F.when(code == 1, "").when(code == 2, F.regexp_replace(plain["text"], "[.!?]", "")).otherwise(plain["text"])
+    marked = rows.select("conv", "turn", F.when(code == 4, "user").otherwise(plain["role"]).alias("role"), text.alias("text"), code.alias("code"))
+    copies = F.explode(F.when(F.col("code") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return marked.where("code <> 0").select("conv", "turn", "role", "text", copies.alias("copy")).drop("copy")
+
+
+def op12_turn_repair(spark, sf_dir):
+    rows = _read(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "conv")
+    return turn_repair.Repair(damaged(rows), rows).digests().withColumnRenamed("conv", "conv_id")
+
+
+def op13_token_files(spark, sf_dir):
+    folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/tokens-{uuid.uuid4().hex}"
+    token_files.write(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder, end_id=2)
+    return token_files.read(spark, folder).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"op2_url_filter": op2_url_filter, "op5_chat_formatting": op5_chat_formatting, "op3_suffix_dedup": op3_suffix_dedup, "op6_jaccard_join": op6_jaccard_join, "op10_fingerprints": op10_fingerprints, "op8_language_id": op8_language_id, "op1_bpe_codec": op1_bpe_codec, "op9_token_counts": op9_token_counts, "op7_mix_sources": op7_mix_sources, "op4_exact_dedup": op4_exact_dedup, "op11_periodic_runs": op11_periodic_runs, "op12_turn_repair": op12_turn_repair, "op13_token_files": op13_token_files}
 ORACLE_SQL = {"op2_url_filter": OP2_SQL, "op5_chat_formatting": OP5_SQL, "op6_jaccard_join": OP6_SQL, "op4_exact_dedup": OP4_SQL}
