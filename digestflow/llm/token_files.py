@@ -17,7 +17,6 @@ manifest.  Only these rows, one per shard, reach the driver.
 from __future__ import annotations
 
 import json
-import re
 import uuid
 import zlib
 from bisect import bisect_right
@@ -34,33 +33,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from . import byte_bpe
 from ._shared import n_partitions, sliced, staged
 
-SHARD, CACHE = 1 << 30, 400_000
-#: White space with the characters behind it: parting texts so always parts two pre-tokens.
-UNIT = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
-
-
-class Encoder(dict):
-    """Ids of whole texts as bytes of the width; keeps the ids of at most CACHE short units that a worker has met."""
-
-    def __init__(self, path: str, kind: str):
-        super().__init__()
-        self.bpe, self.kind = byte_bpe.load(path), kind
-
-    def fresh(self, text: str) -> bytes:
-        return self.bpe.encode(text).astype(self.kind).tobytes()
-
-    def __missing__(self, unit: str) -> bytes:
-        out = self.fresh(unit)
-        if len(unit) <= 64:
-            if len(self) >= CACHE:
-                self.clear()
-            self[unit] = out
-        return out
-
-    def whole(self, text: str) -> bytes:
-        if byte_bpe.OTHER_SPACE.search(text):
-            return self.fresh(text)
-        return b"".join(map(self.__getitem__, UNIT.findall(text)))
+SHARD = 1 << 30
 
 
 def width_of(path: str, end_id: int) -> str:
@@ -115,14 +88,14 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int, id_col: str = "d
     id_type = to_arrow_type(rows.schema["id"].dataType)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, shard, told = Encoder(path, kind), TaskContext.get().partitionId(), None, []
+        bpe, part, shard, told = byte_bpe.load(path), TaskContext.get().partitionId(), None, []
         for batch in batches:
             for piece in sliced([batch], size=min(4 << 20, shard_bytes)):
                 if shard is None or shard.size >= shard_bytes:
                     if shard:
                         told.append((part, len(told), *shard.close()))
                     shard = _Shard(folder, f"{part:06d}-{len(told):04d}-{uuid.uuid4().hex[:12]}", id_type)
-                shard.add(piece.column(0), [encoder.whole(t) + end for t in piece.column(1).to_pylist()], width)
+                shard.add(piece.column(0), [bpe.encode(t).astype(kind).tobytes() + end for t in piece.column(1).to_pylist()], width)
         if shard:
             told.append((part, len(told), *shard.close()))
         columns = list(zip(*told)) or [()] * 5
