@@ -9,9 +9,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DoubleType, FloatType, LongType
+from pyspark.sql.types import ArrayType, FloatType, LongType
 
 from digestflow.functions.text import cluster_id
 
@@ -19,6 +20,10 @@ from .tables import written
 
 #: Groups of rows that are compared pair by pair in one go.
 SMALL = 64
+#: Signs of a row that are compared before vectors are.
+SKETCH = 256
+#: Edges of a task in which leaders are settled one after another.
+SETTLED = 1 << 20
 LINKS = ("material_id", "duplicate_of_id", "kind", "similarity")
 
 
@@ -182,16 +187,16 @@ def similarity_pairs(df: DataFrame, tau: float = 0.9, mode: str = "exact", block
     """df (id, vec) -> a, b (a < b), similarity: pairs with a cosine of tau or more.
 
     ``exact`` compares every two rows, a pair of blocks to a task, so its work is quadratic.  ``bands`` compares rows
-    that agree in one of ``bands`` groups of ``bits`` signs of random projections: first their signs (a pair is out if
-    these differ five standard deviations more than tau lets them), then, once a pair, the vectors.  Zero and null
-    vectors are like nothing.  Unless given, ``bands`` follows from ``recall``, the least chance that a pair at tau agrees in
+    that agree in one of ``bands`` groups of ``bits`` signs of random projections: first SKETCH of their signs (a pair is out
+    if these differ five standard deviations more than tau lets them), then the vectors, in pairs of blocks.  Vectors are
+    evaluated and written once.  Zero and null vectors are like nothing.  Ids must be unique and not null.  Unless given, ``bands`` follows from ``recall``, the least chance that a pair at tau agrees in
     one of them (bands_for).
     """
     if not 0 < tau <= 1:
         raise ValueError("tau must be above 0 and at most 1")
     bands = bands or bands_for(tau, bits, recall)
     kind = dict(df.dtypes)["id"]
-    rows = df.where("vec IS NOT NULL").select("id", "vec")
+    rows = df.select("id", "vec")
 
     def matrix(vectors: pa.Array) -> np.ndarray:
         return unit(vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1))
@@ -206,23 +211,32 @@ def similarity_pairs(df: DataFrame, tau: float = 0.9, mode: str = "exact", block
         return np.where(near >= tau, np.clip(near, 0, 1), np.nan)
 
     if mode == "exact":
-        return _compared(rows.withColumn("key", F.lit(0).cast("long")), "vec", block, cosines, matrix, kind).withColumnRenamed("value", "similarity")
+        stored = written(rows, "vectors").where("vec IS NOT NULL")
+        return _compared(stored.withColumn("key", F.lit(0).cast("long")), "vec", block, cosines, matrix, kind).withColumnRenamed("value", "similarity")
 
-    @F.pandas_udf(BinaryType())
-    def signs(vec: pd.Series) -> pd.Series:
-        m = np.stack(vec.to_numpy()).astype(np.float32)
-        planes = np.random.default_rng(seed).standard_normal((m.shape[1], bands * bits), np.float32)
-        packed = np.packbits(m @ planes > 0, axis=1)
-        # whole 64-bit words
-        return pd.Series([x.tobytes() for x in np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8)))])
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows that have a direction, with their signs, from one evaluation of the vectors."""
+        planes = None
+        for batch in batches:
+            batch = batch.filter(pc.is_valid(batch.column(1)))
+            if not batch.num_rows:
+                continue
+            m = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float32)
+            if planes is None:
+                planes = np.random.default_rng(seed).standard_normal((m.shape[1], bands * bits), np.float32)
+            some = m.any(axis=1)
+            kept, on = batch.filter(pa.array(some)), np.packbits(m[some] @ planes > 0, axis=1)
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([x.tobytes() for x in on], pa.binary())], ["id", "vec", "packed"])
 
     @F.pandas_udf(ArrayType(LongType()))
     def keys(packed: pd.Series) -> pd.Series:
         on = np.unpackbits(np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), -1), axis=1)[:, : bands * bits]
         return pd.Series(list(on.reshape(len(packed), bands, bits) @ (1 << np.arange(bits)) + (np.arange(bands) << bits)))
 
+    # signs that travel to the bands: whole 64-bit words of the first of them
+    sketch = min(SKETCH, bands * bits // 64 * 64) or bands * bits
     apart = math.acos(tau) / math.pi
-    most = bands * bits * (apart + 5 * math.sqrt(apart * (1 - apart) / (bands * bits))) + 1
+    most = sketch * (apart + 5 * math.sqrt(apart * (1 - apart) / sketch)) + 1
 
     def differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         n = np.zeros((len(x), len(y)), np.uint16)
@@ -235,39 +249,110 @@ def similarity_pairs(df: DataFrame, tau: float = 0.9, mode: str = "exact", block
         return np.where(n <= most, n, np.nan)
 
     def words(packed: pa.Array) -> np.ndarray:
-        return np.frombuffer(b"".join(packed.to_pylist()), np.uint64).reshape(len(packed), -1)
-
-    signed = rows.select("id", signs("vec").alias("packed"))
-    keyed = signed.withColumn("key", F.explode(keys("packed")))
-    candidates = _compared(keyed, "packed", block, differ, words, kind, differ_each).select("a", "b").distinct()
+        flat = np.frombuffer(b"".join(packed.to_pylist()), np.uint8).reshape(len(packed), -1)
+        return np.pad(flat, ((0, 0), (0, -flat.shape[1] % 8))).view(np.uint64)
 
-    @F.pandas_udf(DoubleType())
-    def cosine(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series((unit(x.tolist()) * unit(y.tolist())).sum(1).clip(0, 1))
+    stored = written(rows.mapInArrow(signed, f"id {kind}, vec {dict(rows.dtypes)['vec']}, packed binary"), "vectors")
+    keyed = stored.select("id", F.explode(keys("packed")).alias("key"), F.substring("packed", 1, math.ceil(sketch / 8)).alias("packed"))
+    candidates = written(_compared(keyed, "packed", block, differ, words, kind, differ_each).select("a", "b").distinct(), "candidates")
+    return _verified(candidates, stored.select("id", "vec"), tau, kind, matrix, block)
 
-    both = candidates.join(rows.toDF("a", "va"), "a").join(rows.toDF("b", "vb"), "b")
-    return both.select("a", "b", cosine("va", "vb").alias("similarity")).where(F.col("similarity") >= tau)
 
+def _verified(candidates: DataFrame, vectors: DataFrame, tau: float, kind: str, matrix: Callable[[pa.Array], np.ndarray], block: int) -> DataFrame:
+    """candidates (a, b) whose vectors' cosine is tau or more, with it.
 
-def greedy_leaders(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    A row's home is the least row it is a candidate with, or itself, so a group of alike rows has one; homes above ``block`` rows
+    are cut into blocks.  A pair of blocks is one task's, and a row's vector goes there once, whatever its number of pairs.
+    """
+    both = candidates.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(candidates.select(F.col("b").alias("id"), F.col("a").alias("other")))
+    home = written(both.groupBy("id").agg(F.least(F.first("id"), F.min("other")).alias("home")), "homes")
+    sizes = home.groupBy("home").agg(F.count("*").alias("n"))
+    placed = home.join(sizes, "home").select("id", F.xxhash64("home", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / block))).alias("at"))
+    keyed = candidates.join(placed.toDF("a", "pa"), "a").join(placed.toDF("b", "pb"), "b").select(F.xxhash64(F.least("pa", "pb"), F.greatest("pa", "pb")).alias("task"), "a", "b")
+    keyed = written(keyed, "block-pairs")
+    needed = keyed.select("task", F.col("a").alias("id")).unionByName(keyed.select("task", F.col("b").alias("id"))).distinct()
+    none = F.lit(None)
+    sent = needed.join(vectors, "id").select("task", F.lit(0).alias("side"), F.col("id").alias("a"), none.cast(kind).alias("b"), "vec")
+    sent = sent.unionByName(keyed.select("task", F.lit(1).alias("side"), "a", "b", none.cast(dict(vectors.dtypes)["vec"]).alias("vec")))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches, "task"):
+            task, is_pair = table["task"].to_numpy(), table["side"].to_numpy() == 1
+            starts = np.flatnonzero(np.append(True, task[1:] != task[:-1])).tolist()
+            while starts:  # some whole groups at a time, of about 1,024 vectors or one group
+                room = int(np.searchsorted(np.cumsum(~is_pair[starts[0] :]), 1024)) + starts[0]
+                k = max(1, int(np.searchsorted(starts, room, "right")) - 1) if room < len(task) else len(starts)
+                begin, end = starts[0], starts[k] if k < len(starts) else len(task)
+                starts = starts[k:]
+                part, pair, of = table.slice(begin, end - begin), is_pair[begin:end], task[begin:end]
+                a, b = part["a"].to_pylist(), part["b"].to_pylist()
+                place = {(of[i], a[i]): k for k, i in enumerate(np.flatnonzero(~pair).tolist())}
+                m, rows = matrix(part["vec"].filter(pa.array(~pair)).combine_chunks()), np.flatnonzero(pair).tolist()
+                left, right = (np.array([place[of[i], side[i]] for i in rows], np.int64) for side in (a, b))
+                cos = np.concatenate([np.zeros(0), *((m[left[i : i + 512]] * m[right[i : i + 512]]).sum(1) for i in range(0, len(rows), 512))]).clip(0, 1)
+                near, id_type = np.flatnonzero(cos >= tau), table.schema.field("a").type
+                yield pa.RecordBatch.from_arrays([pa.array([side[rows[i]] for i in near.tolist()], id_type) for side in (a, b)] + [pa.array(cos[near])], ["a", "b", "similarity"])
+
+    partitions = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sent.repartition(partitions, "task").sortWithinPartitions("task", "side").mapInArrow(verify, f"a {kind}, b {kind}, similarity double")
+
+
+def greedy_leaders(nodes: DataFrame, pairs: DataFrame, per_task: int = SETTLED) -> DataFrame:
     """nodes (id, pos) -> id, pos, leader (boolean): a row leads if no leader before it (by pos) is in a pair with it.
 
-    Rounds of joins: undecided rows without an undecided row before them lead, and what follows them doesn't.  Each
-    round is written; ties of pos go by id.
+    In each round, undecided rows with no undecided row before them lead.  Then each task takes a range of positions, of about
+    ``per_task`` edges, and goes through its rows in order: a row is decided as soon as one before it leads, or all of them
+    follow; only what hangs on another task's undecided rows stays for the next round.  So a chain takes as many rounds as it has
+    ranges, and what is left is dealt to fewer of them.  Each round is written; ties of pos go by id.
     """
     place = nodes.select("id", F.struct("pos", "id").alias("p"))
     ends = pairs.select("a", "b").join(place.toDF("a", "pa"), "a").join(place.toDF("b", "pb"), "b")
     first = F.col("pa") < F.col("pb")
-    edges = written(ends.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("before"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("after")), "edges")
-    decided, undecided = [], written(edges.select(F.col("before").alias("id")).union(edges.select("after")).distinct(), "undecided")
+    edges = written(ends.select(
+        F.when(first, F.col("a")).otherwise(F.col("b")).alias("before"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("after"),
+        F.greatest("pa", "pb").alias("at"),
+    ), "edges")
+    kind = dict(nodes.dtypes)["id"]
+    undecided = written(edges.select(F.col("before").alias("id")).union(edges.select("after")).distinct(), "undecided")
     alone = nodes.select("id").join(undecided, "id", "left_anti").withColumn("leader", F.lit(True))
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, now, lead, open_ = {}, None, False, False  # of this range's rows: True, False, or None while undecided
+
+        def close() -> None:
+            known[now] = False if lead else None if open_ else True
+
+        for batch in batches:
+            for after, before, leads in zip(*(batch.column(c).to_pylist() for c in ("after", "before", "leads"))):
+                if after != now:
+                    if now is not None:
+                        close()
+                    now, lead, open_ = after, False, False
+                state = True if leads else known.get(before)
+                lead, open_ = lead or state is True, open_ or state is None
+        if now is not None:
+            close()
+        done = [(i, v) for i, v in known.items() if v is not None]
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in done], batch.column("after").type), pa.array([v for _, v in done])], ["id", "leader"])
+
+    decided = []
     while undecided.take(1):
-        leaders = written(undecided.join(edges.select(F.col("after").alias("id")), "id", "left_anti"), "leaders")
-        followers = written(edges.join(leaders.withColumnRenamed("id", "before"), "before", "left_semi").select(F.col("after").alias("id")).distinct(), "followers")
-        decided += [leaders.withColumn("leader", F.lit(True)), followers.withColumn("leader", F.lit(False))]
-        undecided = written(undecided.join(leaders, "id", "left_anti").join(followers, "id", "left_anti"), "undecided")
-        open_ = undecided.withColumnRenamed("id", "before")
-        edges = written(edges.join(open_, "before", "left_semi").join(open_.withColumnRenamed("before", "after"), "after", "left_semi").select("before", "after"), "edges")
+        free = written(undecided.join(edges.select(F.col("after").alias("id")), "id", "left_anti"), "free")
+        ranges = max(1, math.ceil(edges.count() / per_task))
+        marked = edges.join(free.select(F.col("id").alias("before"), F.lit(True).alias("leads")), "before", "left")
+        sent = marked.repartitionByRange(ranges, "at").sortWithinPartitions("at").select("after", "before", "leads")
+        settled = written(sent.mapInArrow(settle, f"id {kind}, leader boolean"), "settled")
+        new = free.withColumn("leader", F.lit(True)).unionByName(settled)
+        if ranges == 1:  # nothing hangs on another task
+            decided.append(new)
+            break
+        left = written(edges.join(settled.select(F.col("id").alias("after")), "after", "left_anti").join(new.toDF("before", "leads"), "before", "left"), "left")
+        followers = written(left.where("leads").select(F.col("after").alias("id")).distinct(), "followers")
+        decided.append(new.unionByName(followers.withColumn("leader", F.lit(False))))
+        undecided = written(undecided.join(decided[-1].select("id"), "id", "left_anti"), "undecided")
+        still = left.where("leads IS NULL").join(followers.toDF("after"), "after", "left_anti").join(followers.toDF("before"), "before", "left_anti")
+        edges = written(still.select("before", "after", "at"), "edges")
     for part in decided:
         alone = alone.unionByName(part)
     return nodes.select("id", "pos").join(alone, "id")

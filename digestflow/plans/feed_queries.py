@@ -46,9 +46,13 @@ def items_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def materials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents by their number, with content hash: the rows that dedup works on."""
+def materials(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """Documents by their number, with content hash: the rows that dedup works on.
+
+    spread: dealt out before hashing, as a table of one row group is one partition.
+    """
     d = table(spark, sf_dir, "documents")
+    d = d.repartition("doc_id") if spread else d
     return d.select(
         F.col("doc_id").alias("id"), F.col("source").alias("source_id"), T.content_hash(F.coalesce("text", F.lit(""))).alias("content_hash"),
         (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(mins=F.col("doc_id").cast("int"))).alias("published_at"), F.col("doc_id").alias("batch_pos"), "text",
@@ -227,11 +231,28 @@ def page_errors(spark, sf_dir):
     return tables.error_summary(pages.pages_to_raw_items(links, p)[1])
 
 
-@query("SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.4")
+PAIRS = "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.4"
+
+
+@query(PAIRS)
 def similar_pairs_vec(spark, sf_dir):
     return dedup.similarity_pairs(vectors(spark, sf_dir), 0.4).select("a", "b")
 
 
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), d AS (SELECT vec_id + 1000000000 * k AS id, list_transform(e, lambda x, i: x + k * (((vec_id * 31 + i * 17) % 11) - 5) / 200.0) AS e
+FROM v, (SELECT unnest([0, 1, 2]) AS k)) SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS similarity FROM d a JOIN d b ON a.id < b.id AND a.id % 1000000000 = b.id % 1000000000
+WHERE list_cosine_similarity(a.e, b.e) >= 0.8 UNION ALL SELECT a.vec_id, b.vec_id, 0 FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.8""")
+def banded_pairs_vec(spark, sf_dir):
+    """Vectors with two shifted copies each, by bands: every pair at 0.8 or more that comparing all finds (recall 1)."""
+    return dedup.similarity_pairs(shifted_vectors(spark, sf_dir), 0.8, mode="bands", bits=8).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+def shifted_vectors(spark, sf_dir) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.expr("transform(embedding, x -> cast(x AS double))").alias("e"), F.explode(F.array(*map(F.lit, range(3)))).alias("k"))
+    moved = F.transform("e", lambda x, i: x + F.col("k") * ((F.col("vec_id") * 31 + (i + 1) * 17) % 11 - 5) / 200.0)
+    return v.select((F.col("vec_id") + F.lit(1000000000) * F.col("k")).alias("id"), moved.alias("vec"))
+
+
 def vectors(spark, sf_dir) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     return e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), F.col("vec_id").alias("pos"))
@@ -268,7 +289,8 @@ def clusters_vec(spark, sf_dir):
 @query()
 def similar_docs(spark, sf_dir):
     """Pairs of unique documents whose whole texts the default encoder finds alike, by bands of signs."""
-    unique, _ = dedup.exact(materials(spark, sf_dir), materials(spark, sf_dir).limit(0))
+    m = tables.written(materials(spark, sf_dir, spread=True), "hashed")
+    unique, _ = dedup.exact(m, m.limit(0))
     texts = unique.select("id", T.dedup_text(F.lit(""), F.coalesce("text", F.lit(""))).alias("dedup_text"))
     pairs = dedup.similarity_pairs(dedup.encode(texts), 0.9, mode="bands")
     return pairs.select("a", "b", F.round("similarity", 6).alias("similarity"))
