@@ -265,7 +265,7 @@ def _verified(candidates: DataFrame, vectors: DataFrame, tau: float, kind: str,
     are cut into blocks.  A pair of blocks is one task's, and a row's vector goes there once, whatever its number of pairs.
     """
     both = candidates.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(candidates.select(F.col("b").alias("id"), F.col("a").alias("other")))
-    home = written(both.groupBy("id").agg(F.least(F.first("id"), F.min("other")).alias("home")), "homes")
+    home = both.groupBy("id").agg(F.least(F.first("id"), F.min("other")).alias("home"))
     sizes = home.groupBy("home").agg(F.count("*").alias("n"))
     placed = home.join(sizes, "home").select("id", F.xxhash64("home", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / block))).alias("at"))
     keyed = candidates.join(placed.toDF("a", "pa"), "a").join(placed.toDF("b", "pb"), "b").select(F.xxhash64(F.least("pa", "pb"), F.greatest("pa", "pb")).alias("task"), "a", "b")
@@ -313,7 +313,7 @@ def greedy_leaders(nodes: DataFrame, pairs: DataFrame, per_task: int = SETTLED)
         F.greatest("pa", "pb").alias("at"),
     ), "edges")
     kind = dict(nodes.dtypes)["id"]
-    undecided = written(edges.select(F.col("before").alias("id")).union(edges.select("after")).distinct(), "undecided")
+    undecided = edges.select(F.col("before").alias("id")).union(edges.select("after")).distinct()
     alone = nodes.select("id").join(undecided, "id", "left_anti").withColumn("leader", F.lit(True))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

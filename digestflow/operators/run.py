@@ -38,16 +38,26 @@ def encoded(materials: DataFrame) -> DataFrame:
     return dedup.encode(materials.withColumn("dedup_text", T.dedup_text(F.coalesce("title", F.lit("")) if "title" in materials.columns else F.lit(""), F.coalesce("text", F.lit("")))))
 
 
-def grouped(unique: DataFrame, lookback: DataFrame, vectors: Callable[[DataFrame], DataFrame] | None, tau: float) -> tuple[DataFrame, DataFrame]:
+def grouped(
+    unique: DataFrame, lookback: DataFrame, vectors: Callable[[DataFrame], DataFrame] | None, tau: float, own: DataFrame | None = None, known: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Clusters of unique new materials with what the lookback has, and their semantic links.
 
-    The order of leaders is by time, then id.  Without vectors every new material is a cluster of its own.
+    The order of leaders is by time, then id.  Without vectors every new material is a cluster of its own.  own (id, vec) has
+    the vectors of unique, if they were made before; known (id, vec) stored ones of the lookback, of which only rows without
+    one are then encoded.
     """
     columns = [c for c in unique.columns if c in lookback.columns]
     both, _ = dedup.combine(lookback.select(*columns), unique.select(*columns)) if vectors else (unique, None)
     nodes = both.select("id", F.unix_micros("published_at").alias("pos"))
     if vectors:
-        pairs = tables.written(dedup.similarity_pairs(vectors(both).select("id", "vec"), tau, mode="bands"), "run-pairs")
+        own = vectors(unique).select("id", "vec") if own is None else own.join(unique.select("id"), "id", "left_semi")
+        old = lookback.join(unique.select("id"), "id", "left_anti")
+        if known is None:
+            vecs = own.unionByName(vectors(old).select("id", "vec"))
+        else:
+            vecs = own.unionByName(known.join(old.select("id"), "id", "left_semi")).unionByName(vectors(old.join(known.select("id"), "id", "left_anti")).select("id", "vec"))
+        pairs = tables.written(dedup.similarity_pairs(vecs, tau, mode="bands"), "run-pairs")
     else:
         pairs = unique.sparkSession.createDataFrame([], "a string, b string, similarity double")
     leaders = tables.written(dedup.greedy_leaders(nodes, pairs), "run-leaders")
@@ -57,12 +67,13 @@ def grouped(unique: DataFrame, lookback: DataFrame, vectors: Callable[[DataFrame
 def feed_run(
     raw_items: DataFrame, stored: DataFrame, scored: DataFrame, profile: Profile, now: Column, score: Answers, summarize: Answers,
     vectors: Callable[[DataFrame], DataFrame] | None = encoded, min_published_at: Column | None = None, ledger: tuple[DataFrame, DataFrame, DataFrame] | None = None,
+    known_vectors: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """raw_items (see extract_items) against stored materials and scores -> a table for each stage.
 
-    errors: of extraction, normalization, scoring and summaries; materials, fresh, new and unique; links (exact and
-    semantic); clusters; screenings; accepted; digests, digest_items and posts (against ledger, if given: only new rows).
-    min_published_at replaces the freshness window (backfill).  Nothing is stored here; the caller appends the tables.
+    errors: of extraction, normalization, scoring and summaries; materials, fresh, new and unique; vectors of new (id,
+    published_at, vec), if there are any; links (exact and semantic); clusters; screenings; accepted; digests, digest_items and posts (against ledger, if given: only new rows).
+    min_published_at replaces the freshness window (backfill).  known_vectors (id, vec) save encoding the lookback.  Nothing is stored here; the caller appends the tables.
     """
     extracted, failures = ingest.extract_items(raw_items)
     materials, invalid = ingest.normalize_materials(extracted, now)
@@ -71,7 +82,9 @@ def feed_run(
     new = tables.written(tables.first_wins(dedup.drop_known(fresh, stored), None, ["id"], ["batch_pos"]), "run-new")
     unique, exact_links = dedup.exact(new, stored)
     unique, exact_links = tables.written(unique, "run-unique"), tables.written(exact_links, "run-exact")
-    found, semantic = grouped(unique, ingest.fresh(stored, now, profile.lookback_days), vectors, profile.tau)
+    own = tables.written(vectors(new).select("id", "published_at", "vec"), "run-vectors") if vectors else None
+    lookback = ingest.fresh(stored, now, profile.lookback_days)
+    found, semantic = grouped(unique, lookback, vectors, profile.tau, own.select("id", "vec") if vectors else None, known_vectors)
     clusters = tables.written(dedup.attach_exact(found, exact_links), "run-clusters")
     known = stored.select(*[c for c in materials.columns if c in stored.columns])
     every, _ = dedup.combine(known, materials.select(*known.columns))
@@ -98,8 +111,9 @@ def feed_run(
         errors = errors.unionByName(name(df, code))
     if collided is not None:
         errors = errors.unionByName(name(collided.withColumnRenamed("id", "cluster_id"), "digest_collision"))
+    encoded_rows = {"vectors": own} if vectors else {}
     return {
-        "materials": materials, "fresh": fresh, "new": new, "unique": unique, "links": dedup.all_links(exact_links, semantic), "clusters": clusters,
+        "materials": materials, "fresh": fresh, "new": new, "unique": unique, **encoded_rows, "links": dedup.all_links(exact_links, semantic), "clusters": clusters,
         "screenings": screenings, "accepted": accepted, "digests": digests, "digest_items": parts, "posts": posts, "errors": errors,
     }
 

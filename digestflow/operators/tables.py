@@ -33,14 +33,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 class Table:
     """A Parquet table partitioned by batch: a batch that is written again replaces its own partition and nothing else.
 
-    Rows may not have a column ``_batch``.
+    Rows may not have a column ``_batch``.  Columns in ``by`` divide a batch further, so that reads prune by them too.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, by: Sequence[str] = ()):
+        self.spark, self.path, self.by = spark, path.rstrip("/"), tuple(by)
 
-    def read(self, schema: StructType | str | None = None, besides: str | None = None) -> DataFrame | None:
-        """The table's rows, with a schema without those of the batch ``besides``.
+    def read(self, schema: StructType | str | None = None, besides: str | None = None, only: Sequence[str] | None = None) -> DataFrame | None:
+        """The table's rows, with a schema without those of the batch ``besides``, or those of the batches ``only``.
 
         Where nothing was written yet, no rows, or None without a schema.
         """
@@ -52,12 +52,13 @@ class Table:
             if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
             return rows
-        return (stored if besides is None else stored.where(F.col("_batch") != besides)).drop("_batch")
+        stored = stored if besides is None else stored.where(F.col("_batch") != besides)
+        return (stored if only is None else stored.where(F.col("_batch").isin(*only))).drop("_batch")
 
     def append(self, df: DataFrame, batch_id: str) -> None:
         """df as the rows of batch_id, in place of what an earlier attempt at this batch has written."""
         rows = df.withColumn("_batch", F.lit(batch_id))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_batch").parquet(self.path)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_batch", *self.by).parquet(self.path)
 
 
 def first_wins(df: DataFrame, stored: DataFrame | None, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

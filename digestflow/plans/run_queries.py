@@ -47,21 +47,30 @@ def raw_documents(spark, sf_dir):
     return rows.select("*", none.alias("raw_html"), F.lit(None).cast("array<string>").alias("documents"), F.array().cast(feeds.ATTACHMENTS).alias("attachments"))
 
 
-RUN = f"""WITH m AS (SELECT doc_id, sha256(source || chr(31) || doc_id) AS id, {CANON} AS h FROM documents WHERE trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) <> ''),
+RUN = f"""WITH m AS (SELECT doc_id, doc_id // 4 AS g, sha256(source || chr(31) || doc_id) AS id, {CANON} AS h FROM documents WHERE trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) <> ''),
 f AS (SELECT * FROM m WHERE doc_id % 2 = 1 AND doc_id >= 100), s AS (SELECT DISTINCT h FROM m WHERE doc_id % 2 = 0),
-u AS (SELECT min(doc_id) AS doc_id FROM f WHERE h NOT IN (FROM s) GROUP BY h), a AS (SELECT id FROM u JOIN m USING (doc_id) WHERE id < 'c')"""
+u AS (SELECT min(doc_id) AS doc_id FROM f WHERE h NOT IN (FROM s) GROUP BY h),
+c AS (SELECT g, min(doc_id) AS doc_id, count(*) AS n FROM m WHERE doc_id IN (FROM u) OR doc_id % 2 = 0 AND doc_id >= 100 GROUP BY g HAVING bool_or(doc_id IN (FROM u))),
+a AS (SELECT id FROM c JOIN m USING (doc_id) WHERE id < 'c')"""
+
+
+def by_fours(materials):
+    """Vectors that documents of four successive numbers share, and no others come near."""
+    value = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: (F.xxhash64(F.expr("cast(external_id AS bigint) div 4"), i) % 1000).cast("float"))
+    return materials.withColumn("vec", value)
 
 
 @query(f"""{RUN} SELECT 'materials' AS stage, count(*) AS n FROM m WHERE doc_id % 2 = 1 UNION ALL SELECT 'fresh', count(*) FROM f UNION ALL SELECT 'new', count(*) FROM f
-UNION ALL SELECT 'unique', count(*) FROM u UNION ALL SELECT 'links', (SELECT count(*) FROM f) - (SELECT count(*) FROM u) UNION ALL SELECT 'clusters', count(*) FROM u
-UNION ALL SELECT 'screenings', count(*) FROM u UNION ALL SELECT 'accepted', count(*) FROM a UNION ALL SELECT 'digests', 1 UNION ALL SELECT 'digest_items', count(*) FROM a
+UNION ALL SELECT 'unique', count(*) FROM u UNION ALL SELECT 'vectors', count(*) FROM f UNION ALL SELECT 'links', (SELECT count(*) FROM f) - (SELECT count(*) FROM u) + (SELECT sum(n - 1)::BIGINT FROM c)
+UNION ALL SELECT 'clusters', count(*) FROM c UNION ALL SELECT 'screenings', count(*) FROM c UNION ALL SELECT 'accepted', count(*) FROM a UNION ALL SELECT 'digests', 1 UNION ALL SELECT 'digest_items', count(*) FROM a
 UNION ALL SELECT 'posts', count(*) FROM a UNION ALL SELECT 'errors', (SELECT count(*) FROM documents WHERE doc_id % 2 = 1) - (SELECT count(*) FROM m WHERE doc_id % 2 = 1)""")
 def feed_run(spark, sf_dir):
-    """Odd documents are raw items, even ones stored; seven days back from 01:40 on the eighth: rows of each stage of a whole run."""
+    """Odd documents are raw items, even ones stored; seven days back from 01:40 on the eighth: rows of each stage of a whole run,
+    whose clusters reach into the lookback."""
     now = F.lit("2024-01-08 01:40:00").cast("timestamp")
     stored, _ = ingest.normalize_materials(items_of_documents(spark, sf_dir).where("batch_pos % 2 = 0"), now)
     scored = spark.createDataFrame([], "profile_id string, profile_version int, model string, prompt_version string, cluster_id string")
-    stages = run.feed_run(raw_documents(spark, sf_dir).where("batch_pos % 2 = 1"), tables.written(stored, "stored"), scored, run.Profile("p", 1, "c", "all"), now, first_digit, lead_id, vectors=None)
+    stages = run.feed_run(raw_documents(spark, sf_dir).where("batch_pos % 2 = 1"), tables.written(stored, "stored"), scored, run.Profile("p", 1, "c", "all"), now, first_digit, lead_id, vectors=by_fours)
     return run.report(stages)
 
 

@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from digestflow.functions.text import content_hash, material_id
 from digestflow.operators import dedup, ingest, run
-from digestflow.operators.tables import Table, first_wins
+from digestflow.operators.tables import Table, first_wins, written
 
 
 def materials_of(items: DataFrame) -> DataFrame:
@@ -22,11 +22,22 @@ def materials_of(items: DataFrame) -> DataFrame:
 CURSORS = "source_id string, cursor struct<published_at:timestamp,external_id:string,message_id:bigint>"
 
 
+def dated(vectors: DataFrame) -> DataFrame:
+    """vectors (id, published_at, vec, ...) as they are stored: id, vec, day."""
+    return vectors.select("id", "vec", F.to_date("published_at").alias("day"))
+
+
+def recent(vectors: DataFrame, now: Column, days: int) -> DataFrame:
+    """id, vec of stored vectors of so many days back; only these days' files are read."""
+    return vectors.where(F.col("day") >= F.to_date(now - F.make_interval(days=F.lit(days)))).select("id", "vec")
+
+
 class FeedTables:
-    """Where a feed keeps its materials, links and errors, and how each batch moved the cursors."""
+    """Where a feed keeps its materials, links, errors and vectors (by day), and how each batch moved the cursors."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.materials, self.links, self.cursors, self.errors = (Table(spark, f"{path}/{n}") for n in ("materials", "links", "cursors", "errors"))
+        self.vectors = Table(spark, f"{path}/vectors", ["day"])
 
     def latest_cursors(self, besides: str | None = None) -> DataFrame:
         """source_id, cursor: where each source stands, without the moves of the batch ``besides``."""
@@ -40,25 +51,29 @@ def process_batch(
     """One finite run over items: cursors, cut-off, known ids, exact duplicates against all history; cursors last.
 
     With lookback_days, unique items are also compared with what is stored of so many days before the batch's latest, and
-    semantic links are kept beside the exact ones.  errors (source_id, code, retryable, ...) go to a table of their own, and a
+    semantic links are kept beside the exact ones.  Vectors are stored by day, so a batch encodes its own items only.  errors (source_id, code, retryable, ...) go to a table of their own, and a
     source with a retryable one keeps its cursor.
 
     Every table is partitioned by batch_id, and a batch sees what other batches wrote, not itself.  So a run that broke off
     is repeated without harm: it finds the same rows again and replaces its own.
     """
+    items = written(items, "batch-items")
     cursors = tables.latest_cursors(besides=batch_id)
     new = ingest.after_cursor(items, cursors) if use_cursors else items
     new = new if min_published_at is None else new.where(F.col("published_at") >= min_published_at)
     found = materials_of(new)
     stored = tables.materials.read(found.schema, besides=batch_id)
-    fresh = first_wins(dedup.drop_known(found, stored), None, ["id"], ["batch_pos"])
+    fresh = written(first_wins(dedup.drop_known(found, stored), None, ["id"], ["batch_pos"]), "batch-fresh")
     unique, links = dedup.exact(fresh, stored)
     links = links.select(*dedup.LINKS)
     if lookback_days is not None:
         now = fresh.agg(F.max("published_at")).first()[0]
         if now is not None:
-            _, semantic = run.grouped(unique, ingest.fresh(stored, F.lit(now), lookback_days), vectors, tau)
+            own = written(dated(vectors(fresh)), "batch-vectors")
+            known = recent(tables.vectors.read(own.schema, besides=batch_id), F.lit(now), lookback_days)
+            _, semantic = run.grouped(unique, ingest.fresh(stored, F.lit(now), lookback_days), vectors, tau, own.select("id", "vec"), known)
             links = dedup.all_links(links, semantic)
+            tables.vectors.append(own, batch_id)
     if errors is not None:
         tables.errors.append(errors, batch_id)
     tables.links.append(links, batch_id)
@@ -66,23 +81,23 @@ def process_batch(
     tables.cursors.append(ingest.next_cursors(items, cursors, errors), batch_id)
 
 
-def run_available(spark: SparkSession, landing: str, schema: str, tables: FeedTables, checkpoint: str, min_published_at=None, files_per_batch: int = 100, use_cursors: bool = True) -> None:
-    """Process what has landed and stop; the next call goes on from there.
+def run_available(spark: SparkSession, landing: str, schema: str, tables: FeedTables, checkpoint: str, min_published_at=None, files_per_batch: int = 100, use_cursors: bool = True, **lookback) -> None:
+    """Process what has landed and stop; the next call goes on from there.  lookback: lookback_days, vectors and tau of process_batch.
 
     An item before the cursor that an earlier batch moved is skipped; without use_cursors, for files that land out of the
     order of time, known ids alone are.
     """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(landing)
     query = (
-        stream.writeStream.foreachBatch(lambda df, n: process_batch(df, tables, f"stream-{n}", min_published_at, use_cursors))
+        stream.writeStream.foreachBatch(lambda df, n: process_batch(df, tables, f"stream-{n}", min_published_at, use_cursors, **lookback))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
 
 
-def backfill(spark: SparkSession, landing: str, schema: str, tables: FeedTables, run_id: str, min_published_at=None) -> None:
+def backfill(spark: SparkSession, landing: str, schema: str, tables: FeedTables, run_id: str, min_published_at=None, **lookback) -> None:
     """The same run over everything landed, without regard to cursors; they still move forward."""
-    process_batch(spark.read.schema(schema).parquet(landing), tables, f"backfill-{run_id}", min_published_at, use_cursors=False)
+    process_batch(spark.read.schema(schema).parquet(landing), tables, f"backfill-{run_id}", min_published_at, use_cursors=False, **lookback)
 
 
 def cursor_stream(items: DataFrame, name: str, checkpoint: str):

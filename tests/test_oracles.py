@@ -6,7 +6,10 @@ import duckdb
 import pandas as pd
 import pytest
 
-from digestflow.plans import feed_queries, run_queries
+from digestflow.plans import feed_queries, run_queries, stream_queries
+
+QUERIES = feed_queries.QUERIES | run_queries.QUERIES | stream_queries.QUERIES
+ORACLE_SQL = feed_queries.ORACLE_SQL | run_queries.ORACLE_SQL | stream_queries.ORACLE_SQL
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -26,10 +29,10 @@ def rows(df: pd.DataFrame) -> list:
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-@pytest.mark.parametrize("name", sorted(feed_queries.QUERIES | run_queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    got = (feed_queries.QUERIES | run_queries.QUERIES)[name](spark, SF).toPandas()
-    sql = (feed_queries.ORACLE_SQL | run_queries.ORACLE_SQL).get(name)
+    got = QUERIES[name](spark, SF).toPandas()
+    sql = ORACLE_SQL.get(name)
     if sql:
         want = duck.execute(sql).fetchdf()
         assert sorted(got.columns) == sorted(want.columns)
