@@ -109,3 +109,22 @@ def lookback_stream(spark, sf_dir):
     found = state.links.read().join(m.toDF("material_id", "a"), "material_id").join(m.toDF("duplicate_of_id", "b"), "duplicate_of_id")
     part = lambda c, k: F.split_part(c, F.lit("-"), F.lit(k))
     return found.select(part("a", 1).cast("bigint").alias("vec_id"), part("a", 2).cast("int").alias("copy"), part("b", 2).cast("int").alias("copy_of"))
+
+
+@query("""SELECT conv_id::VARCHAR AS source_id, max(turn) AS message_id, -1::BIGINT AS us, 'message' AS kind FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id
+UNION ALL SELECT event_type, max(event_id) FILTER (ts = (SELECT max(ts) FROM events x WHERE x.event_type = e.event_type)), epoch_us(max(ts)), 'published' FROM events e GROUP BY event_type""")
+def stateful_cursors(spark, sf_dir):
+    """Cursors as a stream's state, in two micro-batches each: turns of conversations by number, events by time and identifier."""
+    base, schema = f"{tables.shared_dir(spark)}/cursors-{uuid.uuid4().hex}", "source_id string, external_id string, published_at timestamp"
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("source_id"), F.col("turn").cast("string").alias("external_id"), F.lit(None).cast("timestamp").alias("published_at"), (F.col("turn") % 2 == 0).alias("even"))
+    events = table(spark, sf_dir, "events").select(F.col("event_type").alias("source_id"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("external_id"), F.col("ts").cast("timestamp").alias("published_at"), (F.col("event_id") % 2 == 0).alias("even"))
+    found = []
+    for kind, rows in (("message", turns), ("published", events)):
+        for even in (True, False):
+            rows.where(F.coalesce("even", F.lit(True)) == even).drop("even").coalesce(1).write.mode("append").parquet(f"{base}/{kind}")
+        kept = tables.Table(spark, f"{base}/{kind}-table")
+        jobs.run_cursors(spark, f"{base}/{kind}", schema, kept, f"{base}/{kind}-checkpoint", kind == "message", files_per_batch=1)
+        last = kept.read(jobs.CURSORS).groupBy("source_id").agg(F.max("cursor").alias("c"))
+        number = F.col("c.message_id") if kind == "message" else F.col("c.external_id").cast("bigint")
+        found.append(last.select("source_id", number.alias("message_id"), F.coalesce(F.unix_micros("c.published_at"), F.lit(-1).cast("bigint")).alias("us"), F.lit(kind).alias("kind")))
+    return found[0].unionByName(found[1])

@@ -100,23 +100,42 @@ def backfill(spark: SparkSession, landing: str, schema: str, tables: FeedTables,
     process_batch(spark.read.schema(schema).parquet(landing), tables, f"backfill-{run_id}", min_published_at, use_cursors=False, **lookback)
 
 
-def cursor_stream(items: DataFrame, name: str, checkpoint: str):
-    """A stateful stream of cursors: source_id, published_at, external_id whenever a source's latest item moves on."""
+def cursor_stream(items: DataFrame, by_message: bool = False) -> DataFrame:
+    """A stateful stream of cursors: source_id, cursor whenever a source's latest item moves on; where they go is the caller's.
+
+    Sites move by (published_at, external_id), channels (by_message) by the number of the message; items without one are passed over.
+    """
 
     def latest(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        old = state.get if state.exists else None
-        best = old
+        old = best = tuple(state.get) if state.exists else None
         for batch in batches:
-            top = batch.sort_values(["published_at", "external_id"]).iloc[-1]
-            row = (top["published_at"], top["external_id"])
-            best = row if best is None or row > tuple(best) else best
+            if by_message:
+                numbers = pd.to_numeric(batch["external_id"], errors="coerce").dropna()
+                row = (None, None, int(numbers.max())) if len(numbers) else None
+                ahead = row is not None and (best is None or row[2] > best[2])
+            else:
+                dated = batch.dropna(subset=["published_at", "external_id"]).sort_values(["published_at", "external_id"])
+                row = (dated.iloc[-1]["published_at"], dated.iloc[-1]["external_id"], None) if len(dated) else None
+                ahead = row is not None and (best is None or row[:2] > best[:2])
+            best = row if ahead else best
         if best is not None and best != old:
-            state.update(tuple(best))
-            yield pd.DataFrame({"source_id": [key[0]], "published_at": [best[0]], "external_id": [best[1]]})
+            state.update(best)
+            yield pd.DataFrame({"source_id": [key[0]], "published_at": pd.Series([best[0]], dtype="datetime64[ns]"), "external_id": [best[1]], "message_id": pd.Series([best[2]], dtype="Int64")})
+
+    kind = "published_at timestamp, external_id string, message_id bigint"
+    rows = items.select("source_id", "published_at", "external_id").where("source_id IS NOT NULL")
+    moved = rows.groupBy("source_id").applyInPandasWithState(latest, f"source_id string, {kind}", kind, "update", GroupStateTimeout.NoTimeout)
+    return moved.select("source_id", F.struct("published_at", "external_id", "message_id").alias("cursor"))
 
-    kind = "published_at timestamp, external_id string"
-    moved = items.groupBy("source_id").applyInPandasWithState(latest, f"source_id string, {kind}", kind, "update", GroupStateTimeout.NoTimeout)
-    return moved.writeStream.outputMode("update").format("memory").queryName(name).option("checkpointLocation", checkpoint)
+
+def run_cursors(spark: SparkSession, landing: str, schema: str, cursors: Table, checkpoint: str, by_message: bool = False, files_per_batch: int = 100) -> None:
+    """The cursors of all that has landed since the last call, kept as state and written to a table batch by batch; then stop."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(landing)
+    query = (
+        cursor_stream(stream, by_message).writeStream.outputMode("update").foreachBatch(lambda df, n: cursors.append(df, f"stream-{n}"))
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
 
 
 def deduplicated_stream(items: DataFrame, delay: str = "7 days") -> DataFrame:

@@ -308,11 +308,16 @@ def test_stateful_streams(spark, tmp_path):
     rows = [("s", str(i), NOW + dt.timedelta(minutes=i), f"t{i % 5}", i) for i in range(20)]
     spark.createDataFrame(rows, ITEMS).coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(ITEMS).parquet(f"{tmp_path}/in")
-    query = jobs.cursor_stream(stream, "cursors_out", f"{tmp_path}/c1").start()
-    query.processAllAvailable()
-    query.stop()
-    assert [r.external_id for r in spark.table("cursors_out").collect()] == ["19"]
+    for by_message in (False, True):
+        kept = tables.Table(spark, f"file://{tmp_path}/cursors-{by_message}")
+        jobs.run_cursors(spark, f"{tmp_path}/in", ITEMS, kept, f"{tmp_path}/c-{by_message}", by_message)
+        # what lands later and lies before moves nothing, what has no number or date neither
+        old = [("s", "3", NOW, "t", 0), ("s", "x" if by_message else None, NOW + dt.timedelta(days=9), "t", 0), ("new", "7", NOW, "t", 0)]
+        spark.createDataFrame(old, ITEMS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        jobs.run_cursors(spark, f"{tmp_path}/in", ITEMS, kept, f"{tmp_path}/c-{by_message}", by_message)
+        rows = kept.read(jobs.CURSORS).collect()
+        assert sorted((r.source_id, r.cursor.message_id if by_message else r.cursor.external_id) for r in rows) == ([("new", 7), ("s", 19)] if by_message else [("new", "7"), ("s", "19")])
     query = jobs.deduplicated_stream(stream).writeStream.format("memory").queryName("unique_out").option("checkpointLocation", f"{tmp_path}/c2").start()
     query.processAllAvailable()
     query.stop()
-    assert spark.table("unique_out").count() == 5
+    assert spark.table("unique_out").count() == 6
