@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from ._shared import join_hot, staged
 
-#: JSON types of a schema, as schema_of_variant names them.
-TYPES = {"string": "^STRING$", "integer": "^BIGINT$", "number": "^(BIGINT|DECIMAL.*|DOUBLE|FLOAT)$", "boolean": "^BOOLEAN$", "object": "^OBJECT.*$", "array": "^ARRAY.*$"}
+#: JSON types of a schema, as schema_of_variant names them; an integer is a number without a fraction, however it is written.
+TYPES = {"string": "^STRING$", "integer": "^(BIGINT|DECIMAL.*|DOUBLE|FLOAT)$", "number": "^(BIGINT|DECIMAL.*|DOUBLE|FLOAT)$", "boolean": "^BOOLEAN$", "object": "^OBJECT.*$", "array": "^ARRAY.*$"}
 
 
 def canonical_json(text: Column) -> Column:
@@ -30,10 +30,30 @@ def canonical_json(text: Column) -> Column:
     return F.to_json(F.try_parse_json(text))
 
 
+def member(value: Column, name: str) -> Column:
+    """The member of a variant object under a key, taken literally; keys may hold any character but both kinds of quotes."""
+    if "'" in name and '"' in name:
+        raise ValueError(f"parameter name {name} has both kinds of quotes")
+    quote = '"' if "'" in name else "'"
+    return F.try_variant_get(value, f"$[{quote}{name}{quote}]", "variant")
+
+
+def fits(value: Column, kind: str) -> Column:
+    """Whether a variant has a type of TYPES; null where it is missing."""
+    typed = F.schema_of_variant(value).rlike(TYPES[kind])
+    if kind != "integer":
+        return typed
+    # of decimals the digits tell, of doubles the value
+    whole = F.to_json(value).rlike(r"^-?[0-9]+(\.0+)?$")
+    large = F.schema_of_variant(value).rlike("^(DOUBLE|FLOAT)$") & (F.try_variant_get(value, "$", "double") % 1 == 0)
+    return typed & (whole | F.coalesce(large, F.lit(False)))
+
+
 def argument_faults(name: Column, arguments: Column, schemas: Mapping[str, Mapping[str, str]]) -> Column:
     """What is wrong with a call's arguments: array<string>, empty if nothing.
 
-    schemas: tool -> parameter -> type, with ``?`` after it if the parameter may be missing; other keys aren't allowed.
+    schemas: tool -> parameter -> type, with ``?`` after it if the parameter may be missing; other keys aren't allowed.  Names
+    are taken literally, dots and all.  Arguments with a repeated key are no JSON.
     """
     parsed = F.try_parse_json(arguments)
     not_object = ~F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
@@ -42,9 +62,9 @@ def argument_faults(name: Column, arguments: Column, schemas: Mapping[str, Mappi
     for tool, parameters in schemas.items():
         checks = [F.transform(F.array_except(keys, F.array(*[F.lit(p) for p in parameters]) if parameters else F.array().cast("array<string>")), lambda k: F.concat(F.lit("extra "), k))]
         for parameter, kind in parameters.items():
-            value = F.try_variant_get(parsed, f"$.{parameter}", "variant")
+            value = member(parsed, parameter)
             there = F.array_contains(keys, parameter)
-            wrong = there & ~F.coalesce(F.schema_of_variant(value).rlike(TYPES[kind.rstrip("?")]), F.lit(False))
+            wrong = there & ~F.coalesce(fits(value, kind.rstrip("?")), F.lit(False))
             found = F.when(wrong, F.lit(f"{parameter} is no {kind.rstrip('?')}"))
             if not kind.endswith("?"):
                 found = F.when(~there, F.lit(f"{parameter} is missing")).otherwise(found)

@@ -76,6 +76,21 @@ def test_tool_calls(frame):
     assert sorted(r.status for r in tool_calls.link(frame(nulls, EVENTS), SCHEMA).collect()) == ["invalid", "message", "orphan", "unanswered"]
 
 
+def test_argument_types(frame):
+    """Names with dots and quotes, integers of any size and spelling, and what is none."""
+    schemas = {"f": {"a.b": "integer", "it's": "number?", "$[0]": "string?"}}
+    given = {
+        '{"a.b":1}': [], '{"a.b":123456789012345678901}': [], '{"a.b":1.0}': [], '{"a.b":-2.50}': ["a.b is no integer"], '{"a.b":1e3}': [], '{"a.b":1.5e300}': [], '{"a.b":1.5e-3}': ["a.b is no integer"],
+        '{"a.b":"1"}': ["a.b is no integer"], '{"a.b":null}': ["a.b is no integer"], '{"a.b":true}': ["a.b is no integer"], '{"a":{"b":1}}': ["extra a", "a.b is missing"],
+        '{"a.b":0,"it\'s":1.25,"$[0]":"x"}': [], '{"a.b":0,"it\'s":"x"}': ["it's is no number"], '{"a.b":[1]}': ["a.b is no integer"],
+    }
+    rows = frame([("f", a) for a in given], "name string, arguments string")
+    got = rows.select("arguments", tool_calls.argument_faults(rows["name"], rows["arguments"], schemas).alias("faults")).collect()
+    assert {r.arguments: list(r.faults) for r in got} == given
+    with pytest.raises(ValueError):
+        tool_calls.argument_faults(rows["name"], rows["arguments"], {"f": {"a'\"b": "string"}})
+
+
 def test_call_order(frame):
     """Calls that wait for later ones move behind them; cycles and what waits for them get no place."""
     waits = {("a", 0): ["b"], ("b", 1): ["c"], ("c", 2): [], ("d", 3): ["a"], ("p", 4): ["q"], ("q", 5): ["p"], ("r", 6): ["p", "c"], ("s", 7): ["s"]}
