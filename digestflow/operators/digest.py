@@ -6,8 +6,10 @@ import hashlib
 import json
 import re
 from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -116,26 +118,51 @@ def split_posts(items: DataFrame, header: str, limit: int = POST_LIMIT) -> DataF
     return rows.select("digest_id", (F.col("_base") + F.col("_i")).cast("int").alias("position"), "text")
 
 
-@F.pandas_udf(StringType())
-def digest_id(profile_id: pd.Series, version: pd.Series, items: pd.Series) -> pd.Series:
-    """SHA-256 of the canonical JSON of profile and ordered items."""
+DIGEST = ["profile_id", "profile_version", "channel_id"]
+#: How a digest's items are ordered.
+PLACE = ["position", "cluster_id", "summary", "source_links", "source_dates"]
 
-    def one(profile: str, number: int, rows) -> str:
-        body = {"profile_id": profile, "profile_version": int(number), "items": [dict(r) | {"source_links": list(r["source_links"]), "source_dates": list(r["source_dates"])} for r in rows]}
-        return hashlib.sha256(json.dumps(body, ensure_ascii=False, sort_keys=True, separators=(",", ":"), default=str).encode()).hexdigest()
 
-    return pd.Series([one(p, v, r) for p, v, r in zip(profile_id, version, items)], dtype="object")
+def digest_ids(items: DataFrame) -> DataFrame:
+    """items -> profile_id, profile_version, channel_id, id: the SHA-256 of the canonical JSON of profile and ordered items.
+
+    Items come sorted and go into one hash each by each, so a task holds a batch of rows whatever a digest's size.
+    """
+    iso = F.transform("source_dates", lambda d: F.date_format(d, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    rows = items.select(*DIGEST, *PLACE[:-1], iso.alias("source_dates"))
+    kinds = dict(rows.dtypes)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sha, first = None, None, True
+        dumped = lambda x: json.dumps(x, ensure_ascii=False, sort_keys=True, separators=(",", ":"), default=str)
+
+        def close() -> pa.RecordBatch:
+            sha.update(f'],"profile_id":{dumped(now[0])},"profile_version":{int(now[1])}}}'.encode())
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(now, types)] + [pa.array([sha.hexdigest()])], [*DIGEST, "id"])
+
+        for batch in batches:
+            types = [batch.column(c).type for c in DIGEST]
+            for row in batch.to_pylist():
+                key = [row[c] for c in DIGEST]
+                if key != now:
+                    if sha:
+                        yield close()
+                    now, sha, first = key, hashlib.sha256(b'{"items":['), True
+                sha.update((("" if first else ",") + dumped({c: row[c] for c in PLACE})).encode())
+                first = False
+        if sha:
+            yield close()
+
+    n = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, *DIGEST).sortWithinPartitions(*DIGEST, *PLACE).mapInArrow(hashed, ", ".join(f"{c} {kinds[c]}" for c in DIGEST) + ", id string")
 
 
 def compose(items: DataFrame, header: str, created_at: Column, limit: int = POST_LIMIT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """items (profile_id, profile_version, channel_id, position, cluster_id, summary, source_links, source_dates) ->
     digests, digest items, posts.  A profile without items gets no digest."""
-    iso = F.transform("source_dates", lambda d: F.date_format(d, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-    body = F.struct("position", "cluster_id", "summary", "source_links", iso.alias("source_dates"))
-    grouped = items.groupBy("profile_id", "profile_version", "channel_id").agg(F.array_sort(F.collect_list(body)).alias("items"))
-    grouped = grouped.withColumn("id", digest_id("profile_id", "profile_version", "items"))
-    digests = grouped.select("id", "profile_id", "profile_version", "channel_id", created_at.alias("created_at"), F.lit(None).cast("timestamp").alias("sent_at"))
-    own = items.join(grouped.select("profile_id", "profile_version", "channel_id", F.col("id").alias("digest_id")), ["profile_id", "profile_version", "channel_id"])
+    ids = written(digest_ids(items), "digest-ids")
+    digests = ids.select("id", *DIGEST, created_at.alias("created_at"), F.lit(None).cast("timestamp").alias("sent_at"))
+    own = items.join(ids.withColumnRenamed("id", "digest_id"), DIGEST)
     text = own.select("digest_id", "position", format_item(F.col("summary"), F.col("source_links"), F.col("source_dates")).alias("text"))
     return digests, own.select("digest_id", "position", "cluster_id", "summary", "source_links"), split_posts(text, header, limit)
 

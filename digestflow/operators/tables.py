@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -61,6 +61,24 @@ class Table:
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_batch", *self.by).parquet(self.path)
 
 
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """df with ``name``: a row's number from 1 among those of its keys, by order (nulls first).
+
+    Rows are sorted by range, each range counts its own, and sums over the ranges before are added; so a key's rows are
+    numbered by as many tasks as it has ranges.  Nulls in keys are one key.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = written(df.repartitionByRange(n, *keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = placed.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    own = placed.withColumn("_within", F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order)))
+    same = F.col("_range") == F.col("_r")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return own.join(bases, same).withColumn(name, (F.col("_base") + F.col("_within")).cast("long")).select(*df.columns, name)
+
+
 def first_wins(df: DataFrame, stored: DataFrame | None, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The rows of df whose keys neither stored nor an earlier row of df (by order) has; null keys never conflict."""
     first = df.withColumn("_nr", F.struct(*order))

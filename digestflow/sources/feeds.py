@@ -121,7 +121,10 @@ def feed_to_raw_items(entries: DataFrame, channel: bool = False) -> tuple[DataFr
 
 
 def capped(items: DataFrame, most: int | None, newest: bool = False) -> DataFrame:
-    """The first (or last) ``most`` items of each source by batch_pos; all of them for None."""
+    """The first (or last) ``most`` items of each source by batch_pos; all of them for None.
+
+    Spark limits each source within a task before the shuffle (WindowGroupLimit), so no task gets a whole source.
+    """
     if most is None:
         return items
     order = F.desc("batch_pos") if newest else F.asc("batch_pos")

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from digestflow.functions.dates import parse_datetime
 from digestflow.functions.html import Page
 from digestflow.functions.text import blank_to_null, fallback_external_id, first_line
 from digestflow.functions.urls import absolute_url, canonicalize_url
+from digestflow.operators.tables import numbered
 
 #: Units of file sizes, Latin and Cyrillic.
 SIZE_UNITS = {"B": 1, "Б": 1, "KB": 1024, "КБ": 1024, "MB": 1024**2, "МБ": 1024**2, "GB": 1024**3, "ГБ": 1024**3}
@@ -149,10 +150,11 @@ def messages_to_raw_items(messages: DataFrame) -> DataFrame:
     attachment = F.struct(
         F.lit("document").alias("kind"), name.alias("name"), F.col("file.size").cast("long").alias("size"), F.col("file.ref").alias("download_ref"), F.col("file.mime_type").alias("mime_type")
     )
-    return messages.select(
+    rows = messages.select(
         "source_id", F.col("message_id").cast("string").alias("external_id"), F.concat(F.lit("https://t.me/"), "handle", F.lit("/"), F.col("message_id")).alias("original_url"),
         F.col("date").alias("published_at"), first_line(text).alias("title"), text.alias("raw_text"),
         F.when(F.col("file").isNull(), F.array().cast("array<struct<kind:string,name:string,size:bigint,download_ref:string,mime_type:string>>")).otherwise(F.array(attachment)).alias("attachments"),
         F.to_json(F.struct("message_id", "views", "forwards", "grouped_id", F.col("handle").alias("channel"))).alias("metadata"),
-        F.row_number().over(Window.partitionBy("source_id").orderBy("date", "message_id")).cast("long").alias("batch_pos"),
+        F.col("message_id").alias("_nr"),
     )
+    return numbered(rows, ["source_id"], ["published_at", "_nr"], "batch_pos").drop("_nr")

@@ -1,6 +1,7 @@
 """Whole runs: stages, repeated preparation, runs that break off, lookback in micro-batches, links of both kinds."""
 
 import datetime as dt
+import hashlib
 import json
 import random
 
@@ -134,3 +135,34 @@ def test_parts_of_posts():
 def test_metadata_reaches_materials(spark):
     items = raw(spark, ["t"]).withColumns({"extracted_text": F.col("raw_text"), "metadata": F.lit('{"views":"3"}'), "attachment_errors": F.array(F.lit("f: no reference"))})
     assert [json.loads(r.metadata) for r in ingest.normalize_materials(items, F.lit(NOW))[0].collect()] == [{"views": "3", "extraction": {"attachment_errors": ["f: no reference"]}}]
+
+
+def test_rows_are_numbered_over_ranges(spark):
+    """A key with most rows, ties, null keys and null places; numbers as a window over whole keys gives them."""
+    rng = random.Random(2)
+    rows = [(rng.choice(["big"] * 8 + ["small", None]), rng.choice([None, *range(300)]), i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k string, o long, tie long")
+    got = {r.tie: r.nr for r in tables.numbered(df, ["k"], ["o", "tie"], "nr").collect()}
+    want = {}
+    for k in {r[0] for r in rows}:
+        for i, r in enumerate(sorted((r for r in rows if r[0] == k), key=lambda r: (r[1] is not None, r[1] or 0, r[2])), 1):
+            want[r[2]] = i
+    assert got == want
+    assert tables.numbered(df.limit(0), ["k"], ["o"], "nr").count() == 0
+
+
+def test_digest_ids_stream_over_their_items(spark):
+    """The hash of the canonical JSON of all items in order, for a digest of many items and for small ones."""
+    rows = [(p, 2, "c", i, f"c{i}", f'S "{i}" é', [f"https://x.test/{i}"], [NOW + dt.timedelta(minutes=i)]) for p, n in (("big", 3000), ("one", 1), ("two", 2)) for i in range(n)]
+    random.Random(1).shuffle(rows)
+    ddl = "profile_id string, profile_version int, channel_id string, position long, cluster_id string, summary string, source_links array<string>, source_dates array<timestamp>"
+    got = {r.profile_id: r.id for r in digest.digest_ids(spark.createDataFrame(rows, ddl)).collect()}
+    for p in ("big", "one", "two"):
+        items = [{"position": r[3], "cluster_id": r[4], "summary": r[5], "source_links": r[6], "source_dates": [d.strftime("%Y-%m-%dT%H:%M:%SZ") for d in r[7]]} for r in sorted(rows, key=lambda r: r[3]) if r[0] == p]
+        body = json.dumps({"profile_id": p, "profile_version": 2, "items": items}, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+        assert got[p] == hashlib.sha256(body.encode()).hexdigest()
+
+
+def test_caps_are_taken_before_the_shuffle(spark):
+    plan = feeds.capped(spark.range(10).selectExpr("concat('s', id % 2) AS source_id", "id AS batch_pos"), 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2 and "Partial" in plan
