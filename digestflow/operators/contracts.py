@@ -50,6 +50,15 @@ def clusters() -> Mapping[str, Column]:
     }
 
 
+def members() -> Mapping[str, Column]:
+    """Of clusters as rows of members; places are unique within a cluster."""
+    own = F.col("material_id") == F.col("representative_id")
+    return {
+        "representative_first": own == (F.col("pos") == 0), "place": F.col("pos").between(0, F.col("n_members") - 1), "score_range": F.col("similarity").between(0, 1),
+        "own_score": ~own | (F.col("similarity") == 1.0), "id_sha256": F.col("id").rlike("^[0-9a-f]{64}$"),
+    }
+
+
 def digest_items() -> Mapping[str, Column]:
     n = F.size("source_links")
     return {"has_link": n >= 1, "links_http": F.forall("source_links", http_url), "dates_match": F.col("source_dates").isNull() | (F.size("source_dates") == n)}

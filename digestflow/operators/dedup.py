@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -14,9 +17,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, LongType
 
-from digestflow.functions.text import cluster_id
+from digestflow.functions.text import UNIT_SEPARATOR
 
-from .tables import written
+from .tables import numbered, written
 
 #: Groups of rows that are compared pair by pair in one go.
 SMALL = 64
@@ -24,6 +27,8 @@ SMALL = 64
 SKETCH = 256
 #: Edges of a task in which leaders are settled one after another.
 SETTLED = 1 << 20
+#: A cluster as rows: its id, representative and size with each of its members.
+MEMBERS = ("id", "representative_id", "n_members", "pos", "material_id", "similarity")
 LINKS = ("material_id", "duplicate_of_id", "kind", "similarity")
 
 
@@ -359,10 +364,10 @@ def greedy_leaders(nodes: DataFrame, pairs: DataFrame, per_task: int = SETTLED)
 
 
 def clusters(leaders: DataFrame, pairs: DataFrame, new_ids: DataFrame, assign: str = "all") -> tuple[DataFrame, DataFrame]:
-    """Clusters (id, representative_id, material_ids, similarities) that hold a new id, and the links of their members.
+    """Members (representative_id, material_id, similarity) of clusters that hold a new id, a row each, and their links.
 
     ``all``: a row is in the cluster of every leader before it that it is similar to; ``best``: only in the most similar
-    one's.
+    one's.  A leader is a member of its own cluster with similarity 1.  See identified() for ids and places.
     """
     lead = leaders.where("leader").select("id")
     place = F.struct("pos", "id")
@@ -374,32 +379,82 @@ def clusters(leaders: DataFrame, pairs: DataFrame, new_ids: DataFrame, assign: s
         members = members.join(best, ["member", "rep"])
     own = lead.select(F.col("id").alias("rep"), F.col("id").alias("member"), F.lit(1.0).alias("similarity"))
     every = own.unionByName(members.groupBy("rep", "member").agg(F.max("similarity").alias("similarity")))
-    marked = every.join(new_ids.select(F.col("id").alias("member"), F.lit(1).alias("is_new")), "member", "left")
-    grouped = marked.groupBy("rep").agg(
-        F.array_sort(F.collect_list(F.struct((F.col("member") != F.col("rep")).alias("second"), F.col("member").cast("string").alias("id"), "similarity"))).alias("m"),
-        F.max("is_new").alias("any_new"),
-    ).where("any_new = 1")
-    ids = F.transform("m", lambda x: x["id"])
-    out = grouped.select(
-        cluster_id(ids).alias("id"), F.col("rep").cast("string").alias("representative_id"), ids.alias("material_ids"),
-        F.map_from_entries(F.transform("m", lambda x: F.struct(x["id"], x["similarity"]))).alias("similarities"),
-    )
-    links = out.select("representative_id", F.explode("similarities").alias("material_id", "similarity")).where("material_id != representative_id")
+    with_new = every.join(new_ids.select(F.col("id").alias("member")), "member", "left_semi").select("rep").distinct()
+    kept = every.join(with_new, "rep", "left_semi")
+    out = kept.select(F.col("rep").cast("string").alias("representative_id"), F.col("member").cast("string").alias("material_id"), "similarity")
+    links = out.where("material_id != representative_id")
     return out, links.select("material_id", F.col("representative_id").alias("duplicate_of_id"), F.lit("semantic").alias("kind"), "similarity")
 
 
-def attach_exact(found: DataFrame, links: DataFrame) -> DataFrame:
-    """Clusters with the exact duplicates of their members, after the members, in the order of members and of the batch."""
-    members = found.select(F.col("id").alias("old"), F.posexplode("material_ids").alias("pos", "duplicate_of_id"))
-    more = members.join(links.select("duplicate_of_id", "material_id", "batch_pos"), "duplicate_of_id")
-    own = members.select("old", F.col("duplicate_of_id").alias("material_id"))
-    more = more.withColumn("material_id", F.col("material_id").cast("string")).join(own, ["old", "material_id"], "left_anti")
-    first = more.groupBy("old", "material_id").agg(F.min(F.struct("pos", "batch_pos")).alias("o"))
-    added = first.groupBy("old").agg(F.array_sort(F.collect_list(F.struct("o", F.col("material_id").cast("string").alias("id")))).alias("m"))
-    both = found.join(added.select(F.col("old").alias("id"), F.transform("m", lambda x: x["id"]).alias("added")), "id", "left")
-    more = F.coalesce("added", F.array().cast("array<string>"))
-    ids = F.concat("material_ids", more)
-    return both.select(
-        cluster_id(ids).alias("id"), "representative_id", ids.alias("material_ids"),
-        F.map_concat("similarities", F.map_from_arrays(more, F.transform(more, lambda x: F.lit(1.0)))).alias("similarities"),
-    )
+def attach_exact(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Members of clusters with the exact duplicates of each: further rows, with copy_of (the member) and batch_pos.
+
+    What is a member already stays as it is; of several members that a material copies the first in the cluster's order counts.
+    """
+    second = F.col("material_id") != F.col("representative_id")
+    own = members.select("representative_id", F.col("material_id").alias("copy_of"), second.alias("second"))
+    copies = links.select(F.col("duplicate_of_id").cast("string").alias("copy_of"), F.col("material_id").cast("string").alias("material_id"), "batch_pos")
+    more = copies.join(own, "copy_of").join(members.select("representative_id", "material_id"), ["representative_id", "material_id"], "left_anti")
+    first = more.groupBy("representative_id", "material_id").agg(F.min(F.struct("second", "copy_of", "batch_pos")).alias("o"))
+    added = first.select("representative_id", "material_id", F.lit(1.0).alias("similarity"), "o.copy_of", "o.batch_pos")
+    return members.unionByName(added, allowMissingColumns=True)
+
+
+def cluster_ids(members: DataFrame) -> DataFrame:
+    """representative_id, id, n_members: the SHA-256 of each cluster's ordered member ids.
+
+    Sorted ids stream into one hash a cluster, so a task holds a batch of rows whatever a cluster's size; the hash itself is
+    sequential, so one task reads the ids (and nothing else) of a cluster.
+    """
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sha, n = None, None, 0
+        for batch in batches:
+            done = []
+            for rep, rows in groupby(zip(*(batch.column(c).to_pylist() for c in range(2))), itemgetter(0)):
+                ids = [member for _, member in rows]
+                if rep != now:
+                    if sha:
+                        done.append((now, sha.hexdigest(), n))
+                    now, sha, n = rep, hashlib.sha256(), 0
+                sha.update(((UNIT_SEPARATOR if n else "") + UNIT_SEPARATOR.join(ids)).encode())
+                n += len(ids)
+            yield told(done)
+        if sha:
+            yield told([(now, sha.hexdigest(), n)])
+
+    def told(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({c: pa.array([r[i] for r in rows], k) for i, (c, k) in enumerate(kinds.items())})
+
+    kinds = {"representative_id": pa.string(), "id": pa.string(), "n_members": pa.int64()}
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = members.select("representative_id", "material_id").repartition(n, "representative_id").sortWithinPartitions("representative_id", "material_id")
+    return rows.mapInArrow(hashed, "representative_id string, id string, n_members bigint")
+
+
+def identified(members: DataFrame) -> DataFrame:
+    """Members of clusters, as clusters() or attach_exact() give them -> MEMBERS: a row each, with the cluster's id and size.
+
+    A cluster's places count from 0: the representative, then its members by id, then exact copies in the order of the members
+    they copy and of the batch.  A cluster is nowhere one row: clusters(), copies and places are joins, sums and sorted ranges
+    over members, so its size is bounded by no task's memory.
+    """
+    none = {c: F.lit(None).cast(k) for c, k in (("copy_of", "string"), ("batch_pos", "bigint")) if c not in members.columns}
+    of = F.coalesce("copy_of", "material_id")
+    rows = members.withColumns(none) if none else members
+    rows = written(rows.select(
+        "representative_id", "material_id", "similarity", F.col("copy_of").isNotNull().alias("_copy"), (of != F.col("representative_id")).alias("_second"), of.alias("_of"), "batch_pos"
+    ), "members")
+    placed = numbered(rows, ["representative_id"], ["_copy", "_second", "_of", "batch_pos", "material_id"], "pos")
+    return placed.join(cluster_ids(rows), "representative_id").withColumn("pos", F.col("pos") - 1).select(*MEMBERS)
+
+
+def gathered(found: DataFrame) -> DataFrame:
+    """MEMBERS -> id, representative_id, material_ids (in order), similarities (map): one row per cluster.
+
+    For readers that want a cluster as one value; nothing in the library does, since the row grows with the cluster.
+    """
+    each = F.array_sort(F.collect_list(F.struct("pos", "material_id", "similarity")))
+    rows = found.groupBy("id", "representative_id").agg(each.alias("m"))
+    pair = F.transform("m", lambda x: F.struct(x["material_id"], x["similarity"]))
+    return rows.select("id", "representative_id", F.col("m.material_id").alias("material_ids"), F.map_from_entries(pair).alias("similarities"))

@@ -41,7 +41,7 @@ def encoded(materials: DataFrame) -> DataFrame:
 def grouped(
     unique: DataFrame, lookback: DataFrame, vectors: Callable[[DataFrame], DataFrame] | None, tau: float, own: DataFrame | None = None, known: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Clusters of unique new materials with what the lookback has, and their semantic links.
+    """Members of clusters of unique new materials with what the lookback has, and their semantic links.
 
     The order of leaders is by time, then id.  Without vectors every new material is a cluster of its own.  own (id, vec) has
     the vectors of unique, if they were made before; known (id, vec) stored ones of the lookback, of which only rows without
@@ -72,7 +72,7 @@ def feed_run(
     """raw_items (see extract_items) against stored materials and scores -> a table for each stage.
 
     errors: of extraction, normalization, scoring and summaries; materials, fresh, new and unique; vectors of new (id,
-    published_at, vec), if there are any; links (exact and semantic); clusters; screenings; accepted; digests, digest_items and posts (against ledger, if given: only new rows).
+    published_at, vec), if there are any; links (exact and semantic); clusters and their members, a row each; screenings; accepted; digests, digest_items and posts (against ledger, if given: only new rows).
     min_published_at replaces the freshness window (backfill).  known_vectors (id, vec) save encoding the lookback.  Nothing is stored here; the caller appends the tables.
     """
     extracted, failures = ingest.extract_items(raw_items)
@@ -85,7 +85,7 @@ def feed_run(
     own = tables.written(vectors(new).select("id", "published_at", "vec"), "run-vectors") if vectors else None
     lookback = ingest.fresh(stored, now, profile.lookback_days)
     found, semantic = grouped(unique, lookback, vectors, profile.tau, own.select("id", "vec") if vectors else None, known_vectors)
-    clusters = tables.written(dedup.attach_exact(found, exact_links), "run-clusters")
+    clusters = tables.written(dedup.identified(dedup.attach_exact(found, exact_links)), "run-clusters")
     known = stored.select(*[c for c in materials.columns if c in stored.columns])
     every, _ = dedup.combine(known, materials.select(*known.columns))
     open_ = screening.needs_scoring(clusters, scored, profile.id, profile.version, profile.model, profile.prompt_version)
@@ -112,9 +112,10 @@ def feed_run(
     if collided is not None:
         errors = errors.unionByName(name(collided.withColumnRenamed("id", "cluster_id"), "digest_collision"))
     encoded_rows = {"vectors": own} if vectors else {}
+    heads = lambda df: df.where("pos = 0").select("id", "representative_id", "n_members")
     return {
-        "materials": materials, "fresh": fresh, "new": new, "unique": unique, **encoded_rows, "links": dedup.all_links(exact_links, semantic), "clusters": clusters,
-        "screenings": screenings, "accepted": accepted, "digests": digests, "digest_items": parts, "posts": posts, "errors": errors,
+        "materials": materials, "fresh": fresh, "new": new, "unique": unique, **encoded_rows, "links": dedup.all_links(exact_links, semantic), "clusters": heads(clusters),
+        "members": clusters.select(F.col("id").alias("cluster_id"), "pos", "material_id", "similarity"), "screenings": screenings, "accepted": heads(accepted), "digests": digests, "digest_items": parts, "posts": posts, "errors": errors,
     }
 
 

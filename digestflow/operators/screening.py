@@ -16,8 +16,9 @@ LEAST_BUDGET, TITLE_CHARS = 1000, 300
 
 
 def cluster_materials(clusters: DataFrame, materials: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
-    """cluster_id, members (ordered array of structs: id and columns), and the ids of members that are missing."""
-    each = clusters.select(F.col("id").alias("cluster_id"), F.posexplode("material_ids").alias("pos", "id"))
+    """Clusters as rows of members (dedup.MEMBERS) -> cluster_id, members (ordered array of structs: id and columns), and the ids
+    of members that are missing.  For clusters that got an answer, whose size a request's budget bounds."""
+    each = clusters.select(F.col("id").alias("cluster_id"), "pos", F.col("material_id").alias("id"))
     both = each.join(materials.select(F.col("id").cast("string").alias("id"), F.lit(True).alias("found"), *columns), "id", "left")
     missing = both.where("found IS NULL").select("cluster_id", "id")
     members = both.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("pos", "id", *columns))).alias("members"), F.count("found").alias("n"))
@@ -36,7 +37,7 @@ def _cut(escaped: Column, n: Column) -> Column:
 
 
 def pack_prompts(clusters: DataFrame, materials: DataFrame, budget: int) -> tuple[DataFrame, DataFrame]:
-    """cluster_id, documents (JSON within budget characters), and errors (member_missing, metadata_over_budget).
+    """Clusters as rows of members -> cluster_id, documents (JSON within budget characters), and errors (member_missing, metadata_over_budget).
 
     Each member gets an equal share of what ids and titles leave of the budget, counted in characters of JSON; there must be
     one at least for each.  Ids and titles of a cluster with too many members alone are over budget, so its texts are never
@@ -47,10 +48,10 @@ def pack_prompts(clusters: DataFrame, materials: DataFrame, budget: int) -> tupl
     head = F.concat(F.lit('{"material_id":"'), _json(F.col("id")), F.lit('","title":"'), _json(F.substring("title", 1, TITLE_CHARS)), F.lit('","text":"'))
     tail = '"}'
     least = len('{"material_id":"","title":"","text":""},') + 1
-    each = clusters.select(F.col("id").alias("cluster_id"), F.size("material_ids").alias("n"), F.posexplode("material_ids").alias("pos", "id"))
+    each = clusters.select(F.col("id").alias("cluster_id"), F.col("n_members").alias("n"), "pos", F.col("material_id").alias("id"))
     one = materials.withColumn("id", F.col("id").cast("string")).select("id", head.alias("head"), _json(F.substring("text", 1, budget)).alias("text"))
     missing = each.join(one.select("id"), "id", "left_anti").select("cluster_id").distinct()
-    large = clusters.where(F.size("material_ids") > budget // least).select(F.col("id").alias("cluster_id")).join(missing, "cluster_id", "left_anti")
+    large = each.where((F.col("n") > budget // least) & (F.col("pos") == 0)).select("cluster_id").join(missing, "cluster_id", "left_anti")
     both = each.where(F.col("n") <= budget // least).join(one, "id")
     both = both.withColumn("text", _cut(F.col("text"), F.floor(budget / F.col("n")).cast("int")))
     members = both.groupBy("cluster_id", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "head", "text"))).alias("m"))
@@ -67,7 +68,7 @@ def pack_prompts(clusters: DataFrame, materials: DataFrame, budget: int) -> tupl
 
 
 def needs_scoring(clusters: DataFrame, scored: DataFrame, profile_id: str, version: int, model: str, prompt_version: str) -> DataFrame:
-    """Clusters without a score under this profile version, model and prompt."""
+    """The rows of clusters without a score under this profile version, model and prompt."""
     own = scored.where(
         (F.col("profile_id") == profile_id) & (F.col("profile_version") == version) & (F.col("model") == model) & (F.col("prompt_version") == prompt_version)
     )
@@ -157,6 +158,6 @@ def review(rows: DataFrame, clusters: DataFrame, materials: DataFrame, profile_i
         raise ValueError("n must be at least 1")
     own = rows.where(F.col("profile_id") == profile_id)
     last = latest(own, "cluster_id", F.desc("created_at"), F.asc("model"), F.asc("prompt_version"))
-    both = last.join(clusters.select(F.col("id").alias("cluster_id"), "representative_id"), "cluster_id")
+    both = last.join(clusters.select(F.col("id").alias("cluster_id"), "representative_id").distinct(), "cluster_id")
     both = both.join(materials.select(F.col("id").cast("string").alias("representative_id"), "title", "original_url"), "representative_id")
     return both.withColumn("accepted", verdict(relevance, noise)).orderBy(F.desc("created_at"), "cluster_id").limit(n)

@@ -282,8 +282,7 @@ def clusters_vec(spark, sf_dir):
     """Odd vectors are new, even ones the lookback: clusters with a new member."""
     found, pairs = leaders(spark, sf_dir)
     c, _ = dedup.clusters(found, pairs, vectors(spark, sf_dir).where("id % 2 = 1").select("id"))
-    ids = F.aggregate("material_ids", F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
-    return c.select("representative_id", F.size("material_ids").cast("long").alias("n_members"), ids.alias("id_sum"))
+    return c.groupBy("representative_id").agg(F.count("*").alias("n_members"), F.sum(F.col("material_id").cast("long")).alias("id_sum"))
 
 
 @query()
@@ -297,20 +296,19 @@ def similar_docs(spark, sf_dir):
 
 
 def document_clusters(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """A cluster per unique document, with its exact duplicates attached, and the materials."""
+    """A cluster per unique document, with its exact duplicates attached, as rows of members, and the materials."""
     m = materials(spark, sf_dir)
     unique, links = dedup.exact(m, m.limit(0))
-    one = unique.select(F.col("id").cast("string").alias("id"))
-    c = one.select(T.cluster_id(F.array("id")).alias("id"), F.col("id").alias("representative_id"), F.array("id").alias("material_ids"), F.create_map("id", F.lit(1.0)).alias("similarities"))
-    links = links.withColumn("duplicate_of_id", F.col("duplicate_of_id").cast("string"))
+    own = F.col("id").cast("string")
+    c = unique.select(own.alias("representative_id"), own.alias("material_id"), F.lit(1.0).alias("similarity"))
     mats = m.select("id", F.substring("text", 1, 60).alias("title"), "text", F.concat(F.lit("https://x.test/"), "id").alias("original_url"), "published_at")
-    return dedup.attach_exact(c, links), mats
+    return tables.written(dedup.identified(dedup.attach_exact(c, links)), "document-clusters"), mats
 
 
 @query(f"""SELECT min(doc_id)::VARCHAR AS representative_id, count(*) AS n_members, sha256(array_to_string(list_sort(list(doc_id::VARCHAR)), chr(31))) AS id FROM documents GROUP BY {CANON}""")
 def attached_clusters(spark, sf_dir):
     c, _ = document_clusters(spark, sf_dir)
-    return c.select("representative_id", F.size("material_ids").cast("long").alias("n_members"), "id")
+    return c.where("pos = 0").select("representative_id", "n_members", "id")
 
 
 @query(rf"""WITH d AS (SELECT {CANON} AS c, length(doc_id::VARCHAR) + length(to_json(left(coalesce(text, ''), 60))::VARCHAR) + 37 AS head,
@@ -351,8 +349,8 @@ def invalid_answers(spark, sf_dir):
 @query(f"SELECT min(doc_id)::VARCHAR AS representative_id FROM documents GROUP BY {CANON} HAVING min(doc_id) % 5 <> 0")
 def needs_scoring(spark, sf_dir):
     c, _ = document_clusters(spark, sf_dir)
-    done = c.where(F.col("representative_id").cast("long") % 5 == 0).select(F.col("id").alias("cluster_id"), F.lit("p").alias("profile_id"), F.lit(1).alias("profile_version"), F.lit("m").alias("model"), F.lit("v1").alias("prompt_version"))
-    return screening.needs_scoring(c, done, "p", 1, "m", "v1").select("representative_id")
+    done = c.where((F.col("pos") == 0) & (F.col("representative_id").cast("long") % 5 == 0)).select(F.col("id").alias("cluster_id"), F.lit("p").alias("profile_id"), F.lit(1).alias("profile_version"), F.lit("m").alias("model"), F.lit("v1").alias("prompt_version"))
+    return screening.needs_scoring(c, done, "p", 1, "m", "v1").where("pos = 0").select("representative_id")
 
 
 @query("""SELECT doc_id::VARCHAR AS cluster_id, quality = 1 AND toxic = 0 AS accepted FROM documents JOIN labels USING (doc_id) ORDER BY doc_id DESC LIMIT 50""")
@@ -371,7 +369,7 @@ def screening_review(spark, sf_dir):
 GROUP BY {CANON} HAVING length(trim(left(min_by(text, doc_id), 600))) > 0""")
 def digest_items(spark, sf_dir):
     c, m = document_clusters(spark, sf_dir)
-    summaries = c.select(F.col("id").alias("cluster_id"), F.col("representative_id").cast("long").alias("rep")).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("rep"), F.regexp_replace(F.substring("text", 1, 600), "(?i)https?://", "").alias("summary")), "rep")
+    summaries = c.where("pos = 0").select(F.col("id").alias("cluster_id"), F.col("representative_id").cast("long").alias("rep")).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("rep"), F.regexp_replace(F.substring("text", 1, 600), "(?i)https?://", "").alias("summary")), "rep")
     items, _ = digest.digest_items(summaries, c, m)
     first = F.regexp_extract(F.get("source_links", F.lit(0)), "/([0-9]+)$", 1).cast("long")
     return items.select(F.col("rep").cast("string").alias("representative_id"), F.size("source_links").cast("long").alias("n_links"), first.alias("first_id"))

@@ -51,6 +51,7 @@ RUN = f"""WITH m AS (SELECT doc_id, doc_id // 4 AS g, sha256(source || chr(31) |
 f AS (SELECT * FROM m WHERE doc_id % 2 = 1 AND doc_id >= 100), s AS (SELECT DISTINCT h FROM m WHERE doc_id % 2 = 0),
 u AS (SELECT min(doc_id) AS doc_id FROM f WHERE h NOT IN (FROM s) GROUP BY h),
 c AS (SELECT g, min(doc_id) AS doc_id, count(*) AS n FROM m WHERE doc_id IN (FROM u) OR doc_id % 2 = 0 AND doc_id >= 100 GROUP BY g HAVING bool_or(doc_id IN (FROM u))),
+t AS (SELECT coalesce((SELECT min(s.doc_id) FROM m s WHERE s.h = f.h AND s.doc_id % 2 = 0), (SELECT min(x.doc_id) FROM f x WHERE x.h = f.h)) AS doc_id FROM f WHERE doc_id NOT IN (FROM u)),
 a AS (SELECT id FROM c JOIN m USING (doc_id) WHERE id < 'c')"""
 
 
@@ -62,7 +63,8 @@ def by_fours(materials):
 
 @query(f"""{RUN} SELECT 'materials' AS stage, count(*) AS n FROM m WHERE doc_id % 2 = 1 UNION ALL SELECT 'fresh', count(*) FROM f UNION ALL SELECT 'new', count(*) FROM f
 UNION ALL SELECT 'unique', count(*) FROM u UNION ALL SELECT 'vectors', count(*) FROM f UNION ALL SELECT 'links', (SELECT count(*) FROM f) - (SELECT count(*) FROM u) + (SELECT sum(n - 1)::BIGINT FROM c)
-UNION ALL SELECT 'clusters', count(*) FROM c UNION ALL SELECT 'screenings', count(*) FROM c UNION ALL SELECT 'accepted', count(*) FROM a UNION ALL SELECT 'digests', 1 UNION ALL SELECT 'digest_items', count(*) FROM a
+UNION ALL SELECT 'clusters', count(*) FROM c UNION ALL SELECT 'members', (SELECT sum(n)::BIGINT FROM c) + (SELECT count(*) FROM t WHERE doc_id IN (FROM u) OR doc_id % 2 = 0 AND doc_id >= 100 AND doc_id // 4 IN (SELECT g FROM c))
+UNION ALL SELECT 'screenings', count(*) FROM c UNION ALL SELECT 'accepted', count(*) FROM a UNION ALL SELECT 'digests', 1 UNION ALL SELECT 'digest_items', count(*) FROM a
 UNION ALL SELECT 'posts', count(*) FROM a UNION ALL SELECT 'errors', (SELECT count(*) FROM documents WHERE doc_id % 2 = 1) - (SELECT count(*) FROM m WHERE doc_id % 2 = 1)""")
 def feed_run(spark, sf_dir):
     """Odd documents are raw items, even ones stored; seven days back from 01:40 on the eighth: rows of each stage of a whole run,

@@ -33,7 +33,8 @@ SCHEMAS = {
     "materials": "id string, source_id string, external_id string, original_url string, published_at timestamp, fetched_at timestamp, title string, text string, language string, content_hash string, batch_pos bigint, metadata string",
     "vectors": "id string, vec array<float>, day date",
     "links": "material_id string, duplicate_of_id string, kind string, similarity double",
-    "clusters": "id string, representative_id string, material_ids array<string>, similarities map<string,double>",
+    "clusters": "id string, representative_id string, n_members bigint",
+    "members": "cluster_id string, pos bigint, material_id string, similarity double",
     "screenings": "cluster_id string, profile_id string, profile_version int, model string, prompt_version string, relevance_score double, noise_score double, uncertain boolean, reason string, created_at timestamp",
     "digests": "id string, profile_id string, profile_version int, channel_id string, created_at timestamp, sent_at timestamp",
     "digest_items": "digest_id string, position bigint, cluster_id string, summary string, source_links array<string>",
@@ -45,7 +46,7 @@ SCHEMAS = {
 REPORT = ("sources", "collected_items", "extraction_failures", "stored_materials", "clusters", "digest_posts", "resumed_digests")
 COMMITS = f"batch_id string, attempt string, {', '.join(f'{c} bigint' for c in REPORT)}"
 #: What a batch writes.
-WRITTEN = ("vectors", "links", "clusters", "screenings", "errors", "materials", "digests", "digest_items", "posts", "cursors")
+WRITTEN = ("vectors", "links", "clusters", "members", "screenings", "errors", "materials", "digests", "digest_items", "posts", "cursors")
 
 
 class Snapshot:
@@ -131,7 +132,7 @@ def run_batch(landed: DataFrame, tables: RunTables, batch_id: str, job: Job) ->
     )
     errors = stages["errors"].withColumns({"message": F.lit(None).cast("string"), "retryable": F.lit(False)}).unionByName(failed)
     rows = {
-        **{n: stages[n] for n in ("links", "clusters", "screenings", "digests", "digest_items", "posts")},
+        **{n: stages[n] for n in ("links", "clusters", "members", "screenings", "digests", "digest_items", "posts")},
         "vectors": dated(stages["vectors"]) if job.vectors else None, "materials": stages["new"], "errors": errors,
         "cursors": ingest.next_cursors(items, cursors, failed, job.by_message),
     }

@@ -1,6 +1,7 @@
 """Dedup, clusters, screening, digests, registry, tables and streams on small fixtures."""
 
 import datetime as dt
+import hashlib
 import html
 import json
 import random
@@ -15,6 +16,8 @@ from digestflow.plans import feed_queries
 from digestflow.streaming import jobs
 
 NOW = dt.datetime(2026, 9, 2, 12)
+#: A cluster as rows of its members.
+MEMBERS = "id string, representative_id string, n_members long, pos long, material_id string, similarity double"
 
 
 def test_exact_prefers_stored(spark):
@@ -83,29 +86,54 @@ def test_leaders_and_clusters(spark):
             lead.append(i)
     found = dedup.greedy_leaders(nodes, pairs)
     assert {r.id for r in found.where("leader").collect()} == set(lead) and found.count() == 40
-    clusters, links = dedup.clusters(found, pairs, nodes)
+    members, links = dedup.clusters(found, pairs, nodes)
+    rows = dedup.identified(members)
+    clusters = dedup.gathered(rows)
     got = {int(r.representative_id): {int(x) for x in r.material_ids} for r in clusters.collect()}
     assert got == {i: {i} | {j for j in range(40) if (i, j) in edges and j not in lead} for i in lead}
     best, _ = dedup.clusters(found, pairs, nodes, assign="best")
-    members = [x for r in best.collect() for x in r.material_ids]
+    members = [r.material_id for r in best.collect()]
     assert len(members) == len(set(members)) == 40
+    for r in clusters.collect():
+        assert r.material_ids == [r.representative_id, *sorted(set(r.material_ids) - {r.representative_id})] and r.id == hashlib.sha256("\x1f".join(sorted(r.material_ids)).encode()).hexdigest()
+    assert contracts.violations(rows, contracts.members()).count() == 0 and dedup.identified(rows.limit(0).drop("id", "n_members", "pos")).count() == 0
     assert contracts.violations(clusters, contracts.clusters()).count() == 0 and contracts.violations(links, contracts.links(), "material_id").count() == 0
     only_old, _ = dedup.clusters(found, pairs, nodes.limit(0))
     assert only_old.count() == 0
 
 
 def test_attach_exact(spark):
-    clusters = spark.createDataFrame([("c", "r", ["r", "m"], {"r": 1.0, "m": 0.9})], "id string, representative_id string, material_ids array<string>, similarities map<string,double>")
-    links = spark.createDataFrame([("y", "m", 2), ("x", "m", 1), ("m", "r", 0), ("z", "q", 3)], "material_id string, duplicate_of_id string, batch_pos long")
-    r = dedup.attach_exact(clusters, links).first()
-    assert r.material_ids == ["r", "m", "x", "y"] and r.similarities == {"r": 1.0, "m": 0.9, "x": 1.0, "y": 1.0} and r.id != "c"
+    members = spark.createDataFrame([("r", "r", 1.0), ("r", "m", 0.9)], "representative_id string, material_id string, similarity double")
+    links = spark.createDataFrame([("y", "m", 2), ("x", "m", 1), ("m", "r", 0), ("z", "q", 3), ("y", "m", 5), ("w", "r", 9)], "material_id string, duplicate_of_id string, batch_pos long")
+    rows = dedup.identified(dedup.attach_exact(members, links))
+    assert contracts.violations(rows, contracts.members()).count() == 0
+    r = dedup.gathered(rows).first()
+    assert r.material_ids == ["r", "m", "w", "x", "y"] and r.similarities == {"r": 1.0, "m": 0.9, "w": 1.0, "x": 1.0, "y": 1.0}
+    assert r.id == hashlib.sha256("\x1f".join("mrwxy").encode()).hexdigest() and {x.n_members for x in rows.collect()} == {5}
+
+
+def test_large_cluster(spark):
+    """A cluster with most of all rows: its places come from many tasks, and its id is that of the ordered list."""
+    n = 20_000
+    members = spark.createDataFrame([("r", "r", 1.0)], "representative_id string, material_id string, similarity double")
+    copies = spark.range(n).select(F.format_string("c%06d", "id").alias("material_id"), F.lit("r").alias("duplicate_of_id"), (n - F.col("id")).alias("batch_pos"))
+    alone = spark.range(100).select(*[F.concat(F.lit("s"), "id").alias(c) for c in ("representative_id", "material_id")], F.lit(1.0).alias("similarity"))
+    rows = dedup.identified(dedup.attach_exact(members.unionByName(alone), copies)).cache()
+    ids = ["r", *(f"c{i:06d}" for i in range(n))]
+    assert {r.id for r in rows.where("representative_id = 'r'").select("id").distinct().collect()} == {hashlib.sha256("\x1f".join(sorted(ids)).encode()).hexdigest()}
+    places = {r.material_id: r.pos for r in rows.where("representative_id = 'r'").collect()}
+    assert places == {"r": 0} | {f"c{i:06d}": n - i for i in range(n)}
+    assert rows.where("pos = 0").count() == 101 and rows.where("representative_id != 'r' AND n_members = 1").count() == 100
+
+
+def test_exact_conflicts(spark):
     both, bad = dedup.combine(spark.createDataFrame([(1, "a"), (2, "b")], "id long, t string"), spark.createDataFrame([(2, "c"), (1, "a")], "id long, t string"))
     assert both.count() == 2 and [r.id for r in bad.collect()] == [2]
 
 
 def one_cluster(spark, texts):
     ids = [f"m{i}" for i in range(len(texts))]
-    clusters = spark.createDataFrame([("c", ids[0], ids)], "id string, representative_id string, material_ids array<string>")
+    clusters = spark.createDataFrame([("c", ids[0], len(ids), k, i, 1.0) for k, i in enumerate(ids)], MEMBERS)
     rows = [(i, f"title {i}", t, f"https://x.test/{i}", NOW) for i, t in zip(ids, texts)]
     return clusters, spark.createDataFrame(rows, "id string, title string, text string, original_url string, published_at timestamp")
 
@@ -128,7 +156,7 @@ def test_pack_prompts_equals_brute_force(spark):
     some = lambda n: "".join(rng.choice('ab"\\\n\x01é😀 ') for _ in range(rng.randint(0, n))) if rng.random() > 0.1 else None
     rows = {f'c{c}"{i}': (some(40), some(1500)) for c in range(60) for i in range(c % 12 + 1)}
     groups = {f"c{c}": [f'c{c}"{i}' for i in range(c % 12 + 1)] for c in range(60)}
-    clusters = spark.createDataFrame(list(groups.items()), "id string, material_ids array<string>")
+    clusters = spark.createDataFrame([(c, ids[0], len(ids), k, i, 1.0) for c, ids in groups.items() for k, i in enumerate(ids)], MEMBERS)
     got, errors = screening.pack_prompts(clusters, spark.createDataFrame([(i, *r) for i, r in rows.items()], "id string, title string, text string"), 1000)
     got, failed = {r.cluster_id: r.documents for r in got.collect()}, {r.cluster_id for r in errors.collect()}
 

@@ -46,7 +46,7 @@ def test_run_groups_with_the_lookback(spark):
     # the copy of a new text and that of a stored one go; the near copy joins the stored text's cluster
     assert (n["materials"], n["new"], n["unique"], n["clusters"], n["accepted"], n["digest_items"], n["errors"]) == (4, 4, 2, 2, 2, 2, 1)
     assert {r.kind for r in stages["links"].collect()} == {"exact_content", "semantic"}
-    sizes = sorted(len(r.material_ids) for r in stages["clusters"].collect())
+    sizes = sorted(r.n_members for r in stages["clusters"].collect())
     assert sizes == [1, 3]
     assert [r.code for r in stages["errors"].collect()] == ["empty_content"]
 

@@ -80,7 +80,7 @@ def test_snapshots_side_outputs_and_stored_vectors(spark, tmp_path, job):
     # the second batch found the first one's text by its stored vector: three texts were encoded, none twice
     assert encoded.value == 3 and now.read("vectors").count() == 3
     assert [r.kind for r in now.read("links").collect()] == ["semantic"]
-    assert sorted(len(r.material_ids) for r in now.read("clusters").collect()) == [1, 1, 2]
+    assert sorted(r.n_members for r in now.read("clusters").collect()) == [1, 1, 2] and now.read("members").count() == 4
     # the reader's error is kept, and its source has no cursor
     assert [(r.source_id, r.code, r.retryable) for r in now.read("errors").collect()] == [("bad", "timeout", True)]
     assert [(r.source_id, r.cursor.external_id) for r in now.cursors().collect()] == [("s", "2")]
