@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from digestflow.functions.text import stripped
 from digestflow.functions.urls import normalize_locator
 
+from .tables import numbered, ranged, running_sum, with_bases, written
+
 #: Ranges of a profile's fields.
 FRESHNESS, LENGTHS = (1, 365), ("brief", "normal", "detailed")
 
@@ -40,38 +42,64 @@ def fold_sources(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     return state.select("id", "normalized_locator", "s.locator", "s.kind", "enabled"), rejected
 
 
-def fold_profiles(log: DataFrame) -> DataFrame:
-    """log (seq, profile_id, op create|update, expected_version, description, freshness_days, summary_length) -> one row
-    per profile: version, description, freshness_days, summary_length, rejected (seq and reason of each change).
+def _version_chain(candidates: DataFrame) -> DataFrame:
+    """candidates (profile_id, nr, level) -> those that count: of level 0 a profile's first, of each next level the first after
+    the one of the level before.
 
-    A change counts if it expects the current version; null fields of an update keep their values.  Rejected are creates
-    of what exists, updates of what doesn't, stale versions, blank descriptions and values out of range.
+    Each candidate points to the first one of the next level after it; the pointers are followed by doubling, so a chain of n
+    changes takes about log2(n) joins.  A level's candidates are searched in ranges, however many they are.
     """
-    change = F.struct("seq", "op", "expected_version", "description", "freshness_days", "summary_length")
-    logs = log.groupBy("profile_id").agg(F.array_sort(F.collect_list(change)).alias("changes"))
-    state = "struct<version:int,description:string,freshness_days:int,summary_length:string,rejected:array<struct<seq:bigint,reason:string>>>"
-    start = F.struct(
-        F.lit(0).alias("version"), F.lit(None).cast("string").alias("description"), F.lit(7).alias("freshness_days"), F.lit("normal").alias("summary_length"),
-        F.array().cast("array<struct<seq:bigint,reason:string>>").alias("rejected"),
-    ).cast(state)
+    own = candidates.select("profile_id", "level", "nr", F.col("nr").alias("target"))
+    asks = candidates.select("profile_id", (F.col("level") + 1).alias("level"), "nr", F.lit(None).cast("long").alias("target"))
+    keys, backwards = ("profile_id", "level"), (Window.unboundedPreceding, -1)
+    placed = ranged(own.unionByName(asks), keys, ["nr"], "levels")
+    # the nearest target after a row: in its range, else the first of the ranges after it
+    least = placed.groupBy(*keys, "_range").agg(F.min("target").alias("_least"))
+    later = F.min("_least").over(Window.partitionBy(*keys).orderBy(F.desc("_range")).rowsBetween(*backwards))
+    within = F.last("target", ignorenulls=True).over(Window.partitionBy(*keys, "_range").orderBy(F.desc("nr")).rowsBetween(*backwards))
+    found = with_bases(placed.withColumn("_within", within), least.select(*keys, "_range", later.alias("_later")), keys).where("target IS NULL")
+    jumps = written(found.select("profile_id", "nr", F.coalesce("_within", "_later").alias("to")).where("to IS NOT NULL"), "jumps")
+    reached = written(candidates.where("level = 0").groupBy("profile_id").agg(F.min("nr").alias("nr")), "reached")
+    while True:
+        more = written(reached.join(jumps, ["profile_id", "nr"]).select("profile_id", F.col("to").alias("nr")), "reached")
+        if more.isEmpty():
+            return reached
+        reached = reached.unionByName(more)
+        jumps = written(jumps.join(jumps.select("profile_id", F.col("nr").alias("to"), F.col("to").alias("beyond")), ["profile_id", "to"]).select("profile_id", "nr", F.col("beyond").alias("to")), "jumps")
+
 
-    def step(s: Column, c: Column) -> Column:
-        create = c["op"] == "create"
-        wrong = (
-            F.when(create & (s["version"] > 0), "exists").when(~create & (s["version"] == 0), "missing")
-            .when(~create & ~(c["expected_version"].eqNullSafe(s["version"])), "stale_version")
-            .when(create & c["description"].isNull() | (stripped(c["description"]) == ""), "blank_description")
-            .when(~c["freshness_days"].between(*FRESHNESS), "freshness_range").when(~c["summary_length"].isin(*LENGTHS), "summary_length")
-        )
-        new = F.struct(
-            (s["version"] + 1).alias("version"), F.coalesce(stripped(c["description"]), s["description"]).alias("description"),
-            F.coalesce(c["freshness_days"].cast("int"), s["freshness_days"]).alias("freshness_days"), F.coalesce(c["summary_length"], s["summary_length"]).alias("summary_length"),
-            s["rejected"].alias("rejected"),
-        ).cast(state)
-        kept = F.struct(
-            s["version"].alias("version"), s["description"].alias("description"), s["freshness_days"].alias("freshness_days"), s["summary_length"].alias("summary_length"),
-            F.array_append(s["rejected"], F.struct(c["seq"].cast("bigint").alias("seq"), wrong.alias("reason"))).alias("rejected"),
-        ).cast(state)
-        return F.when(wrong.isNull(), new).otherwise(kept)
+def fold_profiles(log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """log (seq, profile_id, op create|update, expected_version, description, freshness_days, summary_length) -> state (profile_id,
+    version, description, freshness_days, summary_length), rejected (seq, profile_id, reason).
 
-    return logs.select("profile_id", F.aggregate("changes", start, step).alias("s")).select("profile_id", "s.*")
+    A change counts if it expects the current version; null fields of an update keep their values.  Rejected are creates
+    of what exists, updates of what doesn't, stale versions, blank descriptions and values out of range, and changes that name no
+    profile.  Changes of one seq go by their fields.  A profile of which no change counts has version 0.  No task and no row
+    holds a profile's log: which changes count follows from a chain of versions, the rest are sums over ranges.
+    """
+    columns = ["seq", "op", "expected_version", "description", "freshness_days", "summary_length"]
+    nameless = log.where("profile_id IS NULL").select("seq", "profile_id", F.lit("no_profile").alias("reason"))
+    create, text = F.col("op") == "create", stripped(F.col("description"))
+    unfit = (
+        F.when(create & F.col("description").isNull() | (text == ""), "blank_description").when(~F.col("freshness_days").between(*FRESHNESS), "freshness_range")
+        .when(~F.col("summary_length").isin(*LENGTHS), "summary_length")
+    )
+    changes = numbered(log.where("profile_id IS NOT NULL").select("profile_id", *columns), ["profile_id"], columns, "nr")
+    changes = written(changes.withColumn("unfit", unfit), "changes")
+    level = F.when(create, 0).when(F.col("expected_version") > 0, F.col("expected_version"))
+    candidates = changes.where("unfit IS NULL").select("profile_id", "nr", level.cast("long").alias("level")).where("level IS NOT NULL")
+    counted = _version_chain(candidates).withColumn("counts", F.lit(1))
+    marked = changes.join(counted, ["profile_id", "nr"], "left").fillna(0, ["counts"])
+    marked = written(running_sum(marked, ["profile_id"], ["nr"], F.col("counts"), "version"), "marked")
+    good = F.col("counts") == 1
+    last = lambda c, kept: F.max_by(kept, F.when(good & F.col(c).isNotNull(), F.col("nr")))
+    state = marked.groupBy("profile_id").agg(
+        F.sum("counts").cast("int").alias("version"), last("description", text).alias("description"),
+        F.coalesce(last("freshness_days", F.col("freshness_days").cast("int")), F.lit(7)).alias("freshness_days"),
+        F.coalesce(last("summary_length", F.col("summary_length")), F.lit("normal")).alias("summary_length"),
+    )
+    exists = F.col("version") > 0
+    reason = (
+        F.when(create & exists, "exists").when(~create & ~exists, "missing").when(~create & ~F.col("expected_version").eqNullSafe(F.col("version")), "stale_version").otherwise(F.col("unfit"))
+    )
+    return state, marked.where(~good).select("seq", "profile_id", reason.alias("reason")).unionByName(nameless)

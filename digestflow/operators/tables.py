@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -61,22 +61,39 @@ class Table:
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_batch", *self.by).parquet(self.path)
 
 
-def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
-    """df with ``name``: a row's number from 1 among those of its keys, by order (nulls first).
+def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "ranges") -> DataFrame:
+    """df, written in ranges of keys and order, with the range's number as ``_range``: a key has as many ranges as its rows need."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # written, since ranges are drawn from a sample
+    return written(df.repartitionByRange(n, *keys, *order).withColumn("_range", F.spark_partition_id()), name)
+
+
+def with_bases(rows: DataFrame, bases: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """rows with what bases say of their keys (nulls are equal) and ``_range``."""
+    other = bases.withColumnsRenamed({k: f"_b_{k}" for k in (*keys, "_range")})
+    same = F.lit(True)
+    for k in (*keys, "_range"):
+        same = same & F.col(k).eqNullSafe(F.col(f"_b_{k}"))
+    return rows.join(other, same).drop(*[f"_b_{k}" for k in (*keys, "_range")])
+
 
-    Rows are sorted by range, each range counts its own, and sums over the ranges before are added; so a key's rows are
-    numbered by as many tasks as it has ranges.  Nulls in keys are one key.
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:
+    """df with ``name``: the sum of value over a row and those of its keys before it, by order (nulls first).
+
+    Rows are sorted by range, each range sums its own, and sums over the ranges before are added; so a key's rows are
+    summed by as many tasks as it has ranges.  Nulls in keys are one key.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = written(df.repartitionByRange(n, *keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
-    counts = placed.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    placed = ranged(df.withColumn("_value", value), keys, order)
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    own = placed.withColumn("_within", F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order)))
-    same = F.col("_range") == F.col("_r")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    return own.join(bases, same).withColumn(name, (F.col("_base") + F.col("_within")).cast("long")).select(*df.columns, name)
+    bases = placed.groupBy(*keys, "_range").agg(F.sum("_value").alias("_sum")).select(*keys, "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    within = F.sum("_value").over(Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    own = with_bases(placed.withColumn("_within", within), bases, keys)
+    return own.withColumn(name, (F.col("_base") + F.col("_within")).cast("long")).select(*df.columns, name)
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """df with ``name``: a row's number from 1 among those of its keys, by order (nulls first), counted over ranges."""
+    return running_sum(df, keys, order, F.lit(1), name)
 
 
 def first_wins(df: DataFrame, stored: DataFrame | None, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

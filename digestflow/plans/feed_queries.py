@@ -461,7 +461,9 @@ def profile_fold(spark, sf_dir):
         (F.col("expected") - F.when((F.col("k") == 2) & (F.col("expected") > 0), 1).otherwise(0)).alias("expected_version"), F.when(F.col("k") == 3, " ").otherwise("about x").alias("description"),
         F.lit(None).cast("int").alias("freshness_days"), F.lit(None).cast("string").alias("summary_length"),
     )
-    return registry.fold_profiles(log).select("profile_id", F.col("version").cast("long").alias("version"), F.size("rejected").cast("long").alias("rejected"))
+    state, rejected = registry.fold_profiles(log)
+    n = rejected.groupBy("profile_id").agg(F.count("*").alias("rejected"))
+    return state.select("profile_id", F.col("version").cast("long").alias("version")).join(n, "profile_id", "left").fillna(0, ["rejected"])
 
 
 @query("""WITH l AS (SELECT user_id, event_id, CASE WHEN event_id % 3 = 2 THEN 'delete' ELSE 'add' END AS op FROM events),

@@ -281,12 +281,47 @@ def test_source_log(spark):
     assert {r.seq: r.reason for r in rejected.collect()} == {2: "duplicate", 5: "absent", 6: "invalid_locator", 8: "absent"}
 
 
+CHANGES = "seq long, profile_id string, op string, expected_version int, description string, freshness_days int, summary_length string"
+
+
 def test_profile_log(spark):
     log = [(1, "p", "create", None, " about ", None, None), (2, "p", "update", 1, "new", 30, "brief"), (3, "p", "update", 1, "stale", None, None), (4, "p", "update", 2, " ", None, None), (5, "p", "update", 2, None, 400, None),
-           (6, "p", "create", None, "x", None, None), (7, "q", "update", 1, "x", None, None), (8, "p", "update", 2, None, None, "long"), (9, "p", "update", 2, None, 1, None)]
-    got = {r.profile_id: r for r in registry.fold_profiles(spark.createDataFrame(log, "seq long, profile_id string, op string, expected_version int, description string, freshness_days int, summary_length string")).collect()}
-    assert (got["p"].version, got["p"].description, got["p"].freshness_days, got["p"].summary_length) == (3, "new", 1, "brief")
-    assert {r.seq: r.reason for r in got["p"].rejected} == {3: "stale_version", 4: "blank_description", 5: "freshness_range", 6: "exists", 8: "summary_length"} and got["q"].rejected[0].reason == "missing"
+           (6, "p", "create", None, "x", None, None), (7, "q", "update", 1, "x", None, None), (8, "p", "update", 2, None, None, "long"), (9, "p", "update", 2, None, 1, None), (10, None, "create", None, "x", None, None)]
+    state, rejected = registry.fold_profiles(spark.createDataFrame(log, CHANGES))
+    got = {r.profile_id: tuple(r)[1:] for r in state.collect()}
+    assert got == {"p": (3, "new", 1, "brief"), "q": (0, None, 7, "normal")}
+    assert {r.seq: r.reason for r in rejected.collect()} == {3: "stale_version", 4: "blank_description", 5: "freshness_range", 6: "exists", 7: "missing", 8: "summary_length", 10: "no_profile"}
+
+
+def folded(log: list[tuple]) -> tuple[dict, dict]:
+    """The same one change after the other."""
+    state, rejected = {}, {}
+    for seq, p, op, expected, about, days, length in sorted(log):
+        s = state.setdefault(p, [0, None, 7, "normal"])
+        new = op == "create"
+        why = ("exists" if new and s[0] else "missing" if not new and not s[0] else "stale_version" if not new and expected != s[0] else "blank_description" if new and about is None or about is not None and not about.strip()
+               else "freshness_range" if days is not None and not 1 <= days <= 365 else "summary_length" if length not in (None, "brief", "normal", "detailed") else None)
+        if why:
+            rejected[seq] = why
+        else:
+            state[p] = [s[0] + 1, s[1] if about is None else about.strip(), s[2] if days is None else days, length or s[3]]
+    return state, rejected
+
+
+def test_long_profile_log(spark):
+    """One profile with most changes, most of them stale or unfit, against a fold in order."""
+    rng, log, at = random.Random(5), [], {}
+    for seq in range(1500):
+        p = "hot" if rng.random() < 0.8 else f"p{rng.randrange(20)}"
+        op = "create" if rng.random() < 0.2 else "update"
+        expected = max(0, at.get(p, 0) + rng.choice([0, 0, 0, 0, -1, 1, -3]))
+        row = (seq, p, op, rng.choice([expected] * 9 + [None]), rng.choice([None, "a", f" about {seq} ", "b", " "]), rng.choice([None, None, 5, 365, 400]), rng.choice([None, "brief", "detailed", "brief", "long"]))
+        log.append(row)
+        at[p] = folded([x for x in log if x[1] == p])[0][p][0] if seq % 5 == 0 else at.get(p, 0)
+    state, rejected = registry.fold_profiles(spark.createDataFrame(rng.sample(log, len(log)), CHANGES))
+    want, bad = folded(log)
+    assert want["hot"][0] > 50 and {r.profile_id: list(r)[1:] for r in state.collect()} == want
+    assert {r.seq: r.reason for r in rejected.collect()} == bad
 
 
 def test_tables(spark, tmp_path):
