@@ -28,6 +28,7 @@ class Page(HTMLParser):
         self.times: list[str] = []
         self.scripts: list[dict] = []
         self.cards: list[dict] = []
+        self.html, self.lines = html, [0, *(i + 1 for i, c in enumerate(html) if c == "\n")]
         self.feed(html)
         self.close()
 
@@ -58,7 +59,7 @@ class Page(HTMLParser):
             if CARD_DATE in classes and "href" in a:
                 card.setdefault("url", a["href"])
             elif CARD_TEXT in classes and "body" not in card:
-                sink = card["body"] = {"parts": []}
+                sink = card["body"] = {"parts": [], "begin": self._place()}
             elif CARD_FILE in classes:
                 card["files"].append({"name": {"parts": []}, "extra": {"parts": []}})
             elif card["files"] and CARD_FILE_NAME in classes:
@@ -71,6 +72,10 @@ class Page(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
+                here = self._place()
+                for k, (_, sink) in enumerate(self.stack[i:]):
+                    if sink and "begin" in sink:  # an element that is left open ends where the one around it does
+                        sink["end"] = here if k else self.html.find(">", here) + 1 or len(self.html)
                 del self.stack[i:]
                 return
 
@@ -84,6 +89,14 @@ class Page(HTMLParser):
         if not any(tag in BOILERPLATE for tag, _ in self.stack):
             self.text.append(piece)
 
+    def _place(self) -> int:
+        line, offset = self.getpos()
+        return self.lines[line - 1] + offset
+
+    def source(self, sink: dict) -> str:
+        """The HTML of an element whose ``begin`` was noted."""
+        return self.html[sink["begin"] : sink.get("end", len(self.html))]
+
     def _card(self) -> dict | None:
         return next((sink for _, sink in reversed(self.stack) if sink and sink.get("card")), None)
 

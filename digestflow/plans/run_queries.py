@@ -84,12 +84,12 @@ def landed_feeds(spark, sf_dir, kind: str, rows):
     if kind == "rss":
         parts = [
             "<item><guid>", n, "</guid><title>Title ", n, "</title><link>/", F.col("source"), "//doc/./", n, "?utm_source=feed&amp;b=2&amp;a=1</link><pubDate>", F.date_format(when, "EEE, dd MMM yyyy HH:mm:ss"),
-            " +0000</pubDate><description>", F.coalesce(body, F.lit("")), "</description><enclosure url=\"https://files.test/", n, "/a.pdf\" type=\"application/pdf\" length=\"", n, "\"/></item>",
+            " +0000</pubDate><author>Author ", n, "</author><description>", F.coalesce(body, F.lit("")), "</description><enclosure url=\"https://files.test/", n, "/a.pdf\" type=\"application/pdf\" length=\"", n, "\"/></item>",
         ]
     else:
         parts = [
             "<entry><id>", n, "</id><title>Title ", n, "</title><link rel=\"alternate\" href=\"https://feeds.test/", F.col("source"), "/doc/", n, "\"/><link rel=\"enclosure\" href=\"https://files.test/", n,
-            "/a.mp3\" type=\"audio/mpeg\" length=\"", n, "\"/><updated>", F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss'Z'"), "</updated><content type=\"text\">", F.coalesce(body, F.lit("")), "</content></entry>",
+            "/a.mp3\" type=\"audio/mpeg\" length=\"", n, "\"/><updated>", F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss'Z'"), "</updated><author><name>Author ", n, "</name></author><content type=\"text\">", F.coalesce(body, F.lit("")), "</content></entry>",
         ]
     # a file per source: its head, its entries, its foot
     line = rows.select(F.col("source").alias("feed"), F.lit(1).alias("o"), F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]).alias("value"))
@@ -104,7 +104,8 @@ def landed_feeds(spark, sf_dir, kind: str, rows):
 
 @query("""SELECT CASE doc_id % 2 WHEN 0 THEN 'rss' ELSE 'atom' END AS source_id, doc_id::VARCHAR AS external_id,
 'https://feeds.test/' || source || '/doc/' || doc_id || CASE doc_id % 2 WHEN 0 THEN '?a=1&b=2' ELSE '' END AS url, 1704067200 + doc_id * 60 AS seconds, 'Title ' || doc_id AS title,
-CASE WHEN coalesce(text, '') <> '' THEN sha256(text) END AS body, CASE doc_id % 2 WHEN 0 THEN 'document' ELSE 'audio' END AS kind, CASE doc_id % 2 WHEN 0 THEN 'a.pdf' ELSE 'a.mp3' END AS name, doc_id AS size FROM documents""")
+CASE WHEN coalesce(text, '') <> '' THEN sha256(text) END AS body, CASE doc_id % 2 WHEN 0 THEN 'document' ELSE 'audio' END AS kind, CASE doc_id % 2 WHEN 0 THEN 'a.pdf' ELSE 'a.mp3' END AS name, doc_id AS size,
+'native_rss,https://FEEDS.test/feed.xml,Author ' || doc_id AS metadata FROM documents""")
 def feed_entries(spark, sf_dir):
     """Documents through landed RSS (relative links, own ids) and Atom files (numeric message ids) and back."""
     from digestflow.functions.urls import canonicalize_url
@@ -115,6 +116,7 @@ def feed_entries(spark, sf_dir):
     return items.select(
         "source_id", "external_id", canonicalize_url(F.col("original_url")).alias("url"), F.unix_seconds("published_at").alias("seconds"), "title",
         F.sha2(F.unbase64("raw_html"), 256).alias("body"), a["kind"].alias("kind"), a["name"].alias("name"), a["size"].alias("size"),
+        F.concat_ws(",", *[F.get_json_object("metadata", f"$.{c}") for c in ("collector", "feed_url", "author")]).alias("metadata"),
     )
 
 
@@ -211,16 +213,41 @@ def page_dates(spark, sf_dir):
     return rows.select("page_id", F.unix_seconds(pages.published_at(F.col("dates"))).alias("seconds"))
 
 
-@query("""SELECT p.page_id AS id, p.page_id * 60 AS seconds, 't' || page_id AS title FROM pages p WHERE page_id % 2 = 0""")
+@query("""SELECT p.page_id AS id, (p.page_id * 7919 % 1000) * 60 AS seconds, 't' || page_id AS title, row_number() OVER (ORDER BY p.page_id * 7919 % 1000, sha256('https://x.test/a/' || page_id || chr(10))) AS n,
+'{"collector":"universal_scraper","listing_url":"https://x.test/list"}' AS metadata, p.page_id % 4 = 0 AS last FROM pages p WHERE page_id % 2 = 0""")
 def page_items(spark, sf_dir):
-    """Links with landed pages, found by canonical URL; odd pages have no date and become errors."""
+    """Links with landed pages, found by canonical URL and ordered by date; odd pages have no date and become errors.  Every fourth
+    page has landed twice."""
     p = table(spark, sf_dir, "pages").select("page_id")
     url = F.concat(F.lit("https://x.test/a/"), F.col("page_id").cast("string"))
-    date = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('<time datetime="'), F.date_format(F.timestamp_seconds(F.col("page_id") * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit('">x</time>'))).otherwise("")
-    landed = p.select(F.concat(url, F.lit("/?utm_source=x")).alias("url"), F.concat(F.lit("<html><body>"), date, F.lit("<p>text</p></body></html>")).alias("html"))
-    links = p.select(F.lit("s").alias("source_id"), url.alias("url"), F.concat(F.lit("t"), "page_id").alias("title"), F.col("page_id").alias("pos"))
+    when = F.date_format(F.timestamp_seconds(F.col("page_id") * 7919 % 1000 * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    date = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('<time datetime="'), when, F.lit('">x</time>'))).otherwise("")
+    body = F.concat(F.lit("<html><body>"), date, F.lit("<p>"), F.col("word"), F.lit("</p></body></html>"))
+    twice = p.withColumn("word", F.lit("a text")).unionByName(p.where("page_id % 4 = 0").withColumn("word", F.lit("text")))
+    fetched = F.timestamp_seconds(F.char_length("word") * -1)
+    landed = twice.select(F.concat(url, F.lit("/?utm_source=x")).alias("url"), body.alias("html"), fetched.alias("fetched_at"))
+    links = p.select(F.lit("s").alias("source_id"), url.alias("url"), F.concat(F.lit("t"), "page_id").alias("title"), F.col("page_id").alias("pos"), F.lit("https://x.test/list").alias("listing_url"))
     items, _ = pages.pages_to_raw_items(links, landed)
-    return items.select(F.col("batch_pos").alias("id"), F.unix_seconds("published_at").alias("seconds"), "title")
+    return items.select(
+        F.regexp_extract("original_url", "[0-9]+$", 0).cast("long").alias("id"), F.unix_seconds("published_at").alias("seconds"), "title", F.col("batch_pos").alias("n"), "metadata",
+        F.col("raw_html").contains("<p>text</p>").alias("last"),
+    )
+
+
+@query("""SELECT conv_id::VARCHAR AS source_id, turn::VARCHAR AS external_id, sha256(coalesce(text, '')) AS body, '<div class="tgme_widget_message_text"><b>' || sha256(coalesce(text, '')) || '</b></div>' AS html,
+dense_rank() OVER (PARTITION BY conv_id ORDER BY turn * 7 % 5, turn) AS n, CASE turn % 3 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'text/plain' END AS mime, '{"collector":"web_preview","telegram_post":"chan/' || turn || '"}' AS metadata
+FROM conversations WHERE turn IS NOT NULL""")
+def message_cards(spark, sf_dir):
+    """Turns as message cards of a channel per conversation, by date and number, each with a file."""
+    n, when = F.col("turn").cast("string"), F.date_format(F.timestamp_seconds(F.col("turn") * 7 % 5 * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    name = F.concat(F.lit("a"), F.element_at(F.array(*map(F.lit, (".pdf", ".txt", ""))), (F.col("turn") % 3 + 1).cast("int")))
+    card = F.concat(
+        F.lit('<div data-post="chan/'), n, F.lit('"><p>head</p>\n<div class="tgme_widget_message_text"><b>'), F.sha2(F.coalesce("text", F.lit("")), 256), F.lit('</b></div><a class="tgme_widget_message_document_wrap">'),
+        F.lit('<div class="tgme_widget_message_document_title">'), name, F.lit('</div></a><time datetime="'), when, F.lit('">x</time></div>'),
+    )
+    items, _ = pages.explode_message_cards(table(spark, sf_dir, "conversations").where("turn IS NOT NULL").select(F.col("conv_id").cast("string").alias("source_id"), card.alias("html")))
+    mime = F.get("attachments", F.lit(0))["mime_type"]
+    return items.select("source_id", "external_id", F.col("raw_text").alias("body"), F.col("raw_html").alias("html"), F.col("batch_pos").alias("n"), mime.alias("mime"), "metadata")
 
 
 @query("""SELECT conv_id::VARCHAR AS source_id, turn::VARCHAR AS external_id, 'https://t.me/chan/' || turn AS url, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, CASE turn % 2 WHEN 0 THEN 'document.pdf' END AS file FROM conversations""")

@@ -13,9 +13,9 @@ ATTACHMENTS = "array<struct<kind:string,name:string,size:bigint,download_ref:str
 
 #: What is read of an entry, in either format; elements that a feed lacks are null.
 RSS = """guid struct<_VALUE: string, _isPermaLink: string>, title string, link string, pubDate string, description string,
- `content:encoded` string, enclosure array<struct<_url: string, _type: string, _length: string, _title: string>>, _corrupt string"""
+ `content:encoded` string, enclosure array<struct<_url: string, _type: string, _length: string, _title: string>>, author string, `dc:creator` string, _corrupt string"""
 ATOM = """id string, title string, link array<struct<_href: string, _rel: string, _type: string, _length: string, _title: string>>, published string,
- updated string, content struct<_VALUE: string, _type: string>, summary string, _corrupt string"""
+ updated string, content struct<_VALUE: string, _type: string>, summary string, author array<struct<name: string, email: string>>, _corrupt string"""
 
 
 def read_feed(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -31,16 +31,20 @@ def read_feed(spark: SparkSession, path: str, kind: str) -> DataFrame:
         enclosures = F.transform("enclosure", lambda e: F.struct(e["_url"].alias("href"), e["_type"].alias("type"), e["_length"].alias("length"), e["_title"].alias("title")))
         return raw.select(
             "file", F.col("guid._VALUE").alias("id"), "title", F.col("link").alias("link"), F.col("pubDate").alias("published"), none.alias("updated"),
-            F.col("`content:encoded`").alias("content"), none.alias("summary"), "description", enclosures.alias("enclosures"), F.col("_corrupt").alias("corrupt"),
+            F.col("`content:encoded`").alias("content"), none.alias("summary"), "description", enclosures.alias("enclosures"),
+            F.coalesce(blank_to_null(F.col("author")), blank_to_null(F.col("`dc:creator`"))).alias("author"), F.col("_corrupt").alias("corrupt"),
         )
     main = F.filter("link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
     enclosures = F.transform(
         F.filter("link", lambda x: x["_rel"] == "enclosure"),
         lambda e: F.struct(e["_href"].alias("href"), e["_type"].alias("type"), e["_length"].alias("length"), e["_title"].alias("title")),
     )
+    first = F.get("author", F.lit(0))
+    name, mail = blank_to_null(first["name"]), blank_to_null(first["email"])
+    author = F.coalesce(F.concat(name, F.lit(" ("), mail, F.lit(")")), name, mail)
     return raw.select(
         "file", "id", "title", F.get(main, F.lit(0))["_href"].alias("link"), "published", "updated", F.col("content._VALUE").alias("content"), "summary",
-        none.alias("description"), enclosures.alias("enclosures"), F.col("_corrupt").alias("corrupt"),
+        none.alias("description"), enclosures.alias("enclosures"), author.alias("author"), F.col("_corrupt").alias("corrupt"),
     )
 
 
@@ -85,14 +89,15 @@ def numeric_message_id(url: Column, entry_id: Column) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(p, r"(?:^|/)([0-9]+)$", 1), F.lit("")) for p in path])
 
 
-def feed_to_raw_items(entries: DataFrame, channel: bool = False) -> tuple[DataFrame, DataFrame]:
+def feed_to_raw_items(entries: DataFrame, channel: bool = False, collector: str = "native_rss") -> tuple[DataFrame, DataFrame]:
     """entries (source_id, batch_pos and read_feed's columns) -> raw items, errors (entry_invalid).
 
     An entry needs a link and a date; the link is taken against the feed's URL (entries' column base_url, if they have it)
     and must come out absolute.  Its id is its own, else a hash of link and title; for channels the number of the message.
-    What an entry says besides goes along as metadata.
+    What an entry says besides goes along as metadata: its author, own id and dates, with the collector and the feed's URL.
     """
-    link = blank_to_null(F.col("link"))
+    given = lambda c: F.col(c) if c in entries.columns else F.lit(None).cast("string")
+    link, feed_url, author = blank_to_null(F.col("link")), given("base_url"), given("author")
     if "base_url" in entries.columns:
         link = F.coalesce(absolute_url(F.col("base_url"), link), link)
     own = F.coalesce(blank_to_null(F.col("id")), fallback_external_id(link, F.col("title")))
@@ -114,7 +119,7 @@ def feed_to_raw_items(entries: DataFrame, channel: bool = False) -> tuple[DataFr
         "source_id", "external_id", F.col("link").alias("original_url"), "published_at", blank_to_null(F.col("title")).alias("title"),
         F.lit(None).cast("string").alias("raw_text"), entry_body(F.col("content"), F.col("summary"), F.col("description")).alias("raw_html"),
         entry_attachments(F.col("enclosures")).alias("attachments"), "batch_pos",
-        F.to_json(F.struct(F.col("id").alias("entry_id"), "published", "updated")).alias("metadata"),
+        F.to_json(F.struct(F.lit(collector).alias("collector"), feed_url.alias("feed_url"), author.alias("author"), F.col("id").alias("entry_id"), "published", "updated")).alias("metadata"),
     )
     errors = rows.where("why IS NOT NULL").select("source_id", F.lit("entry_invalid").alias("code"), F.col("why").alias("message"), "external_id", F.lit(False).alias("retryable"))
     return items, errors
