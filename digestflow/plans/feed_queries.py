@@ -298,7 +298,8 @@ def similar_docs(spark, sf_dir):
 def document_clusters(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """A cluster per unique document, with its exact duplicates attached, as rows of members, and the materials."""
     m = materials(spark, sf_dir)
-    unique, links = dedup.exact(m, m.limit(0))
+    hashed = tables.written(m.select("id", "content_hash", "published_at", "batch_pos"), "hashed")
+    unique, links = dedup.exact(hashed, hashed.limit(0))
     own = F.col("id").cast("string")
     c = unique.select(own.alias("representative_id"), own.alias("material_id"), F.lit(1.0).alias("similarity"))
     mats = m.select("id", F.substring("text", 1, 60).alias("title"), "text", F.concat(F.lit("https://x.test/"), "id").alias("original_url"), "published_at")
