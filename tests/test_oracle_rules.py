@@ -33,3 +33,9 @@ def test_banded_pairs_of_different_vectors(spark, tmp_path):
 
 def documents(ids, text):
     return pd.DataFrame({"doc_id": ids, "text": [text(i) for i in ids], "source": "web", "lang": "en"})
+
+
+def test_feed_run_of_clusters_over_budget_and_of_many_posts(spark, tmp_path):
+    ids = list(range(100, 1100))
+    got = assert_same(spark, tmp_path, "feed_run", documents=documents(ids, lambda i: "many copies" if i % 2 and i < 500 else "some copies" if i % 2 and i < 620 else f"text {i}"))
+    assert dict(got.values.tolist())["errors"] == 1
