@@ -39,3 +39,8 @@ def test_feed_run_of_clusters_over_budget_and_of_many_posts(spark, tmp_path):
     ids = list(range(100, 1100))
     got = assert_same(spark, tmp_path, "feed_run", documents=documents(ids, lambda i: "many copies" if i % 2 and i < 500 else "some copies" if i % 2 and i < 620 else f"text {i}"))
     assert dict(got.values.tolist())["errors"] == 1
+
+
+def test_run_reports_of_more_than_a_week(spark, tmp_path):
+    got = assert_same(spark, tmp_path, "run_reports", documents=documents([*range(0, 3000, 100), *range(29000, 30000, 100), 59999], lambda i: f"text {i}"))
+    assert set(got["stored_materials"]) == {10, 1}
