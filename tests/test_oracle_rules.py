@@ -2,8 +2,12 @@
 
 import duckdb
 import pandas as pd
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from __spark_entry__ import oracle_sql, queries
+from digestflow.operators import dedup
+from digestflow.plans import feed_queries
 
 
 def assert_same(spark, path, name, **tables):
@@ -44,3 +48,28 @@ def test_feed_run_of_clusters_over_budget_and_of_many_posts(spark, tmp_path):
 def test_run_reports_of_more_than_a_week(spark, tmp_path):
     got = assert_same(spark, tmp_path, "run_reports", documents=documents([*range(0, 3000, 100), *range(29000, 30000, 100), 59999], lambda i: f"text {i}"))
     assert set(got["stored_materials"]) == {10, 1}
+
+
+def test_lookback_stream_of_different_vectors(spark, tmp_path):
+    got = assert_same(spark, tmp_path, "lookback_stream", embeddings=alike(7))
+    assert (got["copy"] == got["copy_of"]).any()
+
+
+def test_encoder_gets_few_texts_at_a_time(spark):
+    def encoder(texts):
+        assert len(texts) <= dedup.PIECE
+        return dedup.hashed_counts(texts, 8)
+
+    rows = spark.range(0, 2000, 1, 1).select("id", F.concat(F.lit("word "), "id").alias("dedup_text"))
+    assert dedup.encode(rows, encoder).where("size(vec) = 8").count() == 2000
+
+
+def test_queries_bound_arrow_batches_by_bytes(spark, tmp_path):
+    spark.range(0, 3000, 1, 1).select("id", F.repeat(F.lit("0123456789"), 1000).alias("text")).write.parquet(f"{tmp_path}/t.parquet")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    found = [r.n for r in feed_queries.table(spark, str(tmp_path), "t").coalesce(1).mapInArrow(sizes, "n bigint").collect()]
+    assert sum(found) >= 3000 * 10000 and max(found) < 10e6
