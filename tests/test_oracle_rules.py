@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import oracle_sql, queries
 from digestflow.operators import dedup
-from digestflow.plans import feed_queries
+from digestflow.plans import feed_queries, stream_queries
 
 
 def assert_same(spark, path, name, **tables):
@@ -73,3 +73,11 @@ def test_queries_bound_arrow_batches_by_bytes(spark, tmp_path):
 
     found = [r.n for r in feed_queries.table(spark, str(tmp_path), "t").coalesce(1).mapInArrow(sizes, "n bigint").collect()]
     assert sum(found) >= 3000 * 10000 and max(found) < 10e6
+
+
+def test_landed_halves_keep_their_files(spark, tmp_path):
+    spark.createDataFrame(documents(range(200), lambda i: f"text {i}")).repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    state = stream_queries.landed_run(spark, str(tmp_path), vectors=None)
+    assert state.reports().count() == 2
+    landed = spark.read.parquet(state["posts"].path.removesuffix("tables/posts") + "landing")
+    assert landed.select(F.input_file_name()).distinct().count() > 2
