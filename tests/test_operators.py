@@ -31,6 +31,48 @@ def test_exact_prefers_stored(spark):
     assert [r.id for r in dedup.repeated_ids(new.union(new.limit(1))).collect()] == ["n1"]
 
 
+def shuffles(df):
+    """How often rows are dealt out by a key in the plan of df (as it was before it ran), and the plan."""
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    return plan.count("Exchange hashpartitioning"), plan
+
+
+def test_rows_are_shuffled_once_to_find_the_first(spark):
+    rng, ddl = random.Random(8), "k string, j int, o int, v int"
+    rows = [(rng.choice("abcdefgh") if rng.random() < 0.9 else None, rng.choice([1, 2, None]), rng.choice([None, *range(30)]), i) for i in range(300)]
+    rows = list({(k, j, o): r for r in rows for k, j, o, _ in [r]}.values())  # no ties
+    df, stored = spark.createDataFrame(rows, ddl), spark.createDataFrame([("a", 1, 0, -1), ("b", None, 0, -1), ("z", 1, 0, -1)], ddl)
+    found, first = tables.first_wins(df, stored, ["k", "j"], ["o"]), {}
+    for k, j, o, v in rows:
+        if None not in (k, j) and (k, j) != ("a", 1):
+            first[k, j] = min(first.get((k, j), (99, 0)), (-1 if o is None else o, v))
+    want = [v for _, v in first.values()] + [v for k, j, _, v in rows if None in (k, j)]
+    assert sorted(r.v for r in found.collect()) == sorted(want) and found.columns == df.columns
+    n, plan = shuffles(found)
+    assert n == 2 and "row_number(), 1, Partial" in plan  # the rows and the stored keys, each once; repeats stay where they are
+
+
+def test_exact_shuffles_no_rows_for_a_few_repeats(spark):
+    ddl = "id string, content_hash string, published_at timestamp, batch_pos long"
+    new = spark.createDataFrame([(f"n{i:03}", None if i % 50 == 9 else f"h{min(i % 60, 40)}", NOW, i) for i in range(200)], ddl)
+    stored = spark.createDataFrame([("s1", "h3", NOW, 0), ("s2", "h99", NOW, 0), ("s3", None, NOW, 0)], ddl)
+    unique, links = dedup.exact(new, stored)
+    target = {}
+    for r in new.where("content_hash IS NOT NULL").orderBy("batch_pos").collect():
+        target.setdefault(r.content_hash, "s1" if r.content_hash == "h3" else r.id)
+    rows = [r for r in new.collect() if r.content_hash]
+    assert {r.id for r in unique.collect()} == {r.id for r in rows if target[r.content_hash] == r.id}
+    assert {(r.material_id, r.duplicate_of_id) for r in links.collect()} == {(r.id, target[r.content_hash]) for r in rows if target[r.content_hash] != r.id}
+    assert shuffles(unique)[0] == shuffles(links)[0] == 0
+
+
+def test_items_without_cursors_are_not_shuffled(spark, tmp_path):
+    items = spark.createDataFrame([("s", "1", NOW, "a", 1)], ITEMS)
+    none = jobs.FeedTables(spark, f"file://{tmp_path}/t").latest_cursors()
+    new = ingest.after_cursor(items, none)
+    assert shuffles(new)[0] == 0 and new.columns == items.columns and new.count() == 1 and ingest.next_cursors(items, none).first().cursor.external_id == "1"
+
+
 def vectors(spark, n, seed):
     rng = np.random.default_rng(seed)
     m = rng.standard_normal((n, 8)) + rng.standard_normal((4, 8))[rng.integers(0, 4, n)] * 2
