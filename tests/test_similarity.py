@@ -80,3 +80,17 @@ def test_texts_are_encoded_once(spark):
 
     dedup.similarity_pairs(dedup.encode(df, counting), 0.9, mode="bands").count()
     assert calls.value == 50
+
+
+def test_edges_and_leaders_are_in_no_broadcast(spark, monkeypatch):
+    """Tables of pairs take few bytes in Parquet where ids occur again, and many in the table of a broadcast join."""
+    plans, write = [], dedup.written
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(dedup, "written", lambda df, name: (plans.append(plan(df)), write(df, name))[1])
+    ids = [f"id-{i:064}" for i in range(60)]
+    nodes = write(spark.createDataFrame([(x, i) for i, x in enumerate(ids)], "id string, pos long"), "nodes")
+    pairs = write(spark.createDataFrame([(ids[i], ids[j], 0.95) for i in range(60) for j in range(i + 1, 60) if (i + j) % 7 == 0], "a string, b string, similarity double"), "pairs")
+    leaders = dedup.greedy_leaders(nodes, pairs, 100)
+    members, _ = dedup.clusters(write(leaders, "leaders"), pairs, nodes.select("id"))
+    assert {r.id: r.leader for r in leaders.collect()} == sequential(dict(map(tuple, nodes.collect())), [(r.a, r.b) for r in pairs.collect()])
+    assert len(plans) > 5 and not [p for p in [*plans, plan(leaders), plan(members)] if "BroadcastHashJoin" in p]
